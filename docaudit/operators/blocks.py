@@ -209,11 +209,11 @@ def index_text(blocks: Column, max_blocks: int = INDEX_BLOCKS, max_chars: int =
 
 
 def serialize_layout(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    return df.select(key, let(F.col("blocks"), layout_text).alias("layout_text"))
+    return df.select(key, let(F.col("blocks"), lambda b: layout_text(b)).alias("layout_text"))
 
 
 def serialize_index(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    return df.select(key, let(F.col("blocks"), index_text).alias("index_text"))
+    return df.select(key, let(F.col("blocks"), lambda b: index_text(b)).alias("index_text"))
 
 
 def document_view(df: DataFrame, markdown: str = "markdown", images: str = "image_text") -> DataFrame:
@@ -223,14 +223,14 @@ def document_view(df: DataFrame, markdown: str = "markdown", images: str = "imag
         text = strip(F.coalesce(body, F.lit("")))
         return F.when(text != "", F.concat(F.lit(f"# {title}\n\n"), text))
 
-    index = F.when(F.size("blocks") > 0, let(F.col("blocks"), index_text))
+    index = F.when(F.size("blocks") > 0, let(F.col("blocks"), lambda b: index_text(b)))
     view = F.concat_ws(
         PART_BREAK,
         part("Document (markdown)", F.col(markdown)),
         part("Embedded images (vision)", F.col(images)),
         F.when(index != "", F.concat(F.lit("# Evidence block index\n\n"), index)),
     )
-    return df.withColumn("view", F.when(view != "", view).otherwise(let(F.col("blocks"), layout_text)))
+    return df.withColumn("view", F.when(view != "", view).otherwise(let(F.col("blocks"), lambda b: layout_text(b))))
 
 
 def text_head(blocks: Column, max_blocks: int, max_chars: int) -> Column:

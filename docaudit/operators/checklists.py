@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docaudit.functions.expressions import RuleSyntaxError, compile_rule
 from docaudit.functions.text import compact, strip
@@ -146,7 +147,7 @@ STRUCTURES = ("table", "list", "sections")
 EVALUATION_TAGS = ("pass", "fail", "ambiguous")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _rule_names_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Identifiers of rule texts, NULL where a text is malformed (its grammar has no built-in)."""
 

@@ -494,3 +494,23 @@ def extract_all(df: DataFrame, checklist: Checklist, key: str = "doc_id", measur
 def guard_totals(cands: DataFrame, text: str = "block_text") -> DataFrame:
     """Drop amounts whose block speaks of subtotals or unit prices and not of the total."""
     return cands.filter(total_in_context(F.col(text)))
+
+
+def label_table(fields: DataFrame, key: str = "spec_id") -> DataFrame:
+    """Ordered labels per field of a catalogue ``(key, field, aliases)``: name, aliases or built-ins."""
+    from docaudit.plans.checklist import BUILTIN_LABELS
+
+    builtin = F.lit(None).cast("array<string>")
+    for name, labels in BUILTIN_LABELS.items():
+        builtin = F.when(F.col("field") == name, F.array(*map(F.lit, labels))).otherwise(builtin)
+    own = F.when(F.size("aliases") > 0, F.col("aliases"))
+    raw = F.concat(
+        F.array(F.replace("field", F.lit("_"), F.lit(" "))), F.coalesce(own, builtin, F.array().cast("array<string>"))
+    )
+    tidy = F.filter(F.transform(raw, strip), lambda t: t != "")
+
+    def unique(ls: Column) -> Column:
+        low = F.transform(ls, F.lower)
+        return let(low, lambda lo: F.filter(ls, lambda _, i: F.array_position(lo, F.get(lo, i)) == i + 1))
+
+    return fields.select(key, "field", F.posexplode(let(tidy, unique)).alias("label_ix", "label"))
