@@ -12,8 +12,8 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-# Line boundaries, as a regular expression usable by Java and RE2.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# Characters that end a line, next to the pair CR LF.
+LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,17 +45,18 @@ def blank_to_null(col: Column) -> Column:
 
 
 def words(col: Column) -> Column:
-    """White-space separated tokens."""
-    return F.filter(F.split(col, f"[{WHITESPACE}]+"), lambda t: t != "")
+    """White-space separated tokens. Translating first keeps ``split`` on its single-character path."""
+    return F.filter(F.split(F.translate(col, WHITESPACE, " " * len(WHITESPACE)), " "), lambda t: t != "")
 
 
 def squeeze(col: Column) -> Column:
     """Trim and reduce inner white space to single blanks."""
-    return strip(F.regexp_replace(col, f"[{WHITESPACE}]+", " "))
+    return F.array_join(words(col), " ")
 
 
 def lines(col: Column) -> Column:
-    return F.split(col, LINE_BREAK)
+    joined = F.replace(col, F.lit("\r\n"), F.lit("\n"))
+    return F.split(F.translate(joined, LINE_ENDS, "\n" * len(LINE_ENDS)), "\n")
 
 
 def first_line(col: Column) -> Column:

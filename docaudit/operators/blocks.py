@@ -242,6 +242,7 @@ def text_head(blocks: Column, max_blocks: int, max_chars: int) -> Column:
 
 
 def _reading_order(blocks: Column) -> Column:
+    """Blocks from top to bottom; nearly always they already are, and then nothing is sorted."""
     keyed = F.transform(
         blocks, lambda b: F.struct(b["page"], b["y0"], b["x0"], b["block_ix"], b.alias("block"))
     )
@@ -249,8 +250,10 @@ def _reading_order(blocks: Column) -> Column:
 
 
 def _opens(block: Column, hint: str) -> Column:
-    first = F.lower(first_line(block["text"]))
-    return (first == hint) | (first.contains(hint) & (F.length(first) <= len(hint) + HEADER_SLACK))
+    return let(
+        F.lower(first_line(block["text"])),
+        lambda line: line.contains(hint) & (F.length(line) <= len(hint) + HEADER_SLACK),
+    )
 
 
 def _mentions(block: Column, hint: str) -> Column:

@@ -82,8 +82,9 @@ def _contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
 
 def total_in_context(text: Column) -> Column:
     """False where an amount sits in a block about subtotals or unit prices and no total phrase."""
-    low = F.lower(text)
-    return _contains_any(low, TOTAL_PHRASES) | ~_contains_any(low, OTHER_AMOUNT_PHRASES)
+    return let(
+        F.lower(text), lambda low: _contains_any(low, TOTAL_PHRASES) | ~_contains_any(low, OTHER_AMOUNT_PHRASES)
+    )
 
 
 # ---- patterns of the checklist ---------------------------------------------------------------
@@ -110,14 +111,11 @@ def regex_reading(text: Column, f: Column) -> Column:
 
 def regex_candidates(blocks: Column, f: Column) -> Column:
     def hit(b: Column) -> Column:
-        allowed = ~f["is_total"] | total_in_context(b["text"])
-        return F.when(
-            allowed,
-            let(
-                regex_reading(b["text"], f),
-                lambda m: F.when(
-                    m.isNotNull(), candidate(f["name"], m["value"], "regex", REGEX_CONFIDENCE, b, m["evidence"])
-                ),
+        return let(
+            regex_reading(b["text"], f),
+            lambda m: F.when(
+                m.isNotNull() & (~f["is_total"] | total_in_context(b["text"])),
+                candidate(f["name"], m["value"], "regex", REGEX_CONFIDENCE, b, m["evidence"]),
             ),
         )
 
@@ -139,21 +137,28 @@ def spanish_date_candidates(blocks: Column, f: Column) -> Column:
     return F.when(f["spanish_dates"], F.flatten(F.transform(blocks, hits))).otherwise(no_candidates())
 
 
-def label_candidate(blocks: Column, f: Column) -> Column:
-    """``Label: value`` or ``Label value``: first label with any usable hit, then first line, then form."""
-    all_lines = F.flatten(
+def text_lines(blocks: Column) -> Column:
+    """All non-blank lines with their block, for the label search."""
+    return F.flatten(
         F.transform(
             blocks,
             lambda b: F.transform(
-                F.filter(F.transform(lines(strip(b["text"])), strip), lambda t: t != ""),
+                F.filter(F.transform(lines(b["text"]), strip), lambda t: t != ""),
                 lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"), b.alias("block")),
             ),
         )
     )
 
-    def usable(raw: Column) -> Column:
-        glued = f["name"].contains("invoice_number") & F.lower(raw).contains("total due")
-        return F.when(raw.isNotNull() & ~glued, coerce(raw, f["type"]))
+
+def label_candidate(ls: Column, f: Column) -> Column:
+    """``Label: value`` or ``Label value``: first label with any usable hit, then first line, then form."""
+
+    def usable(text: Column) -> Column:
+        def test(raw: Column) -> Column:
+            glued = f["name"].contains("invoice_number") & F.lower(raw).contains("total due")
+            return F.when(raw.isNotNull() & ~glued, coerce(raw, f["type"]))
+
+        return let(text, test)
 
     def read(text: Column, label: Column) -> Column:
         marked = usable(strip(group0_or(text, label["marked"], 1)))
@@ -173,21 +178,20 @@ def label_candidate(blocks: Column, f: Column) -> Column:
             ),
         )
 
-    def best(ls: Column) -> Column:
-        per_label = F.transform(
-            f["labels"],
-            lambda label: first(
-                compact(F.transform(F.filter(ls, lambda x: x["low"].contains(label["label"])), lambda x: hit(x, label)))
-            ),
-        )
-        return F.slice(compact(per_label), 1, 1)
-
-    return let(all_lines, best)
+    per_label = F.transform(
+        f["labels"],
+        lambda label: first(
+            compact(F.transform(F.filter(ls, lambda x: x["low"].contains(label["label"])), lambda x: hit(x, label)))
+        ),
+    )
+    return F.slice(compact(per_label), 1, 1)
 
 
 def email_candidate(blocks: Column, f: Column) -> Column:
     """Address fields: first hit of the field's own pattern, else the shortest address anywhere."""
-    recipients = F.filter(blocks, lambda b: _contains_any(F.lower(b["text"]), RECIPIENT_WORDS))
+    recipients = F.filter(
+        blocks, lambda b: f["recipient"] & let(F.lower(b["text"]), lambda low: _contains_any(low, RECIPIENT_WORDS))
+    )
     pool = F.when(f["recipient"] & (F.size(recipients) > 0), recipients).otherwise(blocks)
 
     def hinted(bs: Column) -> Column:
@@ -220,14 +224,14 @@ def schema_regex(blocks: Column, fields: Column) -> Column:
 
 
 def schema_labels(blocks: Column, fields: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            fields,
-            lambda f: F.when(f["skip_labels"], no_candidates())
+    def of_field(f: Column, ls: Column) -> Column:
+        return (
+            F.when(f["skip_labels"], no_candidates())
             .when(f["is_email"], email_candidate(blocks, f))
-            .otherwise(label_candidate(blocks, f)),
+            .otherwise(label_candidate(ls, f))
         )
-    )
+
+    return let(text_lines(blocks), lambda ls: F.flatten(F.transform(fields, lambda f: of_field(f, ls))))
 
 
 # ---- measurement patterns --------------------------------------------------------------------
@@ -235,29 +239,36 @@ def schema_labels(blocks: Column, fields: Column) -> Column:
 
 def _readings(text: Column, pattern: str) -> Column:
     """All matches as ``struct(evidence, num)``; readings that are no number are dropped."""
-    pairs = F.zip_with(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
-        lambda m, g: F.struct(F.left(strip(m), F.lit(EVIDENCE_CHARS)).alias("evidence"), g.try_cast("double").alias("num")),
-    )
-    return F.filter(pairs, lambda p: p["num"].isNotNull())
+
+    def pair(whole: Column) -> Column:
+        pairs = F.zip_with(
+            whole, F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
+            lambda m, g: F.struct(F.left(strip(m), F.lit(EVIDENCE_CHARS)).alias("evidence"), g.try_cast("double").alias("num")),
+        )
+        return F.when(F.size(whole) > 0, F.filter(pairs, lambda p: p["num"].isNotNull())).otherwise(no_readings())
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pair)
+
+
+def no_readings() -> Column:
+    return F.array().cast("array<struct<evidence:string,num:double>>")
 
 
 def measurement_regex(blocks: Column) -> Column:
-    def hits(b: Column) -> Column:
-        per_pattern = [
-            F.transform(
-                _readings(b["text"], p),
-                lambda r: candidate(
-                    F.lit(field), value(r["num"]), "regex", MEASUREMENT_CONFIDENCE, b, r["evidence"]
-                ),
+    def hits(b: Column, low: Column) -> Column:
+        per_field = []
+        for field, patterns in MEASUREMENT_PATTERNS.items():
+            # Every pattern of a field spells its name, so a plain search spares most blocks the patterns.
+            found = F.when(low.contains(field), F.concat(*(_readings(b["text"], p) for p in patterns))).otherwise(no_readings())
+            per_field.append(
+                F.transform(
+                    found,
+                    lambda r: candidate(F.lit(field), value(r["num"]), "regex", MEASUREMENT_CONFIDENCE, b, r["evidence"]),
+                )
             )
-            for field, patterns in MEASUREMENT_PATTERNS.items()
-            for p in patterns
-        ]
-        return F.concat(*per_pattern)
+        return F.when(_contains_any(low, tuple(MEASUREMENT_PATTERNS)), F.concat(*per_field)).otherwise(no_candidates())
 
-    return F.flatten(F.transform(blocks, hits))
+    return F.flatten(F.transform(blocks, lambda b: let(F.lower(b["text"]), lambda low: hits(b, low))))
 
 
 def _distinct_readings(*groups: Column) -> Column:
@@ -278,7 +289,7 @@ def _line_readings(line: Column, field: str) -> Column:
         ),
         lambda r: r["num"].isNotNull(),
     )
-    none = F.array().cast("array<struct<evidence:string,num:double>>")
+    none = no_readings()
     if field == "alcohol":
         anchored = _readings(line, MEASUREMENT_PATTERNS[field][0])
         loose = _readings(line, LOOSE_ALCOHOL)
@@ -327,7 +338,8 @@ def measurement_lines(blocks: Column) -> Column:
 
     def of_block(b: Column) -> Column:
         kept = F.filter(F.transform(lines(b["text"]), strip), lambda t: t != "")
-        return F.flatten(F.transform(kept, lambda t: of_line(t, b)))
+        named = let(F.lower(b["text"]), lambda low: _contains_any(low, tuple(MEASUREMENT_PATTERNS)))
+        return F.when(named, F.flatten(F.transform(kept, lambda t: of_line(t, b)))).otherwise(no_candidates())
 
     return F.flatten(F.transform(blocks, of_block))
 

@@ -70,15 +70,17 @@ def list_tokens(blob: Column, group: GroupSpec) -> Column:
     """White-space rows; when no line has the right width, rows glued into one line."""
     n = len(group.row_fields)
 
-    def read(ls: Column) -> Column:
-        return let(
-            tokens_of_lines(ls, n, False),
-            lambda t: F.when(
-                F.exists(ls, lambda x: line_tokens(x, n, False).isNotNull()), t
-            ).otherwise(tokens_of_lines(glued_lines(blob, group.section_hint, n), n, False)),
+    def read(pairs: Column) -> Column:
+        fitting = F.filter(pairs, lambda p: p["tokens"].isNotNull())
+        rows = F.filter(fitting, lambda p: ~p["line"].startswith("#"))["tokens"]
+        return F.when(F.size(fitting) > 0, rows).otherwise(
+            tokens_of_lines(glued_lines(blob, group.section_hint, n), n, False)
         )
 
-    return let(_kept_lines(blob), read)
+    split_up = F.transform(
+        _kept_lines(blob), lambda t: F.struct(t.alias("line"), line_tokens(t, n, False).alias("tokens"))
+    )
+    return let(split_up, read)
 
 
 def table_tokens(blob: Column, group: GroupSpec) -> Column:

@@ -68,7 +68,7 @@ def pick(cands: Column, strategy: Column | None = None) -> Column:
 
 def conflicting(values: Column) -> Column:
     """True iff some value differs from the first one."""
-    return let(first(values), lambda head: F.exists(values, lambda v: ~equivalent(v, head)))
+    return let(values, lambda vs: let(first(vs), lambda head: F.exists(vs, lambda v: ~equivalent(v, head))))
 
 
 def status_of(cands: Column) -> Column:
@@ -93,11 +93,12 @@ def only(c: Column) -> Column:
 def field_map(cands: Column, fields: Column) -> Column:
     """One entry per checklist field; a candidate may serve several fields through aliases."""
 
-    def one(f: Column) -> Column:
-        mine = F.filter(cands, lambda c: F.array_contains(f["keys"], field_key(c["field"])))
+    def one(f: Column, keyed: Column) -> Column:
+        mine = F.filter(keyed, lambda k: F.array_contains(f["keys"], k["key"]))["c"]
         return let(mine, lambda m: entry(f["name"], status_of(m), m))
 
-    return F.transform(fields, one)
+    named = F.transform(cands, lambda c: F.struct(field_key(c["field"]).alias("key"), c.alias("c")))
+    return let(named, lambda keyed: F.transform(fields, lambda f: one(f, keyed)))
 
 
 def deduped(cands: Column) -> Column:

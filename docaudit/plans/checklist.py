@@ -265,7 +265,7 @@ class Checklist:
             spec_id=spec_id,
             version=str(body.get("version") or ""),
             fields=tuple(FieldSpec.from_dict(k, v) for k, v in fields.items() if isinstance(v, dict)),
-            rules=tuple(body.get("rules") or ()),
+            rules=tuple(body.get("rules") or DEFAULT_RULES),
             cross_rules=tuple(
                 CrossFieldRule(
                     str(r.get("id") or "cross_field"),

@@ -2,12 +2,13 @@
 
 Every stage adds a column to the document row: blocks → candidates → field map → resolved →
 outcomes → status. A document never leaves its partition, so a job over any number of documents
-has no shuffle; stages are bound with ``let`` so that none is computed twice.
+has no shuffle of its own. Each stage reads the one before through ``let``: when the optimizer folds
+projections together, the earlier stage is still evaluated once per row, never once per element.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,52 +18,103 @@ from docaudit.operators import extraction, mapping, verdicts
 from docaudit.operators.evidence import tightened
 from docaudit.plans.checklist import Checklist, spec_column, spec_table
 
-RESULT_TYPE_FIELDS = ("candidates", "field_map", "resolved", "outcomes", "status")
+RESULTS = ("candidates", "field_map", "resolved", "outcomes", "status")
 
 
-def _rules(resolved: Column, blocks: Column, spec: Column, checklists: Sequence[Checklist]) -> Column:
-    """Outcomes of one document. Rule strings are Columns, chosen by checklist when there are several."""
-    basic = verdicts.field_outcomes(resolved, spec["fields"], spec["rules"])
-    extra = None
+def _chosen(
+    spec: Column, checklists: Sequence[Checklist], build: Callable[[Checklist], Column], empty: Column
+) -> Column:
+    """``build(checklist)`` of the document's own checklist."""
+    if len(checklists) == 1:
+        return build(checklists[0])
+    out = None
     for c in checklists:
-        own = F.concat(verdicts.cross_field_outcomes(resolved, c), verdicts.group_outcomes(blocks, c))
-        if len(checklists) == 1:
-            extra = own
-        else:
-            cond = spec["spec_id"] == c.spec_id
-            extra = F.when(cond, own) if extra is None else extra.when(cond, own)
-    extra = F.coalesce(extra, F.array().cast(verdicts.OUTCOMES_TYPE))
-    return let(F.concat(basic, extra), verdicts.sorted_ledger)
+        cond = spec["spec_id"] == c.spec_id
+        out = F.when(cond, build(c)) if out is None else out.when(cond, build(c))
+    return out.otherwise(empty)
 
 
-def _mapped(cands: Column, spec: Column) -> Column:
-    fields = spec["fields"]
-    entries = let(mapping.field_map(cands, fields), lambda m: mapping.reconciled(m, fields))
-    return let(entries, lambda m: mapping.with_policies(m, fields))
+class _Stages:
+    """Adds the stages of one pass. ``gate`` limits a pass to the rows that need it."""
 
+    def __init__(self, spec: Column, checklists: Sequence[Checklist], options: dict, suffix: str = "", gate: Column | None = None):
+        self.spec, self.checklists, self.options, self.suffix, self.gate = spec, checklists, options, suffix, gate
 
-def _verdict(entries: Column, cands: Column, group_blocks: Column, spec: Column, checklists: Sequence[Checklist]) -> Column:
-    """Result struct from a settled field map."""
+    def name(self, column: str) -> str:
+        return column + self.suffix
 
-    def decide(ambiguous: Column) -> Column:
-        found = F.when(ambiguous, F.array().cast(verdicts.RESOLVED_TYPE)).otherwise(mapping.resolved(entries))
+    def col(self, column: str) -> Column:
+        return F.col(self.name(column))
 
-        def rule(res: Column) -> Column:
-            outs = F.when(ambiguous, F.array().cast(verdicts.OUTCOMES_TYPE)).otherwise(
-                _rules(res, group_blocks, spec, checklists)
-            )
-            return let(
-                outs,
-                lambda o: F.struct(
-                    cands.alias("candidates"), entries.alias("field_map"), compact(res).alias("resolved"),
-                    o.alias("outcomes"),
-                    F.when(ambiguous, "AMBIGUOUS").when(verdicts.passes(o), "PASS").otherwise("FAIL").alias("status"),
-                ),
-            )
+    def add(self, df: DataFrame, column: str, expr: Column) -> DataFrame:
+        return df.withColumn(self.name(column), expr if self.gate is None else F.when(self.gate, expr))
 
-        return let(found, rule)
+    def _with(self, column: str, body: Callable[[Column, Column], Column]) -> Column:
+        """``body(stage value, checklist fields)``, both evaluated once."""
+        return let(self.col(column), lambda x: let(self.spec["fields"], lambda fs: body(x, fs)))
 
-    return let(mapping.has_ambiguity(entries), decide)
+    def map_fields(self, df: DataFrame) -> DataFrame:
+        """candidates → settled field map."""
+        df = self.add(df, "field_map", self._with("candidates", mapping.field_map))
+        df = self.add(df, "field_map", self._with("field_map", mapping.reconciled))
+        return self.add(df, "field_map", self._with("field_map", mapping.with_policies))
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        """candidates → all result columns."""
+        o = self.options
+        df = self.map_fields(df)
+        if o["context_replies"] is not None:
+            wanted = let(
+                self.col("field_map"),
+                lambda m: let(self.col("candidates"), lambda cs: mapping.contextual_fields(m, cs, self.spec)),
+            )
+            df = self.add(df, "_wanted", let(
+                wanted, lambda ns: F.filter(self.spec["fields"], lambda f: F.array_contains(ns, f["name"]))))
+            extra = let(
+                self.col("_wanted"),
+                lambda w: let(F.col("blocks"), lambda b: let(
+                    F.col(o["context_replies"]), lambda r: extraction.contextual_candidates(r, w, b))),
+            )
+            df = self.add(df, "candidates", F.concat(self.col("candidates"), extra)).drop(self.name("_wanted"))
+            df = self.add(df, "candidates", let(self.col("candidates"), mapping.deduped))
+            df = self.map_fields(df)
+        if o["judge_verdicts"] is not None:
+            df = self.add(df, "field_map", self._with(
+                "field_map",
+                lambda m, fs: let(F.col(o["judge_verdicts"]), lambda v: mapping.judged(m, fs, v, self.spec["judge"])),
+            ))
+        if o["spans"] is not None:
+            def tighten(m: Column, ss: Column) -> Column:
+                return F.transform(m, lambda e: mapping.entry(e["field"], e["status"], tightened(e["candidates"], ss)))
+
+            df = self.add(df, "field_map", let(self.col("field_map"), lambda m: let(F.col(o["spans"]), lambda ss: tighten(m, ss))))
+        return self.judge(df)
+
+    def judge(self, df: DataFrame) -> DataFrame:
+        """field map → resolved, outcomes, status. Ambiguous documents see no rules."""
+        df = self.add(df, "_ambiguous", let(self.col("field_map"), mapping.has_ambiguity))
+        ambiguous = self.col("_ambiguous")
+        none = F.array().cast(verdicts.RESOLVED_TYPE)
+        df = self.add(df, "_aligned", F.when(ambiguous, none).otherwise(let(self.col("field_map"), mapping.resolved)))
+        basic = self._with("_aligned", lambda r, fs: verdicts.field_outcomes(r, fs, self.spec["rules"]))
+        parts = [basic]
+        empty = F.array().cast(verdicts.OUTCOMES_TYPE)
+        if any(c.active_cross_rules() for c in self.checklists):
+            parts.append(
+                let(self.col("_aligned"), lambda r: _chosen(
+                    self.spec, self.checklists, lambda c: verdicts.cross_field_outcomes(r, c), empty))
+            )
+        if any(c.extended and c.groups for c in self.checklists):
+            group_blocks = F.col(self.options["group_blocks"] or "blocks")
+            parts.append(
+                let(group_blocks, lambda b: _chosen(
+                    self.spec, self.checklists, lambda c: verdicts.group_outcomes(b, c), empty))
+            )
+        df = self.add(df, "outcomes", F.when(ambiguous, empty).otherwise(F.concat(*parts)))
+        df = self.add(df, "outcomes", let(self.col("outcomes"), verdicts.sorted_ledger))
+        df = self.add(df, "resolved", compact(self.col("_aligned")))
+        status = F.when(ambiguous, "AMBIGUOUS").when(verdicts.passes(self.col("outcomes")), "PASS").otherwise("FAIL")
+        return self.add(df, "status", status).drop(self.name("_ambiguous"), self.name("_aligned"))
 
 
 def validate_documents(
@@ -71,6 +123,7 @@ def validate_documents(
     *,
     measurements: bool = True,
     spans: str | None = None,
+    group_blocks: str | None = None,
     gap_replies: str | None = None,
     gap_fill_everywhere: bool = False,
     context_replies: str | None = None,
@@ -83,94 +136,63 @@ def validate_documents(
 
     Replies are optional columns of the document row: ``gap_replies MAP<STRING,STRING>``,
     ``context_replies MAP<STRING,STRUCT<value,block_id,evidence_text>>``,
-    ``page_replies MAP<STRING,STRING>`` (used only by documents that fail for want of a value),
-    ``judge_verdicts MAP<STRING,BOOLEAN>`` and ``evaluations ARRAY<STRING>``.
+    ``page_replies MAP<STRING,STRING>`` (a second pass, only for documents that fail for want of a
+    value), ``judge_verdicts MAP<STRING,BOOLEAN>`` and ``evaluations ARRAY<STRING>``.
     """
     several = not isinstance(checklists, Checklist)
     specs = list(checklists) if several else [checklists]
     if several:
-        docs = docs.join(spec_table(docs.sparkSession, specs), "spec_id")
-        spec_source = F.col("spec")
+        df = docs.join(spec_table(docs.sparkSession, specs), "spec_id")
+        spec = F.col("spec")
     else:
-        spec_source = spec_column(specs[0])
-    span_blocks = None if spans is None else F.col(spans)
-
-    def extract(blocks: Column, spec: Column) -> Column:
-        fields = spec["fields"]
-        found = extraction.ensemble(blocks, fields, measurements)
-        if gap_replies is not None:
-            def fill(cs: Column) -> Column:
-                targets = let(
-                    mapping.field_map(cs, fields), lambda m: mapping.gapfill_fields(m, fields, gap_fill_everywhere)
-                )
-                return F.concat(cs, let(targets, lambda t: extraction.reply_candidates(F.col(gap_replies), t, blocks)))
-
-            found = let(found, fill)
-        return let(found, mapping.deduped)
-
-    def contextual(cands: Column, entries: Column, blocks: Column, spec: Column) -> Column:
-        names = mapping.contextual_fields(entries, cands, spec)
-        wanted = let(names, lambda ns: F.filter(spec["fields"], lambda f: F.array_contains(ns, f["name"])))
-        extra = let(wanted, lambda w: extraction.contextual_candidates(F.col(context_replies), w, blocks))
-        return let(F.concat(cands, extra), mapping.deduped)
-
-    def settle(cands: Column, blocks: Column, spec: Column) -> Column:
-        """Candidates → result struct."""
-
-        def finish(cs: Column) -> Column:
-            entries = _mapped(cs, spec)
-            if judge_verdicts is not None:
-                judged = entries
-                entries = let(
-                    judged, lambda m: mapping.judged(m, spec["fields"], F.col(judge_verdicts), spec["judge"])
-                )
-            if span_blocks is not None:
-                loose = entries
-                entries = let(
-                    loose,
-                    lambda m: F.transform(
-                        m, lambda e: mapping.entry(e["field"], e["status"], tightened(e["candidates"], span_blocks))
-                    ),
-                )
-            group_blocks = blocks
-            return let(entries, lambda m: _verdict(m, cs, group_blocks, spec, specs))
-
-        if context_replies is None:
-            return finish(cands)
-        first_map = _mapped(cands, spec)
-        return let(let(first_map, lambda m: contextual(cands, m, blocks, spec)), finish)
-
-    def run(blocks: Column, spec: Column) -> Column:
-        def first_pass(cands: Column) -> Column:
-            result = settle(cands, blocks, spec)
-            if page_replies is None:
-                return result
-
-            def again(r: Column) -> Column:
-                lacking = mapping.missing_required_fields(r["field_map"], spec["fields"])
-                retry = (r["status"] == "FAIL") & (
-                    (F.size(lacking) > 0) | F.exists(r["outcomes"], lambda o: (o["rule"] == "required") & ~o["passed"])
-                )
-                page = F.coalesce(F.get(blocks, F.lit(0))["page"], F.lit(1))
-                more = F.concat(
-                    r["candidates"], extraction.page_reply_candidates(F.col(page_replies), spec["fields"], page)
-                )
-                second = let(let(more, mapping.deduped), lambda cs: settle(cs, blocks, spec))
-                return F.when(retry, second).otherwise(r)
-
-            return let(result, again)
-
-        return let(extract(blocks, spec), first_pass)
-
-    result = let(F.col("blocks"), lambda b: let(spec_source, lambda s: run(b, s)))
-    out = docs.select(*keep, "blocks", *([evaluations] if evaluations else []), result.alias("r")).select(
-        *keep, "blocks", *([evaluations] if evaluations else []), "r.*"
+        df, spec = docs, spec_column(specs[0])
+    options = {
+        "context_replies": context_replies, "judge_verdicts": judge_verdicts, "spans": spans, "group_blocks": group_blocks,
+    }
+    stages = _Stages(spec, specs, options)
+    found = let(
+        F.col("blocks"), lambda b: let(spec["fields"], lambda fs: extraction.ensemble(b, fs, measurements))
     )
+    df = df.withColumn("candidates", found)
+    if gap_replies is not None:
+        targets = stages._with(
+            "candidates",
+            lambda cs, fs: let(mapping.field_map(cs, fs), lambda m: mapping.gapfill_fields(m, fs, gap_fill_everywhere)),
+        )
+        df = df.withColumn("_targets", targets)
+        extra = let(
+            F.col("_targets"),
+            lambda t: let(F.col("blocks"), lambda b: let(F.col(gap_replies), lambda r: extraction.reply_candidates(r, t, b))),
+        )
+        df = df.withColumn("candidates", F.concat("candidates", extra)).drop("_targets")
+    df = df.withColumn("candidates", let(F.col("candidates"), mapping.deduped))
+    df = stages.settle(df)
+    if page_replies is not None:
+        df = _second_pass(df, spec, specs, options, page_replies)
+    out = df.select(*keep, "blocks", *RESULTS, *([evaluations] if evaluations else []))
     if evaluations is not None:
         out = out.withColumn("status", verdicts.merge_evaluation(F.col("status"), F.col(evaluations)))
     return out
 
 
+def _second_pass(df: DataFrame, spec: Column, specs: Sequence[Checklist], options: dict, replies: str) -> DataFrame:
+    """Read documents again that fail for want of a value, now with the page replies."""
+    lacking = let(
+        F.col("field_map"), lambda m: let(spec["fields"], lambda fs: mapping.missing_required_fields(m, fs))
+    )
+    failed_required = F.exists("outcomes", lambda o: (o["rule"] == "required") & ~o["passed"])
+    df = df.withColumn("_retry", (F.col("status") == "FAIL") & ((F.size(lacking) > 0) | failed_required))
+    again = _Stages(spec, specs, options, "_2", F.col("_retry"))
+    page = F.coalesce(F.get(F.col("blocks"), F.lit(0))["page"], F.lit(1))
+    more = let(
+        spec["fields"], lambda fs: let(F.col(replies), lambda r: extraction.page_reply_candidates(r, fs, page))
+    )
+    df = again.add(df, "candidates", let(F.concat("candidates", more), mapping.deduped))
+    df = again.settle(df)
+    merged = {c: F.when(F.col("_retry"), F.col(f"{c}_2")).otherwise(F.col(c)) for c in RESULTS}
+    return df.withColumns(merged).drop("_retry", *(f"{c}_2" for c in RESULTS))
+
+
 def resolved_number(field: str) -> Column:
     return F.get(F.filter("resolved", lambda r: r["field"] == field)["value"]["num"], F.lit(0))
 
