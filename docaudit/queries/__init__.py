@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("sources", "blocks", "extraction", "fields", "groups", "rules")
+MODULES = ("sources", "blocks", "extraction", "fields", "groups", "rules", "history", "catalogue", "views")
 
 
 def load():
