@@ -20,10 +20,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``.
 
     Inside lambdas Spark does not share common subexpressions, and the optimizer may inline a
-    projected column into a lambda where it would run once per element. Binding the value as the
-    only element of an array keeps it to one evaluation per row.
+    projected column into a lambda where it would run once per element. An aggregate over nothing
+    whose start value is ``value`` binds it to a variable: evaluated once, and neither wrapped in an
+    array nor copied, as a one-element ``transform`` would.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, lambda bound: body(bound))
+
+
+def exploding(arr: Column) -> Column:
+    """Input for ``explode`` of a computed array.
+
+    For a plain attribute Spark infers a non-empty filter and pushes it below, where the expression
+    behind the attribute would be computed a second time.
+    """
+    return let(arr, lambda a: a)
 
 
 def first(arr: Column) -> Column:

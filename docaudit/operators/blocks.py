@@ -241,12 +241,10 @@ def text_head(blocks: Column, max_blocks: int, max_chars: int) -> Column:
 # ---- sections --------------------------------------------------------------------------------
 
 
-def _reading_order(blocks: Column) -> Column:
-    """Blocks from top to bottom; nearly always they already are, and then nothing is sorted."""
-    keyed = F.transform(
-        blocks, lambda b: F.struct(b["page"], b["y0"], b["x0"], b["block_ix"], b.alias("block"))
-    )
-    return F.sort_array(keyed)["block"]
+def reading_order(blocks: Column) -> Column:
+    """Blocks from top to bottom; positions are sorted, not whole blocks."""
+    keyed = F.transform(blocks, lambda b, i: F.struct(b["page"], b["y0"], b["x0"], b["block_ix"], i.alias("at")))
+    return F.transform(F.sort_array(keyed)["at"], lambda i: F.get(blocks, i))
 
 
 def _opens(block: Column, hint: str) -> Column:
@@ -275,7 +273,7 @@ def section_body(blocks: Column, hint: str) -> Column:
         )
         return F.when(start > 0, below).otherwise(F.array().cast(BLOCKS_TYPE))
 
-    found = let(_reading_order(blocks), body)
+    found = let(reading_order(blocks), body)
     return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(blocks, lambda b: _mentions(b, hint))))
 
 
@@ -290,7 +288,7 @@ def section_blob(blocks: Column, hint: str) -> Column:
         )
 
     fallback = F.array_join(F.filter(blocks, lambda b: _mentions(b, hint))["text"], "\n")
-    return F.coalesce(let(_reading_order(blocks), tail), fallback)
+    return F.coalesce(let(reading_order(blocks), tail), fallback)
 
 
 def section_blocks(df: DataFrame, group: GroupSpec, key: str = "doc_id") -> DataFrame:

@@ -138,19 +138,19 @@ def spanish_date_candidates(blocks: Column, f: Column) -> Column:
 
 
 def text_lines(blocks: Column) -> Column:
-    """All non-blank lines with their block, for the label search."""
+    """All non-blank lines with the position of their block, for the label search."""
     return F.flatten(
         F.transform(
             blocks,
-            lambda b: F.transform(
+            lambda b, i: F.transform(
                 F.filter(F.transform(lines(b["text"]), strip), lambda t: t != ""),
-                lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"), b.alias("block")),
+                lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"), i.alias("at")),
             ),
         )
     )
 
 
-def label_candidate(ls: Column, f: Column) -> Column:
+def label_candidate(ls: Column, blocks: Column, f: Column) -> Column:
     """``Label: value`` or ``Label value``: first label with any usable hit, then first line, then form."""
 
     def usable(text: Column) -> Column:
@@ -173,7 +173,8 @@ def label_candidate(ls: Column, f: Column) -> Column:
             lambda v: F.when(
                 is_set(v),
                 candidate(
-                    f["name"], v, "layout", LABEL_CONFIDENCE, line["block"], F.left(line["text"], F.lit(EVIDENCE_CHARS))
+                    f["name"], v, "layout", LABEL_CONFIDENCE, F.get(blocks, line["at"]),
+                    F.left(line["text"], F.lit(EVIDENCE_CHARS)),
                 ),
             ),
         )
@@ -228,7 +229,7 @@ def schema_labels(blocks: Column, fields: Column) -> Column:
         return (
             F.when(f["skip_labels"], no_candidates())
             .when(f["is_email"], email_candidate(blocks, f))
-            .otherwise(label_candidate(ls, f))
+            .otherwise(label_candidate(ls, blocks, f))
         )
 
     return let(text_lines(blocks), lambda ls: F.flatten(F.transform(fields, lambda f: of_field(f, ls))))

@@ -16,7 +16,7 @@ from docaudit.functions.text import let, lines, number_text, slug, strip, words
 from docaudit.functions.values import strict_number
 from docaudit.plans.checklist import GroupSpec
 
-from .blocks import section_blob, section_body
+from .blocks import reading_order, section_blob, section_body
 
 TOKENS_TYPE = "array<array<string>>"
 CELL_TYPE = "struct<name:string,num:double,str:string>"
@@ -94,9 +94,7 @@ def baselines(blocks: Column, tol: float) -> Column:
     Two neighbours further apart than ``tol`` always separate rows, so the anchored walk is only
     needed inside such runs.
     """
-    ordered = F.sort_array(
-        F.transform(blocks, lambda b: F.struct(b["page"], b["y0"], b["x0"], b["block_ix"], b.alias("block")))
-    )["block"]
+    ordered = let(blocks, reading_order)
 
     def cut(bs: Column) -> Column:
         gaps = F.filter(

@@ -90,15 +90,27 @@ def only(c: Column) -> Column:
 # ---- in the document row ---------------------------------------------------------------------
 
 
+def _mapped(f: Column, keyed: Column) -> Column:
+    mine = F.filter(keyed, lambda k: F.array_contains(f["keys"], k["key"]))["c"]
+    return let(mine, lambda m: entry(f["name"], status_of(m), m))
+
+
+def _keyed(cands: Column) -> Column:
+    return F.transform(cands, lambda c: F.struct(field_key(c["field"]).alias("key"), c.alias("c")))
+
+
 def field_map(cands: Column, fields: Column) -> Column:
     """One entry per checklist field; a candidate may serve several fields through aliases."""
+    return let(_keyed(cands), lambda ks: F.transform(fields, lambda f: _mapped(f, ks)))
+
+
+def settled_map(cands: Column, fields: Column) -> Column:
+    """Mapping, reconciliation and policies of each field in one go."""
 
-    def one(f: Column, keyed: Column) -> Column:
-        mine = F.filter(keyed, lambda k: F.array_contains(f["keys"], k["key"]))["c"]
-        return let(mine, lambda m: entry(f["name"], status_of(m), m))
+    def one(f: Column, ks: Column) -> Column:
+        return let(let(_mapped(f, ks), lambda e: _reconciled(e, f)), lambda e: _with_policy(e, f))
 
-    named = F.transform(cands, lambda c: F.struct(field_key(c["field"]).alias("key"), c.alias("c")))
-    return let(named, lambda keyed: F.transform(fields, lambda f: one(f, keyed)))
+    return let(_keyed(cands), lambda ks: F.transform(fields, lambda f: one(f, ks)))
 
 
 def deduped(cands: Column) -> Column:
@@ -124,37 +136,37 @@ def deduped(cands: Column) -> Column:
     return let(keyed, heads)
 
 
-def reconciled(entries: Column, fields: Column) -> Column:
-    """Merge readings that agree in canonical form; real conflicts stay for the policies."""
+def _reconciled(e: Column, f: Column) -> Column:
+    cands = e["candidates"]
+    agree = ~conflicting(F.transform(cands, lambda c: canonical(f["name"], c["value"])))
 
-    def one(e: Column, f: Column) -> Column:
-        cands = e["candidates"]
-        agree = ~conflicting(F.transform(cands, lambda c: canonical(f["name"], c["value"])))
-
-        def settle(w: Column) -> Column:
-            tidy = w.withField("value", canonical(f["name"], w["value"]))
-            return entry(e["field"], F.lit("found"), only(tidy))
-
-        merged = let(pick(cands, f["strategy"]), settle)
-        best = entry(e["field"], F.lit("found"), only(pick(cands)))
-        return (
-            F.when(F.size(cands) == 0, e)
-            .when(agree, merged)
-            .when((e["status"] == "found") & (F.size(cands) > 1), best)
-            .otherwise(e)
-        )
+    def settle(w: Column) -> Column:
+        tidy = w.withField("value", canonical(f["name"], w["value"]))
+        return entry(e["field"], F.lit("found"), only(tidy))
 
-    return F.zip_with(entries, fields, one)
+    merged = let(pick(cands, f["strategy"]), settle)
+    best = entry(e["field"], F.lit("found"), only(pick(cands)))
+    return (
+        F.when(F.size(cands) == 0, e)
+        .when(agree, merged)
+        .when((e["status"] == "found") & (F.size(cands) > 1), best)
+        .otherwise(e)
+    )
 
 
-def with_policies(entries: Column, fields: Column) -> Column:
-    """Ambiguous fields with a declared strategy keep its winner."""
+def _with_policy(e: Column, f: Column) -> Column:
+    decided = entry(e["field"], F.lit("found"), only(pick(e["candidates"], f["strategy"])))
+    return F.when((e["status"] == "ambiguous") & f["strategy"].isNotNull(), decided).otherwise(e)
 
-    def one(e: Column, f: Column) -> Column:
-        decided = entry(e["field"], F.lit("found"), only(pick(e["candidates"], f["strategy"])))
-        return F.when((e["status"] == "ambiguous") & f["strategy"].isNotNull(), decided).otherwise(e)
 
-    return F.zip_with(entries, fields, one)
+def reconciled(entries: Column, fields: Column) -> Column:
+    """Merge readings that agree in canonical form; real conflicts stay for the policies."""
+    return F.zip_with(entries, fields, _reconciled)
+
+
+def with_policies(entries: Column, fields: Column) -> Column:
+    """Ambiguous fields with a declared strategy keep its winner."""
+    return F.zip_with(entries, fields, _with_policy)
 
 
 def judged(entries: Column, fields: Column, verdicts: Column, enabled: Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.functions.text import compact, let
+from docaudit.functions.text import compact, exploding, let
 from docaudit.operators import extraction, mapping, verdicts
 from docaudit.operators.evidence import tightened
 from docaudit.plans.checklist import Checklist, spec_column, spec_table
@@ -55,9 +55,7 @@ class _Stages:
 
     def map_fields(self, df: DataFrame) -> DataFrame:
         """candidates → settled field map."""
-        df = self.add(df, "field_map", self._with("candidates", mapping.field_map))
-        df = self.add(df, "field_map", self._with("field_map", mapping.reconciled))
-        return self.add(df, "field_map", self._with("field_map", mapping.with_policies))
+        return self.add(df, "field_map", self._with("candidates", mapping.settled_map))
 
     def settle(self, df: DataFrame) -> DataFrame:
         """candidates → all result columns."""
@@ -203,13 +201,13 @@ def resolved_text(field: str) -> Column:
 
 def outcome_rows(results: DataFrame, key: str = "doc_id") -> DataFrame:
     """Ledger as a flat table."""
-    return results.select(key, F.posexplode("outcomes").alias("outcome_ix", "o")).select(
+    return results.select(key, F.posexplode(exploding(F.col("outcomes"))).alias("outcome_ix", "o")).select(
         key, "outcome_ix", "o.field", "o.rule", "o.passed", "o.value", "o.expected", "o.evidence"
     )
 
 
 def field_rows_of(results: DataFrame, key: str = "doc_id") -> DataFrame:
     """Field map as a flat table ``(key, field, status, n_candidates)``."""
-    return results.select(key, F.explode("field_map").alias("e")).select(
+    return results.select(key, F.explode(exploding(F.col("field_map"))).alias("e")).select(
         key, "e.field", "e.status", F.size("e.candidates").cast("long").alias("n_candidates")
     )

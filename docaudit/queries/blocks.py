@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.functions.text import let
+from docaudit.functions.text import exploding, let
 from docaudit.operators import blocks as ops
 from docaudit.plans import datasets as d
 from docaudit.plans.checklist import GroupSpec
@@ -56,7 +56,7 @@ SELECT doc_id, block_ix, CASE WHEN head THEN '' ELSE coalesce(
 FROM marked""",
 )
 def sections(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ops.infer_sections(fonted(spark, sf)).select("doc_id", F.inline("blocks"))
+    rows = ops.infer_sections(fonted(spark, sf)).select("doc_id", F.inline(exploding(F.col("blocks"))))
     return rows.select(
         "doc_id", F.col("block_ix").cast("long").alias("block_ix"), F.coalesce("section_label", F.lit("")).alias("section_label")
     )
@@ -69,7 +69,7 @@ SELECT doc_id, block_ix, CASE WHEN (x0 + x1) / 2 < w / 3 THEN 'left' WHEN (x0 +
    WHEN x1 - x0 > w * 0.55::DOUBLE THEN 'full' ELSE 'center' END AS column_band FROM wide""",
 )
 def bands(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ops.with_column_band(item_spans(spark, sf)).select("doc_id", F.inline("blocks"))
+    rows = ops.with_column_band(item_spans(spark, sf)).select("doc_id", F.inline(exploding(F.col("blocks"))))
     return rows.select("doc_id", F.col("block_ix").cast("long").alias("block_ix"), "column_band")
 
 
@@ -127,7 +127,7 @@ def view(spark: SparkSession, sf: str) -> DataFrame:
         }
     )
     seen = ops.document_view(docs).select("doc_id", "view", "markdown", "image_text")
-    return seen.filter(~F.col("view").startswith("[") & (F.col("view") != "(no text blocks)")).select("doc_id", "view")
+    return seen.filter(~F.col("view").startswith("[") & ~F.col("view").isin("(no text blocks)", "")).select("doc_id", "view")
 
 
 @query(

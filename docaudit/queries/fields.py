@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.functions.text import field_key, let
+from docaudit.functions.text import exploding, field_key, let
 from docaudit.functions.values import canonical, value
 from docaudit.operators import evidence, extraction, mapping
 from docaudit.plans import datasets as d
@@ -191,7 +191,7 @@ def resolved(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT doc_id, 'status', 'Status: ' || status, 'b' || status_ix, status_ix * 12.0::DOUBLE FROM verdict WHERE NOT has_second""",
 )
 def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = settled(spark, sf).select("doc_id", F.inline("resolved")).filter("field in ('total_due', 'status')")
+    rows = settled(spark, sf).select("doc_id", F.inline(exploding(F.col("resolved")))).filter("field in ('total_due', 'status')")
     return rows.select("doc_id", "field", "evidence.text", "evidence.block_id", "evidence.y0")
 
 
@@ -281,7 +281,7 @@ best AS (SELECT doc_id, block_ix, min(area) AS area FROM hits WHERE area > 0 GRO
 SELECT doc_id, block_ix, CASE WHEN area < 7200 * 0.92::DOUBLE THEN round(area, 6) ELSE 7200 END AS area FROM best""",
 )
 def tightened(spark: SparkSession, sf: str) -> DataFrame:
-    rows = evidence.tighten_bbox(span_candidates(spark, sf)).select("doc_id", F.inline("candidates"))
+    rows = evidence.tighten_bbox(span_candidates(spark, sf)).select("doc_id", F.inline(exploding(F.col("candidates"))))
     area = F.round((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), 6)
     return rows.select("doc_id", F.col("block_ix").cast("long").alias("block_ix"), area.alias("area"))
 
@@ -308,7 +308,7 @@ FROM m JOIN spans h ON h.doc_id = m.doc_id AND h.block_ix = hit""",
 def realigned(spark: SparkSession, sf: str) -> DataFrame:
     plain = F.transform("candidates", lambda c: c.withField("evidence_text", F.format_string("%.2f", c["value"]["num"])))
     docs = span_candidates(spark, sf).withColumn("candidates", plain).withColumnRenamed("spans", "blocks")
-    rows = evidence.realign(docs).select("doc_id", F.posexplode("candidates").alias("ix", "c"))
+    rows = evidence.realign(docs).select("doc_id", F.posexplode(exploding(F.col("candidates"))).alias("ix", "c"))
     return rows.select("doc_id", F.col("ix").cast("long").alias("block_ix"), "c.block_id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docaudit.functions.text import exploding
 from docaudit.operators import views
 from docaudit.plans import datasets as d
 from docaudit.plans.validation import validate_documents
@@ -196,7 +197,7 @@ FROM (SELECT l_orderkey AS doc_id, l_quantity, printf('%.2f', l_extendedprice) A
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
 )
 def span_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = b.spans_from_layout_json(layouts(spark, sf)).select("doc_id", F.inline("spans"))
+    rows = b.spans_from_layout_json(layouts(spark, sf)).select("doc_id", F.inline(exploding(F.col("spans"))))
     return rows.select("doc_id", "block_id", "text", "x0", "y0", "font_size_max")
 
 

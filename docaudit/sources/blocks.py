@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions.geometry import DEFAULT_PAGE_HEIGHT
-from docaudit.functions.text import blank_to_null, first, let, lines, strip
+from docaudit.functions.text import blank_to_null, exploding, first, let, lines, strip
 
 BLOCK_TYPE = (
     "struct<block_ix:int,block_id:string,page:int,x0:double,y0:double,x1:double,y1:double,"
@@ -67,7 +67,7 @@ def blocks_from_text(df: DataFrame, text: str = "text", sep: str = "\n") -> Data
 
 def explode_blocks(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per block, flat columns, for joins and for storage."""
-    return df.select(key, F.inline("blocks"))
+    return df.select(key, F.inline(exploding(F.col("blocks"))))
 
 
 def nest_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
