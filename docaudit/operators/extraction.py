@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.functions.arrays import distinct_by
 from docaudit.functions.text import compact, first, group0_or, let, lines, squeeze, strip
 from docaudit.functions.values import EVIDENCE_CHARS, coerce, coerce_reply, is_set, text_of, value
 from docaudit.plans.checklist import Checklist, spec_column
@@ -274,11 +275,7 @@ def measurement_regex(blocks: Column) -> Column:
 
 def _distinct_readings(*groups: Column) -> Column:
     """Keep the first reading of each number, in order."""
-
-    def unique(all_: Column) -> Column:
-        return F.filter(all_, lambda r, i: F.array_position(all_["num"], r["num"]) == i + 1)
-
-    return let(F.concat(*groups), unique)
+    return let(F.concat(*groups), lambda all_: distinct_by(all_, lambda r: r["num"]))
 
 
 def _line_readings(line: Column, field: str) -> Column:

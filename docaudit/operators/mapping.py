@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.functions.arrays import distinct_by
 from docaudit.functions.text import field_key, first, let
 from docaudit.functions.values import canonical, dedupe_key, equivalent, value
 
@@ -114,27 +115,11 @@ def settled_map(cands: Column, fields: Column) -> Column:
 
 
 def deduped(cands: Column) -> Column:
-    """Keep the first reading per field, canonical value and block (sort-based, no pairwise test)."""
-    keyed = F.sort_array(
-        F.transform(
-            cands,
-            lambda c, i: F.struct(
-                c["field"].alias("field"), dedupe_key(c["field"], c["value"]).alias("k"),
-                F.coalesce(c["block_id"], F.lit("")).alias("b"), i.alias("i"),
-            ),
-        )
+    """Keep the first reading per field, canonical value and block."""
+    return distinct_by(
+        cands, lambda c: F.struct(c["field"], dedupe_key(c["field"], c["value"]), F.coalesce(c["block_id"], F.lit("")))
     )
 
-    def heads(ks: Column) -> Column:
-        def opens(k: Column, n: Column) -> Column:
-            before = F.get(ks, n - 1)
-            return (n == 0) | (before["field"] != k["field"]) | (before["k"] != k["k"]) | (before["b"] != k["b"])
-
-        kept = F.sort_array(F.filter(ks, opens)["i"])
-        return F.transform(kept, lambda i: F.get(cands, i))
-
-    return let(keyed, heads)
-
 
 def _reconciled(e: Column, f: Column) -> Column:
     cands = e["candidates"]
