@@ -205,12 +205,15 @@ def email_candidate(blocks: Column, f: Column) -> Column:
 
     def shortest(bs: Column) -> Column:
         def one(b: Column, i: Column) -> Column:
-            m = group0_or(b["text"], EMAIL)
-            return F.when(
-                m.isNotNull(),
-                F.struct(
-                    F.length(m), i,
-                    candidate(f["name"], value(None, m), "layout", EMAIL_CONFIDENCE, b, m).alias("candidate"),
+            found = F.when(b["text"].contains("@"), group0_or(b["text"], EMAIL))
+            return let(
+                found,
+                lambda m: F.when(
+                    m.isNotNull(),
+                    F.struct(
+                        F.length(m), i,
+                        candidate(f["name"], value(None, m), "layout", EMAIL_CONFIDENCE, b, m).alias("candidate"),
+                    ),
                 ),
             )
 

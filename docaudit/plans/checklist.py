@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docaudit.functions.expressions import RuleSyntaxError, compile_rule
 
@@ -335,7 +336,13 @@ def spec_column(checklist: Checklist) -> Column:
 
 def spec_table(spark: SparkSession, checklists: Sequence[Checklist]) -> DataFrame:
     """``(spec_id, spec)`` for jobs over several checklists; joined on ``spec_id``."""
-    rows = [(c.spec_id, json.dumps(c.as_row())) for c in checklists]
-    return spark.createDataFrame(rows, "spec_id string, body string").select(
-        "spec_id", F.from_json("body", SPEC_TYPE).alias("spec")
-    )
+    rows = [{"spec_id": c.spec_id, "spec": c.as_row()} for c in checklists]
+    return literal_table(spark, rows, f"spec_id string, spec {SPEC_TYPE}")
+
+
+def literal_table(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
+    """A few rows as part of the plan. Unlike a parallelised list their size is known when the query is
+    planned, so a join with them is broadcast by size.
+    """
+    entries = F.from_json(F.lit(json.dumps(list(rows))), T.ArrayType(T.StructType.fromDDL(schema)))
+    return spark.range(1, numPartitions=1).select(F.inline(entries))

@@ -163,7 +163,7 @@ def measurement_docs(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 3 == 0, F.format_string("Quality panel %d of 100", size)).otherwise(F.format_string("Quality: %d", size)),
         F.lit("Noise line A: batch temperature 22.7 C"),
     )
-    return d.table(spark, sf, "part").select(k.alias("doc_id"), text_blocks(text).alias("blocks"))
+    return d.spread(d.table(spark, sf, "part")).select(k.alias("doc_id"), text_blocks(text).alias("blocks"))
 
 
 @query(

@@ -9,7 +9,7 @@ from docaudit.functions.text import exploding, field_key, let
 from docaudit.functions.values import canonical, value
 from docaudit.operators import evidence, extraction, mapping
 from docaudit.plans import datasets as d
-from docaudit.plans.checklist import Checklist, spec_column
+from docaudit.plans.checklist import Checklist, literal_table, spec_column
 from docaudit.plans.validation import field_rows_of, validate_documents
 
 from .blocks import item_spans
@@ -38,7 +38,11 @@ def event_candidates(spark: SparkSession, sf: str) -> DataFrame:
 def event_fields(spark: SparkSession) -> DataFrame:
     rows = [("page_view", [], True, "number", False), ("click", ["SIGNUP"], False, "number", False),
             ("checkout", ["check_out"], True, "string", True), ("signup", [], False, "date", False), ("never_seen", [], True, "date", False)]
-    return spark.createDataFrame(rows, "field string, aliases array<string>, required boolean, type string, llm_fallback boolean")
+    names = ("field", "aliases", "required", "type", "llm_fallback")
+    return literal_table(
+        spark, [dict(zip(names, r)) for r in rows],
+        "field string, aliases array<string>, required boolean, type string, llm_fallback boolean",
+    )
 
 
 _CANDS = """cands AS (

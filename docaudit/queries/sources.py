@@ -185,7 +185,7 @@ def pictures(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("src09_blocks_from_text", f"WITH {BLOCKS} SELECT doc_id, block_ix, 'b' || block_ix AS block_id, text, (pos - 1) * 12.0::DOUBLE AS y0 FROM blocks")
 def text_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = b.explode_blocks(b.blocks_from_text(d.table(spark, sf, "documents")))
+    rows = b.explode_blocks(b.blocks_from_text(d.spread(d.table(spark, sf, "documents"))))
     return rows.select("doc_id", F.col("block_ix").cast("long").alias("block_ix"), "block_id", "text", "y0")
 
 
