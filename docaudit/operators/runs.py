@@ -108,10 +108,13 @@ def correction_status(base: Column, first_evaluation: Column) -> Column:
 
 def apply_corrections(
     resolved: DataFrame, ambiguous: DataFrame, corrections: DataFrame, checklist, evaluations: DataFrame | None = None,
-    key: str = "run_id",
+    group_outcomes: DataFrame | None = None, key: str = "run_id",
 ) -> DataFrame:
     """Status per corrected run: AMBIGUOUS while a conflict is left, else the rules on the new values.
 
+    ``group_outcomes(key, passed)`` are the parent run's outcomes of repeating groups; corrections do
+    not touch them, so a failed one still fails the run.
+
     Rules run over the long table with the flat rule operators; cross-field rules over a pivot with a
     fixed field list (no extra job to find its columns).
     """
@@ -141,9 +144,12 @@ def apply_corrections(
         for n in compiled.names:
             applies = applies & F.col(n).isNotNull()
         failing = failing | (applies & ~compiled.column(F.col))
-    ruled = clear.join(wide, key, "left").select(
-        key, F.when(failing, "FAIL").otherwise("PASS").alias("status")
-    )
+    base = clear.join(wide, key, "left")
+    if group_outcomes is not None:
+        bad_groups = group_outcomes.filter(~F.col("passed")).select(key).distinct().withColumn("bad_group", F.lit(True))
+        base = base.join(bad_groups, key, "left")
+        failing = failing | F.coalesce("bad_group", F.lit(False))
+    ruled = base.select(key, F.when(failing, "FAIL").otherwise("PASS").alias("status"))
     if evaluations is not None:
         firsts = evaluations.filter("not informative_only and evaluation in ('fail', 'ambiguous')").groupBy(key).agg(
             F.min_by("evaluation", "ix").alias("first_evaluation")

@@ -235,6 +235,16 @@ def test_lifecycle(spark):
     assert [(r.archived_at is not None, r.deleted_at is not None) for r in out] == [(False, False), (False, False), (False, True), (True, False)]
 
 
+def test_corrections_keep_group_failures(spark):
+    spec = Checklist.from_body("s", {"fields": {"a": {"type": "number", "required": True, "max": 10}}})
+    resolved = spark.createDataFrame([(1, "a", 50.0, None), (2, "a", 50.0, None), (3, "a", 50.0, None)], "run_id long, field string, value_num double, value_str string")
+    fixes = spark.createDataFrame([(1, "a", "5"), (2, "a", "5"), (3, "a", "50")], "run_id long, field string, raw string")
+    none = resolved.select("run_id", "field").limit(0)
+    bad = spark.createDataFrame([(2, False), (1, True)], "run_id long, passed boolean")
+    got = runs.apply_corrections(resolved, none, fixes, spec, group_outcomes=bad).collect()
+    assert {r.run_id: r.status for r in got} == {1: "PASS", 2: "FAIL", 3: "FAIL"}
+
+
 def test_cohort_aggregate(spark):
     df = spark.createDataFrame([("PASS",), ("PASS",), ("FAIL",), ("AMBIGUOUS",)], "outcome string")
     r = cohorts.aggregate_outcomes(df, 75.0).first()
