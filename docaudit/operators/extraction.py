@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions.arrays import distinct_by
-from docaudit.functions.text import compact, first, group0_or, let, lines, squeeze, strip
+from docaudit.functions.text import compact, first, group0_or, let, lines, strip
 from docaudit.functions.values import EVIDENCE_CHARS, coerce, coerce_reply, is_set, text_of, value
 from docaudit.plans.checklist import Checklist, spec_column
 

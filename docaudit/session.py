@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -24,16 +21,3 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the shared folder the cluster names.
-
-    Only a session without any ``spark.checkpoint.dir`` (a test) gets a folder of its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return df.checkpoint(eager=True)
