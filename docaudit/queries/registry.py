@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docaudit.session import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,7 +27,5 @@ def query(name: str, sql: str | None = None):
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """New folder in the shared place the cluster names; a private one only where none is named."""
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/docaudit-{uuid.uuid4().hex}"
+    """New folder in the shared place the cluster names."""
+    return shared_folder(spark, "query")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+import zipfile
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +26,36 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """New path below the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only a session on one machine may leave the setting out; it then gets a private folder of its own, which
+    later calls find in the same setting. A cluster without a shared folder is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/docaudit-{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once a session, so that they need no path of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_docaudit_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "docaudit.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    archive.write(path, os.path.join("docaudit", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._docaudit_shipped = True
