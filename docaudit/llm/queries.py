@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language
+from . import bpe, language
+
+#: Folder of the public tokenizer files.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +43,10 @@ def language_id(spark: SparkSession, sf: str) -> DataFrame:
     model = language.train(docs.filter(~held_out))
     found = language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_bpe")
+def bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    found = bpe.decode(bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), path).drop("text"), path)
+    return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
