@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language
+from . import bpe, language, mixing
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -50,3 +50,29 @@ def bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{TOKENIZERS}/word_bpe_49k.json"
     found = bpe.decode(bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), path).drop("text"), path)
     return found.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query(
+    "op5_mix_sources",
+    r"""WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
+v AS (SELECT *, CASE place % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS weight FROM w),
+c AS (SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / weight AS full_at,
+             1.5::DOUBLE * (sum(source_size) OVER ())::BIGINT AS budget FROM v),
+l AS (SELECT *, coalesce(sum(most) OVER (ORDER BY full_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under,
+             sum(weight) OVER (ORDER BY full_at, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM c),
+m AS (SELECT *, min(CASE WHEN (budget - under) / open <= full_at THEN (budget - under) / open END) OVER () AS level FROM l),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN most ELSE least(most, level * weight) END AS target FROM m),
+f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+g AS (SELECT source, h, sum(size)::BIGINT AS own FROM d GROUP BY source, h),
+r AS (SELECT source, h, own, coalesce(sum(own) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+SELECT d.doc_id, d.size, f.source_size, f.target,
+       d.size * (f.whole + CASE WHEN f.target > f.whole * f.source_size AND r.before + r.own / 2.0 <= f.target - f.whole * f.source_size THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source JOIN r ON d.source IS NOT DISTINCT FROM r.source AND d.h = r.h""",
+)
+def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf, "documents"), mixing.words("text"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
