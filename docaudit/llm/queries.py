@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing
+from . import bpe, language, mixing, sharding
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -76,3 +76,10 @@ FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source JOIN r ON d.source IS NO
 def mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"), mixing.words("text"), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_shard_kd")
+def shard_kd(spark: SparkSession, sf: str) -> DataFrame:
+    data = F.coalesce(F.encode("text", "UTF-8"), F.lit("").cast("binary"))
+    placed = sharding.shard(table(spark, sf, "documents"), F.length(data) + 16, shards=40, keep={"text_crc32": F.crc32(data)})
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
