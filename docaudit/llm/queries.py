@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, sharding
+from . import bpe, exact, language, mixing, sharding
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -83,3 +83,13 @@ def shard_kd(spark: SparkSession, sf: str) -> DataFrame:
     data = F.coalesce(F.encode("text", "UTF-8"), F.lit("").cast("binary"))
     placed = sharding.shard(table(spark, sf, "documents"), F.length(data) + 16, shards=40, keep={"text_crc32": F.crc32(data)})
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(
+    "op8_exact_dedup",
+    """WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+)
+def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf, "documents"))
