@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, language, mixing, sharding
+from docaudit.session import shared_folder
+
+from . import bpe, exact, language, mixing, sharding, warc
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -93,3 +95,17 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)""",
 )
 def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.deduplicate(table(spark, sf, "documents"))
+
+
+@query(
+    "op3_warc",
+    """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN response END AS refers_to FROM g""",
+)
+def warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), folder, "page_id", "html", "url")
+    back = warc.read_archives(spark, folder, with_payload=False)
+    return back.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
