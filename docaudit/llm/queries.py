@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docaudit.session import shared_folder
 
-from . import bpe, exact, language, mixing, sharding, warc
+from . import bpe, exact, language, mixing, sharding, topk, warc
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -109,3 +109,16 @@ def warc_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     warc.write_archives(table(spark, sf, "pages"), folder, "page_id", "html", "url")
     back = warc.read_archives(spark, folder, with_payload=False)
     return back.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op10_top_k",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+)
+def top_k(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised("embedding").alias("vector"))
+    return topk.top_k(vectors, vectors.filter("id % 50 = 0"), 5)
