@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docaudit.session import shared_folder
 
-from . import bpe, exact, language, mixing, sharding, topk, warc
+from . import bpe, exact, language, minhash, mixing, sharding, topk, warc
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -122,3 +122,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 def top_k(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised("embedding").alias("vector"))
     return topk.top_k(vectors, vectors.filter("id % 50 = 0"), 5)
+
+
+@query("op7_minhash")
+def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
