@@ -53,3 +53,14 @@ def salted_join(rows: DataFrame, lookup: DataFrame, on: str, spread: Column, how
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [on, "_salt"], how).drop("_salt")
+
+
+#: Rows of a written lookup up to which it may be broadcast.
+FEW_ROWS = 200_000
+
+
+def keyed_join(rows: DataFrame, lookup: DataFrame, on: str, spread: Column, how: str = "left", few: int = FEW_ROWS) -> DataFrame:
+    """Join to a written ``lookup`` (one row a key): broadcast if it has few rows by count, else salted."""
+    if lookup.count() <= few:
+        return rows.join(F.broadcast(lookup), on, how)
+    return salted_join(rows, lookup, on, spread, how)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docaudit.session import shared_folder
 
-from . import bpe, exact, language, minhash, mixing, sharding, topk, warc
+from . import bpe, exact, language, lines, minhash, mixing, sharding, topk, warc
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -127,3 +127,8 @@ def top_k(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_minhash")
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op6_line_dedup")
+def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.deduplicate_lines(table(spark, sf, "documents").select("doc_id", "text"))
