@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docaudit.session import shared_folder
 
-from . import bpe, exact, language, lines, minhash, mixing, sharding, topk, warc
+from . import bpe, exact, language, lines, minhash, mixing, sharding, topk, toxicity, warc
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -132,3 +132,12 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_line_dedup")
 def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.deduplicate_lines(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op9_toxicity")
+def toxic_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(5) == 0, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf, "labels").filter(~held_out), toxicity.trigram_counts(docs))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
