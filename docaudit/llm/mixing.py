@@ -59,7 +59,9 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float)
         F.coalesce(F.sum("most").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("below"),
         F.sum("weight").over(filled.rowsBetween(0, Window.unboundedFollowing)).alias("open"),
     ).withColumn("level", (F.col("budget") - F.col("below")) / F.col("open"))
-    rows = rows.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
+    # The first source that the level at its place does not fill up sets the level of all.
+    first = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "place", "level"))).over(everything)
+    rows = rows.withColumn("level", first["level"])
     target = F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("level") * F.col("weight")))
     return rows.select("source", "key", "source_size", target.alias("target"))
 

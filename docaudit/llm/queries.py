@@ -66,7 +66,7 @@ c AS (SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / w
              1.5::DOUBLE * (sum(source_size) OVER ())::BIGINT AS budget FROM v),
 l AS (SELECT *, coalesce(sum(most) OVER (ORDER BY full_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under,
              sum(weight) OVER (ORDER BY full_at, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM c),
-m AS (SELECT *, min(CASE WHEN (budget - under) / open <= full_at THEN (budget - under) / open END) OVER () AS level FROM l),
+m AS (SELECT *, (SELECT (budget - under) / open FROM l WHERE (budget - under) / open <= full_at ORDER BY full_at, place LIMIT 1) AS level FROM l),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN most ELSE least(most, level * weight) END AS target FROM m),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
 g AS (SELECT source, h, sum(size)::BIGINT AS own FROM d GROUP BY source, h),
