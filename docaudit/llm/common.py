@@ -12,8 +12,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from docaudit.session import shared_folder, ship_package
 
-#: Parts into which one key of a lookup is dealt.
-SALTS = 32
+#: Rows of a group that one task is dealt, and tasks of a group at most.
+GROUP_ROWS = 200
+SALTS = 1_000
 
 
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -45,13 +46,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, on: str, spread: Column, how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Join ``rows`` to ``lookup`` (one row a key), a hot key being dealt to ``salts`` tasks by ``spread``.
+def spread_join(rows: DataFrame, lookup: DataFrame, on: str, size: str, spread: Column, how: str = "left") -> DataFrame:
+    """Join to ``lookup`` (one row a key) where both sides know the ``size`` of each key's group of rows.
 
-    Only the lookup side is repeated, so the cost of the salt grows with the keys and not with the rows of a key.
+    A group goes to one task for every ``GROUP_ROWS`` of its rows, at most ``SALTS``; its lookup row is repeated as often.
     """
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    tasks = F.least(F.lit(SALTS), F.ceil(F.col(size) / GROUP_ROWS)).cast("int")
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), tasks).cast("int"))
+    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), tasks - 1))).drop(size)
     return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
@@ -59,8 +61,9 @@ def salted_join(rows: DataFrame, lookup: DataFrame, on: str, spread: Column, how
 FEW_ROWS = 200_000
 
 
-def keyed_join(rows: DataFrame, lookup: DataFrame, on: str, spread: Column, how: str = "left", few: int = FEW_ROWS) -> DataFrame:
-    """Join to a written ``lookup`` (one row a key): broadcast if it has few rows by count, else salted."""
-    if lookup.count() <= few:
-        return rows.join(F.broadcast(lookup), on, how)
-    return salted_join(rows, lookup, on, spread, how)
+def keyed_join(rows: DataFrame, lookup: DataFrame, on: str, how: str = "left", few: int = FEW_ROWS) -> DataFrame:
+    """Join to a written ``lookup`` (one row a key): broadcast if it has few rows by count.
+
+    Else both sides are shuffled straight into the join, and adaptive execution splits the partition of a hot key.
+    """
+    return rows.join(F.broadcast(lookup) if lookup.count() <= few else lookup, on, how)

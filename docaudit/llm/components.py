@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One round. Large star: larger neighbours of a node move to its smallest; small star: smaller ones and itself do.
 
-    A hub of any size is spread by the other end of its links.
+    The lowest neighbours are written before they are joined, so that adaptive execution can split the links of a hub.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-    large = salted_join(both.filter("b > a"), lowest, "a", F.col("b"), "inner").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    lowest = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "components-lowest")
+    large = both.filter("b > a").join(lowest, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
     large = written(large, "components-large")  # a > b
-    lowest = large.groupBy("a").agg(F.min("b").alias("low"))
+    lowest = written(large.groupBy("a").agg(F.min("b").alias("low")), "components-lowest")
     # Two links from each: to the smallest, and from each other smaller neighbour to the smallest.
-    moved = salted_join(large, lowest, "a", F.col("b"), "inner").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    moved = large.join(lowest, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     small = lowest.select("a", F.col("low").alias("b")).unionByName(moved)
     return small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docaudit.session import shared_folder
 
-from .common import SALTS, salted_join, written
+from .common import keyed_join, spread_join, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -86,7 +86,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", folder:
     if kept is None:
         return seen.select(F.col("key").alias(key), F.col("key").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
     check_bytes(df, kept.filter("group_size > 1"), text)
-    rows = salted_join(seen, kept, "digest", F.col("locator.row"), "inner")
+    rows = keyed_join(seen, kept, "digest", "inner")
     stays = F.col("kept.locator").eqNullSafe(F.col("locator"))
     return rows.select(F.col("key").alias(key), F.col("kept.key").alias("keep_id"), "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -94,17 +94,17 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", folder:
 def check_bytes(df: DataFrame, repeated: DataFrame, text: str) -> None:
     """Compare all bytes of every repeated text with the text at the kept locator; differing bytes raise an error.
 
-    The kept text goes to ``SALTS`` tasks, and each copy to one of them, so a group of any size is spread out.
+    The kept text goes to more tasks the more copies it has, and each copy to one of them.
     """
-    digests = repeated.select("digest", "kept.locator")
+    digests = repeated.select("digest", "kept.locator", "group_size")
     if digests.count() <= FEW_DIGESTS:
         digests = F.broadcast(digests)
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     rows = df.select(normalised(text).alias("content"), place.alias("at")).withColumn("digest", F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
     hits = rows.join(digests, "digest")
     stays = F.col("at").eqNullSafe(F.col("locator"))
-    originals = hits.filter(stays).select("digest", F.col("content").alias("original"))
+    originals = hits.filter(stays).select("digest", "group_size", F.col("content").alias("original"))
     # Without an original, or with another content, the pair is a collision.
-    same = salted_join(hits.filter(~stays).select("digest", "content", "at"), originals, "digest", F.col("at"), "left", SALTS)
+    same = spread_join(hits.filter(~stays).select("digest", "group_size", "content", "at"), originals, "digest", "group_size", F.col("at"))
     if not same.filter(~F.col("content").eqNullSafe(F.col("original"))).isEmpty():
         raise ValueError("two different texts share a SHA-256 digest")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from docaudit.session import ship_package
 
-from .common import SALTS, salted_join, written
+from .common import keyed_join, written
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -227,6 +227,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     roots = components(links)
     fate = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("set", F.coalesce("root", "doc").alias("component"))
     fate = written(fate, "minhash-fate")
-    out = salted_join(rows.select("doc", "n", "set"), fate, "set", F.col("doc"), "left", SALTS)
+    out = keyed_join(rows.select("doc", "n", "set"), fate, "set")
     component = F.coalesce(F.when(F.col("doc").isNotNull(), F.col("component")), F.col("doc"))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

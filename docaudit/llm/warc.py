@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docaudit.session import ship_package
 
-from .common import salted_join, written
+from .common import keyed_join, written
 
 #: Payload bytes of a shard (one task): about a ``SHARDS``-th of all within these limits. Compressed bytes at which a file rolls over.
 SHARDS = 200
@@ -146,10 +146,7 @@ def write_archives(df: DataFrame, folder: str, key: str, payload: str, url: str
 
     large = narrow.filter(F.col("size") >= REVISIT_BYTES).groupBy("sha1").agg(F.max("row_id").alias("response"), F.count("*").alias("n"))
     groups = written(large.filter("n > 1 AND response IS NOT NULL").select("sha1", "response"), "warc-groups")
-    if groups.count() <= FEW_GROUPS:
-        marked = rows.join(F.broadcast(groups), "sha1", "left")
-    else:
-        marked = salted_join(rows, groups, "sha1", F.col("row_id"), "left")
+    marked = keyed_join(rows, groups, "sha1", few=FEW_GROUPS)
     again = (F.col("size") >= REVISIT_BYTES) & F.col("response").isNotNull() & ~F.col("row_id").eqNullSafe(F.col("response"))
     records = (
         marked.withColumn("slice", slice_).join(F.broadcast(shards), "slice")
