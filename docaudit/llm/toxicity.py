@@ -43,7 +43,7 @@ REMEMBERED = 200_000
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Three or more single characters with separators between them.
-SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ .\-_*]{1,3}+[\w@$!|+]){2,}+(?!\S)")
+SPACED = re.compile(r"(?<!\S)[\w@$!|+](?:[ .\-_*]{1,3}+[\w@$!|+](?![\w@$!|+])){2,}+")
 #: A token with a look-alike or separator between or before letters, or three equal letters.
 DISGUISED = re.compile(r"[^\W\d_].*?[0134578@$!|+*._\-].*?[^\W\d_]|(?:^|\W)[0134578@$!|+][^\W\d_]|[^\W\d_][0134578@$!|]$|([^\W\d_])\1\1", re.S)
 EDGES = re.compile(r"^[^\w@$!|+]+|(?:([^\w\s])\1+|[^\w@$!|+])+$")
@@ -144,8 +144,8 @@ def token_words(token: str, costs: np.ndarray) -> list[str]:
 
 
 def spaced_words(text: str, costs: np.ndarray) -> list[str]:
-    """Restored forms of letters that stand apart in a lower-case text."""
-    return [w for m in SPACED.finditer(text) if (w := restore(m[0], costs))]
+    """Restored forms of letters that stand apart in a lower-case text, also without the first or last letter, which may be words."""
+    return [w for m in SPACED.finditer(text) if (found := restore(m[0], costs)) for w in (found, found[1:], found[:-1]) if w]
 
 
 def features(word: str) -> list[str]:
