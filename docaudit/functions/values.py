@@ -13,11 +13,8 @@ from .text import blank_to_null, group0_or, let, number_text, squeeze, strip
 
 VALUE_TYPE = "struct<num:double,str:string>"
 
-# Comparison tolerance and text length limits of extracted values.
+# Fixed value: comparison tolerance.
 NUMERIC_TOLERANCE = 0.001
-DATE_CHARS = 120
-STRING_CHARS = 500
-EVIDENCE_CHARS = 280
 
 USD_AMOUNT = r"(?i)USD\s*([\d,]+\.?\d*)"
 PLAIN_NUMBER = r"[\d.]+"
@@ -68,18 +65,14 @@ def strict_number(token: Column) -> Column:
 def coerce(raw: Column, typ: Column) -> Column:
     """Raw text to a value of the declared field type."""
     t = blank_to_null(raw)
-    return F.when(typ == "number", value(parse_number(raw))).otherwise(
-        value(None, F.when(typ == "date", F.left(t, F.lit(DATE_CHARS))).otherwise(F.left(t, F.lit(STRING_CHARS))))
-    )
+    return F.when(typ == "number", value(parse_number(raw))).otherwise(value(None, t))
 
 
 def coerce_reply(raw: Column, typ: Column) -> Column:
     """Coercion of a model reply: the whole text must be the number."""
     t = blank_to_null(raw)
     number = strict_number(strip(F.replace(raw, F.lit(","), F.lit(""))))
-    return F.when(typ == "number", value(number)).otherwise(
-        value(None, F.when(typ == "date", F.left(t, F.lit(DATE_CHARS))).otherwise(F.left(t, F.lit(STRING_CHARS))))
-    )
+    return F.when(typ == "number", value(number)).otherwise(value(None, t))
 
 
 def canonical(field: Column, v: Column) -> Column:

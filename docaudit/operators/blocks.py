@@ -15,11 +15,9 @@ from docaudit.functions.text import first_line, let, strip
 from docaudit.plans.checklist import GroupSpec
 from docaudit.sources.blocks import BLOCKS_TYPE
 
-# Heading heuristics, sparse-text limits and text budgets.
+# Heading heuristics and sparse-text limits.
 HEADING_CHARS, HEADING_FONT_STEP, DEFAULT_FONT = 80, 1.5, 10.0
 SPARSE_DOCUMENT_CHARS, SPARSE_PAGE_CHARS = 60, 50
-LAYOUT_BLOCKS, LAYOUT_CHARS = 120, 24_000
-INDEX_BLOCKS, INDEX_CHARS = 200, 16_000
 HEADER_SLACK = 6
 PART_BREAK = "\n\n---\n\n"
 
@@ -134,10 +132,10 @@ def _point(v: Column) -> Column:
     return F.round(v, 1).cast("string")
 
 
-def layout_text(blocks: Column, max_blocks: int = LAYOUT_BLOCKS, max_chars: int = LAYOUT_CHARS) -> Column:
-    """Blocks with ids and layout marks, page by page from top to bottom, within a budget.
+def layout_text(blocks: Column, max_blocks: int | None = None, max_chars: int | None = None) -> Column:
+    """Blocks with ids and layout marks, page by page from top to bottom; whole unless a limit is given.
 
-    A block that does not fit ends its page only; later pages may still add shorter blocks.
+    With a budget of characters, a block that does not fit ends its page, and later pages may still add theirs.
     """
 
     def entry(b: Column) -> Column:
@@ -158,54 +156,40 @@ def layout_text(blocks: Column, max_blocks: int = LAYOUT_BLOCKS, max_chars: int
             text.alias("line"),
         )
 
+    ordered = F.sort_array(F.transform(banded(blocks), entry))
+    if max_chars is None and max_blocks is None:
+        joined = F.array_join(ordered["line"], "\n")
+    else:
+        joined = _within_budget(ordered, max_blocks, max_chars)
+    return F.when(F.size(blocks) > 0, joined).otherwise("(no text blocks)")
+
+
+def _within_budget(entries: Column, max_blocks: int | None, max_chars: int | None) -> Column:
     start = F.struct(
         F.lit(0).alias("used"), F.lit(None).cast("int").alias("closed"), F.array().cast("array<string>").alias("lines")
     )
 
     def add(acc: Column, e: Column) -> Column:
-        full = F.size(acc["lines"]) >= max_blocks
+        full = F.lit(False) if max_blocks is None else F.size(acc["lines"]) >= max_blocks
         skipped = F.coalesce(acc["closed"] == e["page"], F.lit(False))
-        fits = acc["used"] + F.length(e["line"]) <= max_chars
-        return (
-            F.when(full | skipped, acc)
-            .when(
-                fits,
-                F.struct(
-                    (acc["used"] + F.length(e["line"])).alias("used"),
-                    acc["closed"].alias("closed"),
-                    F.concat(acc["lines"], F.array(e["line"])).alias("lines"),
-                ),
-            )
-            .otherwise(F.struct(acc["used"].alias("used"), e["page"].alias("closed"), acc["lines"].alias("lines")))
-        )
+        used = acc["used"] + F.length(e["line"])
+        fits = F.lit(True) if max_chars is None else used <= max_chars
+        taken = F.struct(used.alias("used"), acc["closed"].alias("closed"), F.concat(acc["lines"], F.array(e["line"])).alias("lines"))
+        ended = F.struct(acc["used"].alias("used"), e["page"].alias("closed"), acc["lines"].alias("lines"))
+        return F.when(full | skipped, acc).when(fits, taken).otherwise(ended)
 
-    ordered = F.sort_array(F.transform(banded(blocks), entry))
-    joined = F.aggregate(ordered, start, add, lambda acc: F.array_join(acc["lines"], "\n"))
-    return F.when(F.size(blocks) > 0, joined).otherwise("(no text blocks)")
+    return F.aggregate(entries, start, add, lambda acc: F.array_join(acc["lines"], "\n"))
 
 
-def index_text(blocks: Column, max_blocks: int = INDEX_BLOCKS, max_chars: int = INDEX_CHARS) -> Column:
-    """``[id pN] text`` lines: the longest prefix that fits the budget."""
-    start = F.struct(
-        F.lit(0).alias("used"), F.lit(False).alias("closed"), F.array().cast("array<string>").alias("lines")
-    )
-
-    def add(acc: Column, line: Column) -> Column:
-        fits = ~acc["closed"] & (acc["used"] + F.length(line) <= max_chars)
-        return F.struct(
-            F.when(fits, acc["used"] + F.length(line)).otherwise(acc["used"]).alias("used"),
-            (~fits).alias("closed"),
-            F.when(fits, F.concat(acc["lines"], F.array(line))).otherwise(acc["lines"]).alias("lines"),
-        )
-
+def index_text(blocks: Column, max_blocks: int | None = None) -> Column:
+    """``[id pN] text`` lines of all blocks, or of the first ``max_blocks``."""
     entries = F.transform(
-        F.slice(blocks, 1, max_blocks),
+        blocks if max_blocks is None else F.slice(blocks, 1, max_blocks),
         lambda b: F.concat(
             F.lit("["), b["block_id"], F.lit(" p"), b["page"].cast("string"), F.lit("] "), _one_line(b["text"])
         ),
     )
-    joined = F.aggregate(entries, start, add, lambda acc: F.array_join(acc["lines"], "\n"))
-    return F.when(F.size(blocks) > 0, joined).otherwise("(no evidence blocks)")
+    return F.when(F.size(blocks) > 0, F.array_join(entries, "\n")).otherwise("(no evidence blocks)")
 
 
 def serialize_layout(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -233,9 +217,10 @@ def document_view(df: DataFrame, markdown: str = "markdown", images: str = "imag
     return df.withColumn("view", F.when(view != "", view).otherwise(let(F.col("blocks"), lambda b: layout_text(b))))
 
 
-def text_head(blocks: Column, max_blocks: int, max_chars: int) -> Column:
-    """Text of the first blocks, cut to a length."""
-    return F.left(F.array_join(F.slice(blocks, 1, max_blocks)["text"], "\n"), F.lit(max_chars))
+def text_head(blocks: Column, max_blocks: int | None = None, max_chars: int | None = None) -> Column:
+    """Text of all blocks; of the first blocks, or cut to a length, where a limit is given."""
+    text = F.array_join((blocks if max_blocks is None else F.slice(blocks, 1, max_blocks))["text"], "\n")
+    return text if max_chars is None else F.left(text, F.lit(max_chars))
 
 
 # ---- sections --------------------------------------------------------------------------------

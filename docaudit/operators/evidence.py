@@ -15,7 +15,7 @@ from docaudit.functions.values import text_of
 
 # Needle lengths and area limits.
 QUOTE_CHARS, VALUE_CHARS = 4, 3
-SNIPPET_CHARS, SNIPPET_TEXT, SNIPPETS = 8, 500, 3
+SNIPPET_CHARS = 8
 TIGHTER, SMALL_AREA = 0.92, 2500.0
 
 
@@ -121,14 +121,14 @@ def tighten_bbox(df: DataFrame, spans: str = "spans") -> DataFrame:
     )
 
 
-def snippets(blocks: Column, quote: Column) -> Column:
-    """First three blocks that contain the quote."""
+def snippets(blocks: Column, quote: Column, limit: int | None = None) -> Column:
+    """All blocks that contain the quote, with their whole text, or the first ``limit`` of them."""
     wanted = F.lower(strip(F.coalesce(quote, F.lit(""))))
     hits = F.filter(blocks, lambda b: F.lower(b["text"]).contains(wanted))
     cut = F.transform(
-        F.slice(hits, 1, SNIPPETS),
+        hits if limit is None else F.slice(hits, 1, limit),
         lambda b: F.struct(
-            F.left(b["text"], F.lit(SNIPPET_TEXT)).alias("text"),
+            b["text"].alias("text"),
             *(b[k].alias(k) for k in ("block_id", "page", "x0", "y0", "x1", "y1")),
         ),
     )

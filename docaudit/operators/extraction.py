@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.arrays import distinct_by
 from docaudit.functions.text import compact, first, group0_or, let, lines, strip
-from docaudit.functions.values import EVIDENCE_CHARS, coerce, coerce_reply, is_set, text_of, value
+from docaudit.functions.values import coerce, coerce_reply, is_set, text_of, value
 from docaudit.plans.checklist import Checklist, spec_column
 
 CANDIDATE_TYPE = (
@@ -175,7 +175,7 @@ def label_candidate(ls: Column, blocks: Column, f: Column) -> Column:
                 is_set(v),
                 candidate(
                     f["name"], v, "layout", LABEL_CONFIDENCE, F.get(blocks, line["at"]),
-                    F.left(line["text"], F.lit(EVIDENCE_CHARS)),
+                    line["text"],
                 ),
             ),
         )
@@ -248,7 +248,7 @@ def _readings(text: Column, pattern: str) -> Column:
     def pair(whole: Column) -> Column:
         pairs = F.zip_with(
             whole, F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
-            lambda m, g: F.struct(F.left(strip(m), F.lit(EVIDENCE_CHARS)).alias("evidence"), g.try_cast("double").alias("num")),
+            lambda m, g: F.struct(strip(m).alias("evidence"), g.try_cast("double").alias("num")),
         )
         return F.when(F.size(whole) > 0, F.filter(pairs, lambda p: p["num"].isNotNull())).otherwise(no_readings())
 
@@ -286,7 +286,7 @@ def _line_readings(line: Column, field: str) -> Column:
     plain = F.filter(
         F.transform(
             F.regexp_extract_all(line, F.lit(NUMBER), F.lit(0)),
-            lambda t: F.struct(F.left(line, F.lit(EVIDENCE_CHARS)).alias("evidence"), t.try_cast("double").alias("num")),
+            lambda t: F.struct(line.alias("evidence"), t.try_cast("double").alias("num")),
         ),
         lambda r: r["num"].isNotNull(),
     )
@@ -314,7 +314,7 @@ def _line_readings(line: Column, field: str) -> Column:
             line.rlike(pattern),
             F.transform(
                 F.filter(F.array(group0_or(line, pattern, 1).try_cast("double")), lambda v: v.isNotNull()),
-                lambda v: F.struct(F.left(strip(group0_or(line, pattern)), F.lit(EVIDENCE_CHARS)).alias("evidence"), v.alias("num")),
+                lambda v: F.struct(strip(group0_or(line, pattern)).alias("evidence"), v.alias("num")),
             ),
         ).otherwise(none)
         fallback = F.when(line.rlike(pattern), none).otherwise(F.slice(F.reverse(plain), 1, 1))
@@ -370,7 +370,7 @@ def reply_candidates(reply: Column, wanted: Column, blocks: Column, confidence:
             coerce_reply(F.try_element_at(reply, f["name"]), f["type"]),
             lambda v: F.when(
                 is_set(v),
-                candidate(f["name"], v, "llm", confidence, first(blocks), F.left(text_of(v), F.lit(EVIDENCE_CHARS))),
+                candidate(f["name"], v, "llm", confidence, first(blocks), text_of(v)),
             ),
         )
 
@@ -386,7 +386,7 @@ def contextual_candidates(reply: Column, wanted: Column, blocks: Column) -> Colu
         entry = F.try_element_at(reply, f["name"])
 
         def build(v: Column) -> Column:
-            quote = F.left(F.coalesce(F.nullif(entry["evidence_text"], F.lit("")), text_of(v)), F.lit(EVIDENCE_CHARS))
+            quote = F.coalesce(F.nullif(entry["evidence_text"], F.lit("")), text_of(v))
             cited = strip(F.coalesce(entry["block_id"], F.lit("")))
             return F.when(
                 is_set(v),

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions.text import strip
 from docaudit.functions.values import strict_number
 
-# Page size limit and number of recent runs on the dashboard.
-MAX_PAGE, RECENT_RUNS = 25, 8
+#: Rows of a history page, and recent runs of a project on the dashboard, unless asked otherwise.
+PAGE_ROWS, RECENT_RUNS = 25, 8
 
 
 def visible(runs: DataFrame, include_hidden: bool = False) -> DataFrame:
@@ -32,9 +32,16 @@ def filter_runs(
     return runs
 
 
-def page_runs(runs: DataFrame, page: int = 1, size: int = MAX_PAGE) -> DataFrame:
-    """Newest first, ties by id. The page is taken from per-partition top rows, nothing is sorted whole."""
-    size = min(max(size, 1), MAX_PAGE)
+def page_runs(runs: DataFrame, page: int = 1, size: int = PAGE_ROWS, after: tuple | None = None) -> DataFrame:
+    """``size`` runs, newest first, ties by id, from per-partition top rows; nothing is sorted whole.
+
+    ``after`` (creation time and id of the last row seen) starts below that row: then the cost of a page does not
+    grow with its depth, as it does with a page number.
+    """
+    size = max(size, 1)
+    if after is not None:
+        at, last = F.lit(after[0]), F.lit(after[1])
+        runs = runs.filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") > last)))
     return runs.orderBy(F.desc("created_at"), F.asc("id")).offset((max(page, 1) - 1) * size).limit(size)
 
 
@@ -203,8 +210,10 @@ def dashboard(runs: DataFrame, by: Sequence[str] = ("project_id",)) -> DataFrame
     )
 
 
-def recent_runs(runs: DataFrame, k: int = RECENT_RUNS) -> DataFrame:
-    return runs.orderBy(F.desc("created_at"), F.asc("id")).limit(k)
+def recent_runs(runs: DataFrame, k: int = RECENT_RUNS, by: Sequence[str] = ("project_id",), ties=None) -> DataFrame:
+    """The ``k`` newest runs of each project; partial top-ks come before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("created_at"), F.asc("id") if ties is None else ties))
+    return runs.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
 def batch_progress(queue: DataFrame, by: Sequence[str] = ()) -> DataFrame:

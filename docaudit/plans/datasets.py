@@ -55,16 +55,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core for work that costs processor time per document.
-
-    A small file with a single row group is read by one task. Tables with enough partitions, which is
-    every large one, are returned as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
-
-
 def runs(spark: SparkSession, sf_dir: str, with_tags: bool = False) -> DataFrame:
     """Orders as validation runs; the customer's segment is the project."""
     orders = table(spark, sf_dir, "orders")
@@ -161,5 +151,5 @@ def order_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, source, blocks)`` of the prose documents."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return docs.select("doc_id", "lang", "source", text_blocks(F.col("text")).alias("blocks"))

@@ -99,9 +99,8 @@ def layout(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _INDEX = f"""{BLOCKS},
-entry AS (SELECT doc_id, block_ix, '[b' || block_ix || ' p1] ' || text AS line FROM blocks WHERE block_ix < 200),
-fitted AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY block_ix) AS used FROM entry),
-idx AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY block_ix) AS index_text FROM fitted WHERE used <= 16000 GROUP BY doc_id)"""
+entry AS (SELECT doc_id, block_ix, '[b' || block_ix || ' p1] ' || text AS line FROM blocks),
+idx AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY block_ix) AS index_text FROM entry GROUP BY doc_id)"""
 
 
 @query("blk05_serialize_index", f"""WITH {_INDEX} SELECT d.doc_id, coalesce(index_text, '') AS index_text
@@ -132,11 +131,11 @@ def view(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "blk07_text_head",
-    f"""WITH {BLOCKS} SELECT doc_id, left(string_agg(text, chr(10) ORDER BY block_ix), 12000) AS head
-FROM blocks WHERE block_ix < 80 GROUP BY doc_id""",
+    f"""WITH {BLOCKS} SELECT doc_id, string_agg(text, chr(10) ORDER BY block_ix) AS head
+FROM blocks GROUP BY doc_id""",
 )
 def head(spark: SparkSession, sf: str) -> DataFrame:
-    return d.document_blocks(spark, sf).select("doc_id", let(F.col("blocks"), lambda b: ops.text_head(b, 80, 12000)).alias("head"))
+    return d.document_blocks(spark, sf).select("doc_id", let(F.col("blocks"), lambda b: ops.text_head(b)).alias("head"))
 
 
 @query(

@@ -68,7 +68,7 @@ def guard(spark: SparkSession, sf: str) -> DataFrame:
     "ext03_coerce_value",
     """SELECT p_partkey AS id, CASE WHEN p_size % 3 <> 0 THEN NULL WHEN p_partkey % 6 = 0 THEN CAST(printf('%.2f', p_retailprice) AS DOUBLE)
       WHEN p_partkey % 6 = 1 THEN p_size::DOUBLE WHEN p_partkey % 6 = 5 THEN p_size + 0.5::DOUBLE END AS num,
-  CASE WHEN p_size % 3 = 0 THEN '' ELSE left(t, CASE WHEN p_size % 3 = 1 THEN 120 ELSE 500 END) END AS str
+  CASE WHEN p_size % 3 = 0 THEN '' ELSE t END AS str
 FROM (SELECT *, trim(CASE p_partkey % 6 WHEN 0 THEN 'USD ' || printf('%.2f', p_retailprice) || ' net of 7' WHEN 1 THEN p_size || ' kg'
         WHEN 2 THEN '1.' || p_size || '.3' WHEN 3 THEN '.' WHEN 4 THEN '   ' ELSE repeat(p_name || ' ', 60) || p_size || '.5' END) AS t FROM part)""",
 )
@@ -163,7 +163,7 @@ def measurement_docs(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 3 == 0, F.format_string("Quality panel %d of 100", size)).otherwise(F.format_string("Quality: %d", size)),
         F.lit("Noise line A: batch temperature 22.7 C"),
     )
-    return d.spread(d.table(spark, sf, "part")).select(k.alias("doc_id"), text_blocks(text).alias("blocks"))
+    return d.table(spark, sf, "part").select(k.alias("doc_id"), text_blocks(text).alias("blocks"))
 
 
 @query(

@@ -293,9 +293,9 @@ def tightened(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "map17_evidence_snippets",
     f"""WITH {BLOCKS}, q AS (SELECT doc_id, lower(trim(left(arg_max(text, block_ix), 12), ' ')) AS quote FROM blocks GROUP BY doc_id),
-hits AS (SELECT b.doc_id, block_ix, left(text, 500) AS text, row_number() OVER (PARTITION BY b.doc_id ORDER BY block_ix) - 1 AS snippet_ix
+hits AS (SELECT b.doc_id, block_ix, text, row_number() OVER (PARTITION BY b.doc_id ORDER BY block_ix) - 1 AS snippet_ix
   FROM blocks b JOIN q ON q.doc_id = b.doc_id AND contains(lower(text), quote) AND length(quote) >= 8)
-SELECT doc_id, snippet_ix, 'b' || block_ix AS block_id, text FROM hits WHERE snippet_ix < 3""",
+SELECT doc_id, snippet_ix, 'b' || block_ix AS block_id, text FROM hits""",
 )
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
     docs = d.document_blocks(spark, sf).filter(F.size("blocks") > 0).withColumn("quote", F.left(F.element_at("blocks", -1)["text"], F.lit(12)))

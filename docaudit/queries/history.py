@@ -29,7 +29,7 @@ def filtered(spark: SparkSession, sf: str) -> DataFrame:
     return ops.filter_runs(d.runs(spark, sf), "1-URGENT", "1.1", "FAIL", " R_1 ").select("id", "document_filename")
 
 
-@query("run03_page_runs", f"WITH {RUNS} SELECT id, document_filename FROM runs WHERE archived_at IS NULL AND deleted_at IS NULL ORDER BY created_at DESC, id LIMIT 25 OFFSET 50")
+@query("run03_page_runs", f"WITH {RUNS} SELECT id, document_filename FROM runs WHERE archived_at IS NULL AND deleted_at IS NULL ORDER BY created_at DESC, id LIMIT 500 OFFSET 1000")
 def page(spark: SparkSession, sf: str) -> DataFrame:
     return ops.page_runs(ops.visible(d.runs(spark, sf)), 3, 500).select("id", "document_filename")
 
@@ -179,7 +179,8 @@ def sub_resources(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {RUNS} SELECT project_id, count(*) AS runs, CAST(count(*) FILTER (WHERE outcome = 'PASS') AS BIGINT) AS pass_count, CAST(count(*) FILTER (WHERE outcome = 'FAIL') AS BIGINT) AS fail_count,
    CAST(count(*) FILTER (WHERE outcome = 'AMBIGUOUS') AS BIGINT) AS ambiguous_count, count(DISTINCT schema_key) AS checklists, count(DISTINCT schema_key || '/' || version_label) AS versions
 FROM runs WHERE archived_at IS NULL AND deleted_at IS NULL GROUP BY project_id
-UNION ALL SELECT 'latest ' || id, 0, 0, 0, 0, 0, 0 FROM (SELECT id FROM runs WHERE archived_at IS NULL AND deleted_at IS NULL ORDER BY created_at DESC, id LIMIT 8)""",
+UNION ALL SELECT 'latest ' || id, 0, 0, 0, 0, 0, 0 FROM (SELECT id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) AS k
+  FROM runs WHERE archived_at IS NULL AND deleted_at IS NULL) WHERE k <= 8""",
 )
 def dashboard(spark: SparkSession, sf: str) -> DataFrame:
     seen = ops.visible(d.runs(spark, sf))

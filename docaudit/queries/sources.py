@@ -185,7 +185,7 @@ def pictures(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("src09_blocks_from_text", f"WITH {BLOCKS} SELECT doc_id, block_ix, 'b' || block_ix AS block_id, text, (pos - 1) * 12.0::DOUBLE AS y0 FROM blocks")
 def text_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = b.explode_blocks(b.blocks_from_text(d.spread(d.table(spark, sf, "documents"))))
+    rows = b.explode_blocks(b.blocks_from_text(d.table(spark, sf, "documents")))
     return rows.select("doc_id", F.col("block_ix").cast("long").alias("block_ix"), "block_id", "text", "y0")
 
 
@@ -307,11 +307,12 @@ def field_export(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "snk06_audit_summary",
-    f"""WITH {RUNS} SELECT 'outcome' AS part, outcome AS name, count(*) AS n FROM runs GROUP BY outcome
-UNION ALL SELECT 'latest', document_filename, id FROM (SELECT * FROM runs ORDER BY created_at DESC, id DESC LIMIT 25)""",
+    f"""WITH {RUNS} SELECT 'outcome' AS part, project_id, outcome AS name, count(*) AS n FROM runs GROUP BY project_id, outcome
+UNION ALL SELECT 'latest', project_id, document_filename, id
+FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS k FROM runs) WHERE k <= 25""",
 )
 def audit(spark: SparkSession, sf: str) -> DataFrame:
     counts, latest = sinks.audit_summary(d.runs(spark, sf))
-    return counts.select(F.lit("outcome").alias("part"), F.col("outcome").alias("name"), "n").unionByName(
-        latest.select(F.lit("latest").alias("part"), F.col("document_filename").alias("name"), F.col("id").alias("n"))
+    return counts.select(F.lit("outcome").alias("part"), "project_id", F.col("outcome").alias("name"), "n").unionByName(
+        latest.select(F.lit("latest").alias("part"), "project_id", F.col("document_filename").alias("name"), F.col("id").alias("n"))
     )

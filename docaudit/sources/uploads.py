@@ -25,12 +25,13 @@ def read_uploads(spark, path: str, glob: str = "*") -> DataFrame:
     )
 
 
-def admit_uploads(uploads: DataFrame, specs: DataFrame) -> DataFrame:
+def admit_uploads(uploads: DataFrame, specs: DataFrame, max_bytes: int | None = MAX_UPLOAD_BYTES) -> DataFrame:
     """Add ``accepted`` and ``reason`` (NULL when accepted); the file name loses its folders.
 
     ``uploads(…, filename, mime, n_bytes, project_id, schema_key, version_label)`` and
     ``specs(project_id, schema_key, version_label, status)``, unique per label. The join is an
     ordinary left join: a catalogue below the broadcast threshold is broadcast, a larger one is not.
+    Uploads above ``max_bytes`` are rejected; None admits any size.
     """
     known = specs.select("project_id", "schema_key", "version_label", F.col("status").alias("spec_status"))
     is_pdf = F.lower(F.coalesce("mime", F.lit(""))).contains("pdf") | F.lower("filename").endswith(".pdf")
@@ -38,7 +39,7 @@ def admit_uploads(uploads: DataFrame, specs: DataFrame) -> DataFrame:
         F.when(F.col("spec_status").isNull(), "unknown_checklist")
         .when(F.col("spec_status") != "active", "inactive_checklist")
         .when(~is_pdf, "not_pdf")
-        .when(F.col("n_bytes") > MAX_UPLOAD_BYTES, "too_large")
+        .when(F.lit(False) if max_bytes is None else F.col("n_bytes") > max_bytes, "too_large")
     )
     joined = uploads.join(known, ["project_id", "schema_key", "version_label"], "left")
     return joined.select(
