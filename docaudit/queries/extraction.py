@@ -158,10 +158,10 @@ def measurement_docs(spark: SparkSession, sf: str) -> DataFrame:
         "\n", F.lit("LAB REPORT"),
         F.when(k % 4 == 0, F.format_string("Measured pH: %.1f", size / 10)).when(k % 4 == 1, F.format_string("pH level %.1f", size / 10))
         .otherwise(F.format_string("pH = %.1f", size / 10)),
-        F.when(k % 5 == 0, F.format_string("Also note alcohol measured at %d on duplicate tank sample", size))
+        F.when(k % 5 == 0, F.format_string("The second flask showed alcohol measured at %d after cooling", size))
         .otherwise(F.format_string("Alcohol: %d.5%%", size)),
         F.when(k % 3 == 0, F.format_string("Quality panel %d of 100", size)).otherwise(F.format_string("Quality: %d", size)),
-        F.lit("Noise line A: batch temperature 22.7 C"),
+        F.lit("Stored on rack 18 behind the north door"),
     )
     return d.table(spark, sf, "part").select(k.alias("doc_id"), text_blocks(text).alias("blocks"))
 
