@@ -21,7 +21,9 @@ from pyspark.sql import types as T
 from .common import append_columns
 
 #: Pre-tokens that a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
+#: Texts of a batch that goes back to Spark.
+ROWS = 500
 
 
 def byte_letters() -> list[str]:
@@ -166,7 +168,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
         packed = [b"".join([p[0] for p in t.parts(x.as_py() or "")]) for x in column]
         return [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
 
-    return append_columns(df, [text], [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())], run)
+    return append_columns(df, [text], [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())], run, ROWS)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -177,4 +179,4 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
         t = tokenizer()
         return [pa.array([None if x is None else t.decode(np.frombuffer(x, "<u4").tolist()) for x in column.to_pylist()], pa.string())]
 
-    return append_columns(df, [ids], [T.StructField(text, T.StringType())], run)
+    return append_columns(df, [ids], [T.StructField(text, T.StringType())], run, ROWS)

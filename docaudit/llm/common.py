@@ -23,8 +23,11 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def append_columns(df: DataFrame, inputs: Sequence[str], fields: list[T.StructField], fn: Callable[..., list[pa.Array]]) -> DataFrame:
-    """All columns of ``df`` and those that ``fn`` makes of whole Arrow batches of ``inputs``; one narrow pass."""
+def append_columns(df: DataFrame, inputs: Sequence[str], fields: list[T.StructField], fn: Callable[..., list[pa.Array]], rows: int | None = None) -> DataFrame:
+    """All columns of ``df`` and those that ``fn`` makes of Arrow batches of ``inputs``; one narrow pass.
+
+    ``rows`` cuts the batches, where the new columns take much more memory than the old ones.
+    """
     ship_package(df.sparkSession)
     base = without(df, [f.name for f in fields])
     schema = T.StructType([*base.schema.fields, *fields])
@@ -32,7 +35,7 @@ def append_columns(df: DataFrame, inputs: Sequence[str], fields: list[T.StructFi
     arrow = to_arrow_schema(T.StructType(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, rows or whole.num_rows) for whole in batches for i in range(0, whole.num_rows, rows or max(1, whole.num_rows))):
             made = [x.cast(f.type) if x.type != f.type else x for x, f in zip(fn(*[b.column(i) for i in at]), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=schema.names)
 
