@@ -16,17 +16,18 @@ TAG_REQUIREMENTS = "array<struct<key:string,value:string>>"
 def normalized_tags(raw: Column) -> Column:
     """JSON object or list of ``{key, value}`` to a tag map.
 
-    Keys and values are trimmed, blank keys dropped, blank values NULL, the last repeat of a key wins.
+    Keys and values are trimmed, blank keys dropped, blank values NULL, the last repeat of a key wins. Items of a
+    list that are no objects are skipped. The text is parsed once.
     """
     empty = F.array().cast(TAG_REQUIREMENTS)
-    as_list = F.from_json(raw, TAG_REQUIREMENTS)
-    keys = F.json_object_keys(raw)
-    as_object = F.zip_with(
-        keys, F.transform(keys, lambda k: F.try_element_at(F.from_json(raw, "map<string,string>"), k)),
-        lambda k, v: F.struct(k.alias("key"), v.alias("value")),
-    )
-    is_list = strip(raw).startswith("[")
-    pairs = F.coalesce(F.when(is_list, as_list).otherwise(as_object), empty)
+    items = F.from_json(raw, "array<string>")
+
+    def from_list(values: Column) -> Column:
+        parsed = F.transform(F.filter(values, lambda x: strip(x).startswith("{")), lambda x: F.from_json(x, "struct<key:string,value:string>"))
+        return F.filter(parsed, lambda p: p.isNotNull())
+
+    # A map keeps the members of an object in the order of the text, repeats included.
+    pairs = F.coalesce(F.when(strip(raw).startswith("["), let(items, from_list)).otherwise(let(F.from_json(raw, "map<string,string>"), F.map_entries)), empty)
     tidy = F.filter(
         F.transform(pairs, lambda p: F.struct(strip(p["key"]).alias("key"), blank_to_null(p["value"]).alias("value"))),
         lambda p: F.coalesce(p["key"], F.lit("")) != "",

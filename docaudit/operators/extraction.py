@@ -97,7 +97,8 @@ def regex_reading(text: Column, f: Column) -> Column:
     def read(whole: Column, caps: Column) -> Column:
         def one(m: Column, i: Column) -> Column:
             taken = first(F.filter(F.transform(caps, lambda c: F.get(c, i)), lambda r: r != ""))
-            raw = F.when(F.size(caps) == 0, m).otherwise(taken)
+            # Without a group that took part the whole match is read; a group that is empty gives nothing.
+            raw = F.coalesce(taken, F.when((F.size(caps) == 0) | ~F.coalesce(F.regexp_like(m, f["regex_took"]), F.lit(False)), m))
             return F.struct(strip(m).alias("evidence"), coerce(raw, f["type"]).alias("value"))
 
         return first(F.filter(F.transform(whole, one), lambda m: is_set(m["value"])))

@@ -296,13 +296,17 @@ def merge_evaluations(verdicts_: DataFrame, evaluations: DataFrame, key: str = "
     return verdicts_.join(firsts, key, "left").select(key, merged.alias("status"))
 
 
-def normalize_evaluations(replies: DataFrame, checklist: Checklist, key: str = "doc_id") -> DataFrame:
+def normalize_evaluations(replies: DataFrame, checklist: Checklist, key: str = "doc_id", documents: DataFrame | None = None) -> DataFrame:
     """Reply tags to evaluations: declared or default tag, anything else (also an error) is ambiguous.
 
-    ``replies(key, field, evaluation)``; informative fields carry no evaluation.
+    ``replies(key, field, evaluation)``; informative fields carry no evaluation. With ``documents(key)`` every
+    document gets a row for every declared field, and a field without a readable reply is ambiguous.
     """
     specs = {s.name: s for s in checklist.open_ended}
     name = F.col("field")
+    if documents is not None:
+        declared = documents.select(key).distinct().withColumn("field", F.explode(F.array(*map(F.lit, specs)).cast("array<string>")))
+        replies = declared.join(replies.filter(name.isin(*specs)).select(key, "field", "evaluation"), [key, "field"], "left")
     tag = F.lower(F.trim(F.coalesce("evaluation", F.lit(""))))
     known = name.isin(*specs)
     informative = name.isin(*(n for n, s in specs.items() if s.informative_only))

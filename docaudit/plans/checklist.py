@@ -12,6 +12,8 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ from docaudit.functions.expressions import RuleSyntaxError, compile_rule
 FIELD_TYPE = (
     "struct<name:string,type:string,required:boolean,min:double,max:double,"
     "labels:array<struct<label:string,marked:string,plain:string>>,keys:array<string>,"
-    "regex:string,regex_groups:array<int>,has_aliases:boolean,spanish_dates:boolean,"
+    "regex:string,regex_took:string,regex_groups:array<int>,has_aliases:boolean,spanish_dates:boolean,"
     "is_total:boolean,is_email:boolean,skip_labels:boolean,recipient:boolean,"
     "strategy:string,semantic_role:string,gap_fill:boolean,judged:boolean>"
 )
@@ -41,20 +43,60 @@ MEASUREMENT_FIELDS = ("ph", "alcohol", "quality")
 # Accepted strategies for conflicting readings, and their synonyms.
 STRATEGIES = ("best_match", "first", "last", "highest_confidence", "any")
 STRATEGY_SYNONYMS = {"first-value": "first", "last-value": "last"}
+# Rules of a checklist that names none.
 DEFAULT_RULES = ["required", "range_validation", "type_check"]
 
 
 def java_pattern(pattern: str) -> str | None:
     """A user pattern for the JVM: Unicode classes on, ``.`` stops at ``\\n`` only.
 
-    Returns None for a pattern that does not compile; one bad pattern must not fail the whole job.
+    Open lower bounds and brackets inside classes are spelt out. Returns None for a pattern that does not compile
+    here or, where a session runs, in the JVM; see :func:`rejected_patterns`.
     """
     try:
         re.compile(pattern)
     except re.error:
         return None
-    translated = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    return "(?Ud)" + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", translated)
+    text = "(?Ud)" + _spelt_out(pattern)
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(text)
+        except Py4JJavaError:
+            return None
+    return text
+
+
+def _spelt_out(pattern: str) -> str:
+    """Named groups, ``{,n}``, ``[`` and ``&&`` inside a class as the JVM reads them."""
+    out, pos, in_class = [], 0, False
+    while pos < len(pattern):
+        rest = pattern[pos:]
+        if rest[0] == "\\":
+            piece = rest[:2]
+            out.append({"\\Z": "\\z"}.get(piece, piece))
+        elif in_class:
+            piece = rest[0]
+            in_class = piece != "]"
+            out.append("\\" + piece if piece in "[&" else piece)
+        elif rest[0] == "[":
+            in_class = True
+            piece = re.match(r"\[\^?\]?", rest)[0]
+            out.append(piece.replace("]", "\\]"))
+        elif m := re.match(r"\{,(\d+)\}", rest):
+            piece = m[0]
+            out.append("{0,%s}" % m[1])
+        elif m := re.match(r"\(\?P<(\w+)>", rest):
+            piece = m[0]
+            out.append(f"(?<{m[1]}>")
+        elif m := re.match(r"\(\?P=(\w+)\)", rest):
+            piece = m[0]
+            out.append(rf"\k<{m[1]}>")
+        else:
+            piece = rest[0]
+            out.append(piece)
+        pos += len(piece)
+    return "".join(out)
 
 
 def capture_order(pattern: str) -> list[int]:
@@ -141,6 +183,7 @@ class FieldSpec:
     def as_row(self) -> dict:
         labels = labels_for(self.name, self.aliases)
         regex = java_pattern(self.regex_hint) if self.regex_hint else None
+        groups = capture_order(self.regex_hint) if regex else []
         quoted = {lb: r"\Q" + lb.replace("\\E", "\\E\\\\E\\Q") + r"\E" for lb in labels}
         head = "(?Uid)"
         return {
@@ -159,7 +202,9 @@ class FieldSpec:
             ],
             "keys": sorted({_key(self.name), *(_key(a) for a in self.aliases)}),
             "regex": regex,
-            "regex_groups": capture_order(self.regex_hint) if regex else [],
+            # Matches a whole match in which some group took part: a reference to one that did not fails.
+            "regex_took": "(?Ud)^(?:" + regex + ")(?:" + "|".join(f"(?=\\{g})" for g in groups) + ")\\z" if groups else None,
+            "regex_groups": groups,
             "has_aliases": bool(self.aliases),
             "spanish_dates": self.type == "date"
             and (not self.regex_hint or re.search(r"de\s+\w+\s+de", self.regex_hint, re.I) is None),
@@ -329,6 +374,11 @@ def _open_ended(name: str, body: dict) -> OpenEndedSpec:
     )
 
 
+def rejected_patterns(checklist: Checklist) -> list[tuple[str, str]]:
+    """Fields whose pattern does not compile and is therefore not used, with the pattern."""
+    return [(f.name, f.regex_hint) for f in checklist.fields if f.regex_hint and java_pattern(f.regex_hint) is None]
+
+
 def spec_column(checklist: Checklist) -> Column:
     """The checklist as one constant struct (folded by the optimizer, never a join)."""
     return F.from_json(F.lit(json.dumps(checklist.as_row())), SPEC_TYPE)

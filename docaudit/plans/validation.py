@@ -19,6 +19,7 @@ from docaudit.operators.evidence import tightened
 from docaudit.plans.checklist import Checklist, spec_column, spec_table
 
 RESULTS = ("candidates", "field_map", "resolved", "outcomes", "status")
+UNKNOWN_CHECKLIST = "UNKNOWN_CHECKLIST"
 
 
 def _chosen(
@@ -86,6 +87,7 @@ class _Stages:
                 return F.transform(m, lambda e: mapping.entry(e["field"], e["status"], tightened(e["candidates"], ss)))
 
             df = self.add(df, "field_map", let(self.col("field_map"), lambda m: let(F.col(o["spans"]), lambda ss: tighten(m, ss))))
+            df = self.add(df, "candidates", let(self.col("candidates"), lambda cs: let(F.col(o["spans"]), lambda ss: tightened(cs, ss))))
         return self.judge(df)
 
     def judge(self, df: DataFrame) -> DataFrame:
@@ -130,7 +132,10 @@ def validate_documents(
     evaluations: str | None = None,
     keep: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
-    """Validate ``docs(…, blocks[, spec_id])``; returns ``keep`` + blocks + result columns.
+    """Validate ``docs(…, blocks[, spec_id])``; returns ``keep`` + blocks + result columns, one row per document.
+
+    With several checklists, a document whose ``spec_id`` is NULL or names none of them has the status
+    ``UNKNOWN_CHECKLIST`` and no results.
 
     Replies are optional columns of the document row: ``gap_replies MAP<STRING,STRING>``,
     ``context_replies MAP<STRING,STRUCT<value,block_id,evidence_text>>``,
@@ -140,7 +145,7 @@ def validate_documents(
     several = not isinstance(checklists, Checklist)
     specs = list(checklists) if several else [checklists]
     if several:
-        df = docs.join(spec_table(docs.sparkSession, specs), "spec_id")
+        df = docs.join(spec_table(docs.sparkSession, specs), "spec_id", "left")
         spec = F.col("spec")
     else:
         df, spec = docs, spec_column(specs[0])
@@ -167,6 +172,9 @@ def validate_documents(
     df = stages.settle(df)
     if page_replies is not None:
         df = _second_pass(df, spec, specs, options, page_replies)
+    if several:
+        df = df.withColumn("status", F.when(spec.isNull(), UNKNOWN_CHECKLIST).otherwise(F.col("status")))
+        df = df.withColumns({c: F.when(spec.isNotNull(), F.col(c)) for c in RESULTS if c != "status"})
     out = df.select(*keep, "blocks", *RESULTS, *([evaluations] if evaluations else []))
     if evaluations is not None:
         out = out.withColumn("status", verdicts.merge_evaluation(F.col("status"), F.col(evaluations)))

@@ -47,6 +47,32 @@ def regex(spark: SparkSession, sf: str) -> DataFrame:
     return shown(ops.extract_regex(d.order_reports(spark, sf), d.ORDER_CHECKLIST))
 
 
+LICENCE_CHECKLIST = Checklist.from_body(
+    "licence",
+    {"fields": {
+        "licence": {"type": "string", "regex_hint": r"under (?:the )?(CC BY-NC)?"},
+        "release": {"type": "string", "regex_hint": r"[Vv]ersion \d{,2}"},
+        "stop": {"type": "string", "regex_hint": r"Licens[[e]d"},
+        "broken": {"type": "string", "regex_hint": r"(*under"},
+    }},
+)
+
+
+@query(
+    "ext01b_extract_odd_patterns",
+    f"""WITH {BLOCKS}, hits AS (
+  SELECT doc_id, block_ix, 0 AS f, 'licence' AS field, CASE WHEN contains(text, 'under CC BY-NC') AND position('under CC BY-NC' IN text) = position('under ' IN text) THEN 'CC BY-NC'
+      ELSE trim(regexp_extract(text, 'under (?:the )?')) END AS value_str FROM blocks WHERE contains(text, 'under ')
+  UNION ALL SELECT doc_id, block_ix, 1, 'release', regexp_extract(text, '[Vv]ersion [0-9]{{0,2}}') FROM blocks WHERE regexp_matches(text, '[Vv]ersion ')
+  UNION ALL SELECT doc_id, block_ix, 2, 'stop', regexp_extract(text, 'Licens[\\[e]d') FROM blocks WHERE regexp_matches(text, 'Licens[\\[e]d'))
+SELECT doc_id, block_ix, field, trim(value_str) AS value_str FROM hits""",
+)
+def odd_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """An optional group, an open lower bound, a bracket in a class, and a pattern that compiles nowhere."""
+    rows = ops.extract_regex(d.document_blocks(spark, sf), LICENCE_CHECKLIST)
+    return rows.select("doc_id", F.col("block_ix").cast("long").alias("block_ix"), "field", "value_str")
+
+
 @query(
     "ext02_guard_totals",
     """SELECT l_orderkey AS doc_id, l_linenumber AS line, l_extendedprice AS amount FROM lineitem WHERE l_linenumber % 4 NOT IN (1, 2)""",

@@ -13,6 +13,8 @@ from docaudit.plans.checklist import Checklist, spec_column
 from docaudit.functions.text import let
 
 from .fields import settled
+from docaudit.sources.replies import parse_model_replies
+
 from .registry import query
 from .sql import REPORT_STATUS, REPORTS
 
@@ -254,6 +256,31 @@ def evaluation_tags(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.normalize_evaluations(rows, OPEN_CHECKLIST).withColumn("evaluation", F.coalesce("evaluation", F.lit("")))
 
 
+LOST_CHECKLIST = Checklist.from_body(
+    "lost", {"version": "3", "fields": {}, "open_ended": {
+        "tone": {"extract_prompt": "x", "evaluate_prompt": "calm?"}, "ending": {"extract_prompt": "x", "evaluate_prompt": "whole?"}}},
+)
+
+
+@query(
+    "rul12b_lost_replies",
+    """WITH s AS (SELECT doc_id, unnest(['tone', 'ending']) AS field FROM documents),
+e AS (SELECT doc_id, bool_or(doc_id % 5 = 0 AND field = 'tone' AND doc_id % 3 <> 0) AS failed, bool_or(doc_id % 3 = 0 OR field = 'ending' AND doc_id % 4 = 0) AS unclear FROM s GROUP BY doc_id)
+SELECT doc_id, CASE WHEN failed THEN 'FAIL' WHEN unclear THEN 'AMBIGUOUS' ELSE 'PASS' END AS status FROM e""",
+)
+def lost_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the documents has unreadable replies and others lack one: no field may count as clean for want of a reply."""
+    k = F.col("doc_id")
+    docs = d.table(spark, sf, "documents").select("doc_id", F.lit("PASS").alias("status"))
+    asked = docs.select("doc_id", F.explode(F.array(F.lit("tone"), F.lit("ending"))).alias("field")).filter((F.col("field") != "ending") | (k % 4 != 0))
+    tag = F.when((k % 5 == 0) & (F.col("field") == "tone"), "fail").otherwise("pass")
+    raw = F.when(k % 3 == 0, "no json at all").otherwise(F.concat(F.lit('{"evaluation": "'), tag, F.lit('"}')))
+    replies = parse_model_replies(asked.withColumn("reply", raw), "evaluation string").select("doc_id", "field", "parsed.evaluation")
+    evaluations = verdicts.normalize_evaluations(replies, LOST_CHECKLIST, documents=docs)
+    order = F.when(F.col("evaluation") == "fail", 0).otherwise(1)
+    return verdicts.merge_evaluations(docs, evaluations.withColumn("ix", order))
+
+
 @query("rul13_needs_retry", f"SELECT p_partkey AS doc_id FROM part WHERE ({_BAD}) > 0 AND (p_partkey % 6 = 0 OR p_partkey % 5 = 0)")
 def retry(spark: SparkSession, sf: str) -> DataFrame:
     outs = part_outcomes(spark, sf)
@@ -295,3 +322,12 @@ def validate_several(spark: SparkSession, sf: str) -> DataFrame:
     return v.validate_documents(docs, [d.ORDER_CHECKLIST, loose], measurements=False).select("doc_id", "status")
 
 
+@query(
+    "rul14f_unknown_checklists",
+    f"""WITH {REPORT_STATUS} SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'UNKNOWN_CHECKLIST' ELSE outcome END AS status FROM verdict""",
+)
+def validate_unknown(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the documents names no checklist and a third an unknown one: each still has its row."""
+    k = F.col("doc_id")
+    docs = d.order_reports(spark, sf).withColumn("spec_id", F.when(k % 3 == 0, "order_report").when(k % 3 == 1, "no such checklist"))
+    return v.validate_documents(docs, [d.ORDER_CHECKLIST], measurements=False).select("doc_id", "status")
