@@ -108,20 +108,22 @@ def with_column_band(df: DataFrame) -> DataFrame:
     return df.withColumn("blocks", let(F.col("blocks"), banded))
 
 
-def sparse_documents(df: DataFrame) -> DataFrame:
-    """Flag documents with hardly any text; ``image_pages ARRAY<INT>`` lists pages that hold images."""
-    total = F.aggregate("blocks", F.lit(0), lambda acc, b: acc + F.length(strip(b["text"])))
+def text_chars(blocks: Column) -> Column:
+    return F.aggregate(blocks, F.lit(0), lambda acc, b: acc + F.length(strip(b["text"])))
 
-    def page_chars(p: Column) -> Column:
-        return F.aggregate(
-            "blocks", F.lit(0),
-            lambda acc, b: acc + F.when(b["page"] == p, F.length(strip(b["text"]))).otherwise(0),
-        )
 
-    thin_image_page = F.exists("image_pages", lambda p: page_chars(p) < SPARSE_PAGE_CHARS)
-    return df.withColumn("text_chars", total).withColumn(
-        "is_sparse", (F.col("text_chars") < SPARSE_DOCUMENT_CHARS) | F.coalesce(thin_image_page, F.lit(False))
-    )
+def sparse_text(blocks: Column, image_pages: Column) -> Column:
+    """Hardly any text in the document, or on a page that holds an image."""
+
+    def thin(p: Column) -> Column:
+        return text_chars(F.filter(blocks, lambda b: b["page"] == p)) < SPARSE_PAGE_CHARS
+
+    return (text_chars(blocks) < SPARSE_DOCUMENT_CHARS) | F.coalesce(F.exists(image_pages, thin), F.lit(False))
+
+
+def sparse_documents(df: DataFrame) -> DataFrame:
+    """Flag documents with hardly any text; ``image_pages ARRAY<INT>`` lists pages that hold images."""
+    return df.withColumn("text_chars", text_chars(F.col("blocks"))).withColumn("is_sparse", sparse_text(F.col("blocks"), F.col("image_pages")))
 
 
 def _one_line(text: Column) -> Column:

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.text import compact, exploding, let
 from docaudit.operators import extraction, mapping, verdicts
+from docaudit.operators.blocks import sparse_text
 from docaudit.operators.evidence import tightened
 from docaudit.plans.checklist import Checklist, spec_column, spec_table
+from docaudit.plans.normalise import normalised_body
 
 RESULTS = ("candidates", "field_map", "resolved", "outcomes", "status")
 UNKNOWN_CHECKLIST = "UNKNOWN_CHECKLIST"
@@ -130,6 +132,8 @@ def validate_documents(
     page_replies: str | None = None,
     judge_verdicts: str | None = None,
     evaluations: str | None = None,
+    image_pages: str | None = None,
+    normalise: bool = True,
     keep: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
     """Validate ``docs(…, blocks[, spec_id])``; returns ``keep`` + blocks + result columns, one row per document.
@@ -139,11 +143,15 @@ def validate_documents(
 
     Replies are optional columns of the document row: ``gap_replies MAP<STRING,STRING>``,
     ``context_replies MAP<STRING,STRUCT<value,block_id,evidence_text>>``,
-    ``page_replies MAP<STRING,STRING>`` (a second pass, only for documents that fail for want of a
-    value), ``judge_verdicts MAP<STRING,BOOLEAN>`` and ``evaluations ARRAY<STRING>``.
+    ``page_replies MAP<STRING,STRING>`` (used where a document has hardly any text, ``image_pages`` being its pages
+    with images, or lacks a required value, and in a second pass by documents that fail for want of a value and have
+    not used theirs), ``judge_verdicts MAP<STRING,BOOLEAN>`` and ``evaluations ARRAY<STRING>``. Checklists are
+    normalised from their bodies first, unless told otherwise.
     """
     several = not isinstance(checklists, Checklist)
     specs = list(checklists) if several else [checklists]
+    if normalise:
+        specs = [Checklist.from_body(c.spec_id, normalised_body(c.body)) if c.body else c for c in specs]
     if several:
         df = docs.join(spec_table(docs.sparkSession, specs), "spec_id", "left")
         spec = F.col("spec")
@@ -168,6 +176,8 @@ def validate_documents(
             lambda t: let(F.col("blocks"), lambda b: let(F.col(gap_replies), lambda r: extraction.reply_candidates(r, t, b))),
         )
         df = df.withColumn("candidates", F.concat("candidates", extra)).drop("_targets")
+    if page_replies is not None:
+        df = _first_page_pass(df, stages, page_replies, image_pages)
     df = df.withColumn("candidates", let(F.col("candidates"), mapping.deduped))
     df = stages.settle(df)
     if page_replies is not None:
@@ -181,18 +191,31 @@ def validate_documents(
     return out
 
 
+def _page_candidates(spec: Column, replies: str) -> Column:
+    page = F.coalesce(F.get(F.col("blocks"), F.lit(0))["page"], F.lit(1))
+    return let(spec["fields"], lambda fs: let(F.col(replies), lambda r: extraction.page_reply_candidates(r, fs, page)))
+
+
+def _first_page_pass(df: DataFrame, stages: _Stages, replies: str, image_pages: str | None) -> DataFrame:
+    """Page replies of documents with hardly any text or without a required value join the candidates."""
+    lacking = stages._with(
+        "candidates", lambda cs, fs: let(mapping.field_map(cs, fs), lambda m: mapping.missing_required_fields(m, fs))
+    )
+    pages = F.col(image_pages) if image_pages else F.array().cast("array<int>")
+    wanted = let(F.col("blocks"), lambda b: sparse_text(b, pages)) | (F.size(lacking) > 0)
+    df = df.withColumn("_page", F.when(wanted, _page_candidates(stages.spec, replies)).otherwise(extraction.no_candidates()))
+    return df.withColumn("candidates", F.concat("candidates", "_page")).withColumn("_page_used", F.size("_page") > 0).drop("_page")
+
+
 def _second_pass(df: DataFrame, spec: Column, specs: Sequence[Checklist], options: dict, replies: str) -> DataFrame:
     """Read documents again that fail for want of a value, now with the page replies."""
     lacking = let(
         F.col("field_map"), lambda m: let(spec["fields"], lambda fs: mapping.missing_required_fields(m, fs))
     )
     failed_required = F.exists("outcomes", lambda o: (o["rule"] == "required") & ~o["passed"])
-    df = df.withColumn("_retry", (F.col("status") == "FAIL") & ((F.size(lacking) > 0) | failed_required))
+    df = df.withColumn("_retry", (F.col("status") == "FAIL") & ~F.col("_page_used") & ((F.size(lacking) > 0) | failed_required))
     again = _Stages(spec, specs, options, "_2", F.col("_retry"))
-    page = F.coalesce(F.get(F.col("blocks"), F.lit(0))["page"], F.lit(1))
-    more = let(
-        spec["fields"], lambda fs: let(F.col(replies), lambda r: extraction.page_reply_candidates(r, fs, page))
-    )
+    more = _page_candidates(spec, replies)
     df = again.add(df, "candidates", let(F.concat("candidates", more), mapping.deduped))
     df = again.settle(df)
     merged = {c: F.when(F.col("_retry"), F.col(f"{c}_2")).otherwise(F.col(c)) for c in RESULTS}

@@ -13,6 +13,7 @@ from docaudit.plans.checklist import Checklist, spec_column
 from docaudit.functions.text import let
 
 from .fields import settled
+from docaudit.sources.blocks import text_blocks
 from docaudit.sources.replies import parse_model_replies
 
 from .registry import query
@@ -331,3 +332,37 @@ def validate_unknown(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id")
     docs = d.order_reports(spark, sf).withColumn("spec_id", F.when(k % 3 == 0, "order_report").when(k % 3 == 1, "no such checklist"))
     return v.validate_documents(docs, [d.ORDER_CHECKLIST], measurements=False).select("doc_id", "status")
+
+
+@query(
+    "rul14d_validate_sparse_pages",
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND n < 60 THEN 'AMBIGUOUS' ELSE 'PASS' END AS status
+FROM (SELECT doc_id, length('Shelf: ' || doc_id) + CASE WHEN doc_id % 3 = 0 THEN length(repeat('dust ', 20)) - 1 ELSE 0 END AS n FROM documents)""",
+)
+def validate_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """Page replies that disagree are read where a document has hardly any text, and only there."""
+    shelf = Checklist.from_body("shelf", {"fields": {"shelf": {"type": "number", "required": True}}})
+    k = F.col("doc_id")
+    text = F.concat_ws("\n", F.concat(F.lit("Shelf: "), k.cast("string")), F.when(k % 3 == 0, F.repeat(F.lit("dust "), 20)))
+    docs = d.table(spark, sf, "documents").select(
+        "doc_id", text_blocks(text).alias("blocks"),
+        F.when(k % 2 == 0, F.create_map(F.lit("shelf"), (k + 7).cast("string"))).alias("pages"),
+    )
+    return v.validate_documents(docs, shelf, page_replies="pages").select("doc_id", "status")
+
+
+@query(
+    "rul14e_validate_normalised",
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'FAIL' WHEN doc_id % 7 = 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM documents""",
+)
+def validate_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    """A body with a synonym, without hints, and with an equality rule, read as the catalogue would store it."""
+    raw = Checklist.from_body("raw", {
+        "version": "2",
+        "fields": {"amount_due": {"type": "number", "required": True}, "copies": {"type": "number", "required": True, "rules": [{"rule_name": "equals", "value": 2}]}},
+        "cross_field_rules": [{"id": "positive", "expression": "amount_due > 0", "fields": ["amount_due"]}],
+    })
+    k = F.col("doc_id")
+    text = F.concat_ws("\n", F.concat(F.lit("Importe por pagar: USD "), F.when(k % 5 == 0, "0").otherwise("12.50")), F.concat(F.lit("Copies: "), F.when(k % 7 == 0, "3").otherwise("2")))
+    docs = d.table(spark, sf, "documents").select("doc_id", text_blocks(text).alias("blocks"))
+    return v.validate_documents(docs, raw).select("doc_id", "status")
