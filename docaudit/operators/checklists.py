@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docaudit.session import ship_package
 from docaudit.functions.expressions import RuleSyntaxError, compile_rule
 from docaudit.functions.text import compact, strip
 from docaudit.plans.checklist import DEFAULT_RULES, STRATEGIES, STRATEGY_SYNONYMS
@@ -197,7 +198,15 @@ def lint_specs(specs: DataFrame, key: str = "spec_id", body: str = "body") -> Da
     once through the rule compiler, distinct texts only; everything else is built in.
     """
     v = F.col("v")
-    parsed = specs.select(key, F.try_parse_json(F.col(body)).alias("v"))
+    ship_package(specs.sparkSession)
+    read = specs.select(key, F.try_parse_json(F.col(body)).alias("v"))
+    broken = F.coalesce(_kind(v), F.lit("")) != "OBJECT"
+    no_fields = _present(v, "$.fields") & (_kind(_get(v, "$.fields", "variant")) != "OBJECT")
+    # A body that is no object, or whose fields are none, has that finding alone.
+    fatal = read.select(key, F.inline(compact(F.array(
+        _issue(broken, "body_not_object", F.lit("body")), _issue(~broken & F.coalesce(no_fields, F.lit(False)), "fields_not_object", F.lit("body")),
+    ))))
+    parsed = read.filter(~broken & ~F.coalesce(no_fields, F.lit(False)))
     whole = parsed.select(key, F.inline(compact(F.array(*_header_issues(v)))))
     fields = parsed.select(key, F.explode(_entries(v, "$.fields")).alias("e")).select(
         key, F.inline(compact(F.array(*_field_issues(F.col("e.key"), F.col("e.value")))))
@@ -210,7 +219,7 @@ def lint_specs(specs: DataFrame, key: str = "spec_id", body: str = "body") -> Da
         F.explode(_entries(v, "$.open_ended")).alias("e"),
     ).select(key, F.inline(_open_ended_issues(F.col("e.key"), F.col("e.value"), F.col("names"))))
     rules = _expression_issues(parsed, key)
-    return whole.unionByName(fields).unionByName(groups).unionByName(open_ended).unionByName(rules)
+    return fatal.unionByName(whole).unionByName(fields).unionByName(groups).unionByName(open_ended).unionByName(rules)
 
 
 def _header_issues(v: Column) -> list[Column]:
@@ -219,15 +228,16 @@ def _header_issues(v: Column) -> list[Column]:
     ext = _get(v, "$.extraction", "variant")
     context = F.lower(F.coalesce(F.nullif(_get(v, "$.extraction.context_pass", "string"), F.lit("")), F.lit("when_needed")))
     images = _get(v, "$.extraction.read_images", "variant")
+    open_ended = _get(v, "$.open_ended", "variant")
     at = F.lit("body")
     return [
-        _issue(_present(v, "$.fields") & (_kind(_get(v, "$.fields", "variant")) != "OBJECT"), "fields_not_object", at),
         _issue(extended & ~version.isin("2", "3"), "version_2_required", at),
         _issue(_present(v, "$.open_ended") & (version != "3"), "version_3_required", at),
         _issue(ext.isNotNull() & ~F.is_variant_null(ext) & (_kind(ext) != "OBJECT"), "extraction_not_object", at),
         _issue((_kind(ext) == "OBJECT") & ~context.isin(*CONTEXT_PASSES), "bad_context_pass", at, context),
         _issue(images.isNotNull() & ~F.is_variant_null(images) & (_kind(images) != "BOOLEAN"), "read_images_not_boolean", at),
         _issue(_present(v, "$.groups") & (_kind(_get(v, "$.groups", "variant")) != "OBJECT"), "groups_not_object", at),
+        _issue(open_ended.isNotNull() & ~F.is_variant_null(open_ended) & (_kind(open_ended) != "OBJECT"), "open_ended_not_object", at),
     ]
 
 

@@ -133,10 +133,14 @@ def evaluate_cohorts(runs: DataFrame, cohorts: DataFrame) -> DataFrame:
     """All saved cohorts in one job; cohorts nothing matches stay with zeros.
 
     ``cohorts(id, project_id, schema_key, version_label, outcomes, tags, threshold)``. Runs are first
-    counted per project, checklist, version, outcome and tag set. Only those counts meet the cohorts,
-    so neither the number of runs nor a project that owns a third of them shapes the join.
+    counted per project, checklist, version, outcome and values of those tags that some cohort of the project asks
+    for; a tag that differs for every run and is asked for by none makes no counts of its own. Only the counts meet
+    the cohorts, so neither the number of runs nor a project that owns a third of them shapes the join.
     """
-    tags = F.sort_array(F.map_entries(F.coalesce("attributes", F.create_map().cast("map<string,string>"))))
+    asked = cohorts.select("project_id", F.explode("tags").alias("t")).groupBy("project_id").agg(F.collect_set(strip("t.key")).alias("asked"))
+    runs = runs.join(asked, "project_id", "left")
+    entries = F.map_entries(F.coalesce("attributes", F.create_map().cast("map<string,string>")))
+    tags = F.sort_array(F.filter(entries, lambda e: F.coalesce(F.array_contains("asked", e["key"]), F.lit(False))))
     counted = runs.groupBy(
         F.col("project_id").alias("run_project"), F.col("schema_key").alias("run_key"),
         F.col("version_label").alias("run_version"), F.col("outcome").alias("run_outcome"), tags.alias("run_tags"),
@@ -171,19 +175,20 @@ def tag_vocabulary(runs: DataFrame, by: Sequence[str] = ("project_id",)) -> Data
     """
     from .runs import visible
 
-    pairs = (
-        visible(runs).select(*by, F.explode("attributes").alias("tag_key", "tag_value"))
-        .select(*by, "tag_key", F.nullif("tag_value", F.lit("")).alias("tag_value")).distinct()
-    )
-    valued = pairs.filter("tag_value is not null")
-    bare = pairs.filter("tag_value is null").join(valued.select(*by, "tag_key").distinct(), [*by, "tag_key"], "left_anti")
-    return valued.unionByName(bare)
+    pairs = visible(runs).select(*by, F.explode("attributes").alias("tag_key", "tag_value"))
+    return _bare_keys_last(pairs.select(*by, "tag_key", F.nullif("tag_value", F.lit("")).alias("tag_value")), [*by, "tag_key"])
+
+
+def _bare_keys_last(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct pairs; a NULL value only for keys that have no other.
+
+    The pairs are made distinct once; a key's number of values is counted over those.
+    """
+    distinct = pairs.select(*keys, "tag_value").distinct()
+    valued = distinct.groupBy(*keys).agg(F.count("tag_value").alias("_n")).filter("_n = 0").select(*keys, F.lit(None).cast("string").alias("tag_value"))
+    return distinct.filter("tag_value is not null").unionByName(valued)
 
 
 def merge_vocabularies(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union of two vocabularies in long form; a bare key survives only where it has no value."""
-    keys = [c for c in a.columns if c != "tag_value"]
-    both = a.unionByName(b).distinct()
-    valued = both.filter("tag_value is not null")
-    bare = both.filter("tag_value is null").join(valued.select(*keys).distinct(), keys, "left_anti")
-    return valued.unionByName(bare)
+    return _bare_keys_last(a.unionByName(b), [c for c in a.columns if c != "tag_value"])

@@ -237,7 +237,7 @@ def rule_cross_field(wide: DataFrame, checklist: Checklist, key: str) -> DataFra
         for n in compiled.names:
             applies = applies & F.col(n).isNotNull()
         passed = compiled.column(lambda n: F.col(n).cast("double"))
-        anchor = rule.fields[0] if rule.fields else compiled.names[0]
+        anchor = (*rule.fields, *compiled.names, rule.id)[0]
         expected = F.when(passed, F.lit(rule.expression)).otherwise(
             interpolate_numbers(rule.message, {n: F.col(n) for n in compiled.names})
         )
@@ -253,11 +253,6 @@ def rule_cross_field(wide: DataFrame, checklist: Checklist, key: str) -> DataFra
     return wide.select(key, F.inline(compact(F.array(*parts))))
 
 
-def ledger(outcomes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Globally sorted ledger (range-partitioned sort)."""
-    return outcomes.withColumn("rule_rank", rule_order(F.col("rule"))).orderBy(key, "field", "rule_rank", "rule")
-
-
 def verdicts(outcomes: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """PASS iff no outcome failed. Only failures travel: they are aggregated before the join."""
     failed = outcomes.filter(~F.col("passed")).groupBy(key).agg(F.count("*").alias("n_failed"))

@@ -134,7 +134,14 @@ def bodies(spark: SparkSession, sf: str) -> DataFrame:
         F.create_map(F.lit("items"), group).alias("groups"), F.create_map(F.lit("sum"), summary).alias("open_ended"),
         F.struct(F.when(k % 6 == 0, "often").otherwise("never").alias("context_pass"), F.when(k % 6 == 1, "yes").alias("read_images")).alias("extraction"),
     )
-    return d.table(spark, sf, "part").select(k.alias("spec_id"), F.to_json(body).alias("body"))
+    whole = F.to_json(body)
+    # A few bodies are no JSON, or have a list where an object belongs.
+    text = (
+        F.when(k % 97 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1))
+        .when(k % 97 == 1, F.lit('{"fields": ["price"], "groups": {"items": 3}}'))
+        .when(k % 97 == 2, F.lit('{"version": "3", "fields": {}, "open_ended": ["sum"]}')).otherwise(whole)
+    )
+    return d.table(spark, sf, "part").select(k.alias("spec_id"), text.alias("body"))
 
 
 @query(
@@ -156,7 +163,8 @@ def bodies(spark: SparkSession, sf: str) -> DataFrame:
    {'code': CASE WHEN p_partkey % 4 = 1 THEN 'bad_expression' END, 'subject': 'cross_field_rules.r1', 'detail': 'price >'},
    {'code': CASE WHEN p_partkey % 4 = 2 THEN 'expression_required' END, 'subject': 'cross_field_rules.r1', 'detail': ''},
    {'code': CASE WHEN p_partkey % 3 = 0 AND p_partkey % 4 IN (0, 3) THEN 'unknown_listed_field' END, 'subject': 'cross_field_rules.r1', 'detail': 'ghost'},
-   {'code': CASE WHEN p_size % 5 = 0 THEN 'unknown_name' END, 'subject': 'groups.items.g', 'detail': 'tax'}]) AS x FROM part) WHERE x.code IS NOT NULL""",
+   {'code': CASE WHEN p_size % 5 = 0 THEN 'unknown_name' END, 'subject': 'groups.items.g', 'detail': 'tax'}]) AS x FROM part WHERE p_partkey % 97 > 2) WHERE x.code IS NOT NULL
+UNION ALL SELECT p_partkey, CASE p_partkey % 97 WHEN 0 THEN 'body_not_object' WHEN 1 THEN 'fields_not_object' ELSE 'open_ended_not_object' END, 'body', '' FROM part WHERE p_partkey % 97 <= 2""",
 )
 def lint(spark: SparkSession, sf: str) -> DataFrame:
     return ops.lint_specs(bodies(spark, sf)).withColumn("detail", F.coalesce("detail", F.lit("")))

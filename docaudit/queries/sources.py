@@ -261,20 +261,30 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "snk03_export_runs_csv",
     f"""WITH {RUNS} SELECT '"' || project_id || ', ' || document_filename || '",' || schema_key || ',' || version_label || ',' || outcome || ','
-   || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || ',' || id AS line FROM runs""",
+   || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z,' || id AS line FROM runs
+UNION ALL SELECT 'document_filename,schema_key,version_label,outcome,created_at,run_id'""",
 )
 def csv_export(spark: SparkSession, sf: str) -> DataFrame:
+    """The written files read back as text; their headers count once."""
     named = d.runs(spark, sf).withColumn("document_filename", F.concat_ws(", ", "project_id", "document_filename"))
-    return sinks.csv_lines(sinks.history_table(named))
+    path = scratch_folder(spark)
+    sinks.export_runs_csv(named, path)
+    lines, header = spark.read.text(path).withColumnRenamed("value", "line"), F.col("line").startswith("document_filename,")
+    return lines.filter(~header).unionByName(lines.filter(header).distinct())
 
 
 @query(
     "snk04_export_runs_json",
     f"""WITH {RUNS} SELECT id AS run_id, '{{"document_filename":"' || document_filename || '","schema_key":"' || schema_key || '","version_label":"'
-   || version_label || '","outcome":"' || outcome || '","created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '","run_id":' || id || '}}' AS line FROM runs""",
+   || version_label || '","outcome":"' || outcome || '","created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || 'Z","run_id":' || id || '}}' AS line FROM runs
+UNION ALL SELECT -1, '{{"count":' || count(*) || '}}' FROM runs""",
 )
 def json_export(spark: SparkSession, sf: str) -> DataFrame:
-    return sinks.json_lines(d.runs(spark, sf))
+    """The written lines and the summary read back as text."""
+    path = scratch_folder(spark)
+    sinks.export_runs_json(d.runs(spark, sf), path)
+    rows = spark.read.text(f"{path}/runs").select(F.get_json_object("value", "$.run_id").cast("long").alias("run_id"), F.col("value").alias("line"))
+    return rows.unionByName(spark.read.text(f"{path}/summary").select(F.lit(-1).cast("long").alias("run_id"), F.col("value").alias("line")))
 
 
 FIELD_ROWS_SQL = f"""{REPORT_STATUS},
