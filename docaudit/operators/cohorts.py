@@ -182,11 +182,15 @@ def tag_vocabulary(runs: DataFrame, by: Sequence[str] = ("project_id",)) -> Data
 def _bare_keys_last(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct pairs; a NULL value only for keys that have no other.
 
-    The pairs are made distinct once; a key's number of values is counted over those.
+    Every value also marks its key's NULL row as superfluous, so one aggregation does; the marks of a key combine
+    before the shuffle.
     """
-    distinct = pairs.select(*keys, "tag_value").distinct()
-    valued = distinct.groupBy(*keys).agg(F.count("tag_value").alias("_n")).filter("_n = 0").select(*keys, F.lit(None).cast("string").alias("tag_value"))
-    return distinct.filter("tag_value is not null").unionByName(valued)
+    value = F.col("tag_value")
+    mark = lambda v, has: F.struct(v.cast("string").alias("v"), F.lit(has).alias("has"))
+    none = F.lit(None)
+    marks = F.when(value.isNotNull(), F.array(mark(value, True), mark(none, True))).otherwise(F.array(mark(none, False)))
+    rows = pairs.select(*keys, F.explode(marks).alias("m")).groupBy(*keys, F.col("m.v").alias("tag_value")).agg(F.bool_or("m.has").alias("has"))
+    return rows.filter("tag_value is not null or not has").drop("has")
 
 
 def merge_vocabularies(a: DataFrame, b: DataFrame) -> DataFrame:

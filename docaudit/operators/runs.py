@@ -102,12 +102,6 @@ def corrected_values(resolved: DataFrame, corrections: DataFrame, types: dict[st
     )
 
 
-def remaining_ambiguity(ambiguous: DataFrame, corrections: DataFrame, key: str = "run_id") -> DataFrame:
-    """Ambiguous fields of corrected runs that no correction settled."""
-    touched = corrections.select(key).distinct()
-    return ambiguous.join(touched, key, "left_semi").join(corrections.select(key, "field"), [key, "field"], "left_anti")
-
-
 def correction_status(base: Column, first_evaluation: Column) -> Column:
     """After a correction the first failing or ambiguous evaluation decides, whatever the rules said."""
     return F.when(first_evaluation == "fail", "FAIL").when(first_evaluation == "ambiguous", "AMBIGUOUS").otherwise(base)
@@ -122,49 +116,63 @@ def apply_corrections(
     ``group_outcomes(key, passed)`` are the parent run's outcomes of repeating groups; corrections do
     not touch them, so a failed one still fails the run.
 
-    Rules run over the long table with the flat rule operators; cross-field rules over a pivot with a
-    fixed field list (no extra job to find its columns).
+    All inputs become tagged rows of one table and are aggregated once per run, so there is one shuffle, and partial
+    aggregates go into it. What a run collects is bounded by its checklist's fields.
     """
     from docaudit.operators import verdicts as v
 
-    types = {f.name: f.type or "string" for f in checklist.fields}
-    values = corrected_values(resolved, corrections, types, key)
-    open_ = remaining_ambiguity(ambiguous, corrections, key).select(key).distinct()
-    docs = corrections.select(key).distinct()
-    clear = docs.join(open_, key, "left_anti")
-    names = [f.name for f in checklist.fields]
-    wide = values.groupBy(key).agg(
-        *(F.max(F.when(F.col("field") == n, F.col("value_num"))).alias(n) for n in names),
-        *(F.bool_or((F.col("field") == n)).alias(f"has_{n}") for n in names),
-    )
-    failing = F.lit(False)
+    types = F.create_map(*(x for f in checklist.fields for x in (F.lit(f.name), F.lit(f.type or "string"))))
+    no_text, no_number, yes = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(True)
+
+    def tagged(df: DataFrame, tag: str, field: Column = no_text, num: Column = no_number, text: Column = no_text, at: Column | None = None) -> DataFrame:
+        return df.select(
+            F.col(key), F.lit(tag).alias("tag"), field.alias("field"), num.cast("double").alias("num"), text.cast("string").alias("text"),
+            (F.lit(None) if at is None else at).cast("long").alias("at"),
+        )
+
+    typ = F.coalesce(F.try_element_at(types, F.col("field")), F.lit("string"))
+    new = corrections.withColumn("to", coerce_correction(F.col("raw"), typ))
+    rows = tagged(resolved, "old", F.col("field"), F.col("value_num")).unionByName(tagged(new, "new", F.col("field"), F.col("to.num")))
+    rows = rows.unionByName(tagged(ambiguous, "open", F.col("field")))
+    if evaluations is not None:
+        decisive = evaluations.filter("not informative_only and evaluation in ('fail', 'ambiguous')")
+        rows = rows.unionByName(tagged(decisive, "evaluation", text=F.col("evaluation"), at=F.col("ix")))
+    if group_outcomes is not None:
+        rows = rows.unionByName(tagged(group_outcomes.filter(~F.col("passed")), "bad group"))
+
+    tag = F.col("tag")
+    is_field = {f.name: F.col("field") == f.name for f in checklist.fields}
+    of = [
+        x
+        for i, here in enumerate(is_field.values())
+        for x in (
+            F.bool_or((tag == "new") & here).alias(f"new{i}"), F.max(F.when((tag == "new") & here, F.col("num"))).alias(f"new_num{i}"),
+            F.bool_or((tag == "old") & here).alias(f"old{i}"), F.max(F.when((tag == "old") & here, F.col("num"))).alias(f"old_num{i}"),
+        )
+    ]
+    per_run = rows.groupBy(key).agg(
+        F.bool_or(tag == "new").alias("touched"), F.bool_or(tag == "bad group").alias("bad_group"),
+        F.collect_set(F.when(tag == "open", F.col("field"))).alias("open"), F.collect_set(F.when(tag == "new", F.col("field"))).alias("settled"),
+        F.min_by(F.when(tag == "evaluation", F.col("text")), F.when(tag == "evaluation", F.col("at"))).alias("first"), *of,
+    ).filter("touched")
+    value = {n: F.when(F.col(f"new{i}"), F.col(f"new_num{i}")).otherwise(F.col(f"old_num{i}")) for i, n in enumerate(is_field)}
+    has = {n: F.coalesce(F.col(f"new{i}"), F.lit(False)) | F.coalesce(F.col(f"old{i}"), F.lit(False)) for i, n in enumerate(is_field)}
+    failing = F.col("bad_group")
     for f in checklist.fields:
-        has = F.coalesce(F.col(f"has_{f.name}"), F.lit(False))
         if f.required and "required" in checklist.rules:
-            failing = failing | ~has
+            failing = failing | ~has[f.name]
         if f.type == "number" and "type_check" in checklist.rules:
-            failing = failing | (has & F.col(f.name).isNull())
+            failing = failing | (has[f.name] & value[f.name].isNull())
         if f.type == "number" and "range_validation" in checklist.rules:
-            failing = failing | ~v.within(F.col(f.name), F.lit(f.min), F.lit(f.max))
+            failing = failing | ~v.within(value[f.name], F.lit(f.min), F.lit(f.max))
     for _rule, compiled in checklist.active_cross_rules():
-        applies = F.lit(True)
+        applies = yes
         for n in compiled.names:
-            applies = applies & F.col(n).isNotNull()
-        failing = failing | (applies & ~compiled.column(F.col))
-    base = clear.join(wide, key, "left")
-    if group_outcomes is not None:
-        bad_groups = group_outcomes.filter(~F.col("passed")).select(key).distinct().withColumn("bad_group", F.lit(True))
-        base = base.join(bad_groups, key, "left")
-        failing = failing | F.coalesce("bad_group", F.lit(False))
-    ruled = base.select(key, F.when(failing, "FAIL").otherwise("PASS").alias("status"))
-    if evaluations is not None:
-        firsts = evaluations.filter("not informative_only and evaluation in ('fail', 'ambiguous')").groupBy(key).agg(
-            F.min_by("evaluation", "ix").alias("first_evaluation")
-        )
-        ruled = ruled.join(firsts, key, "left").select(
-            key, correction_status(F.col("status"), F.col("first_evaluation")).alias("status")
-        )
-    return ruled.unionByName(open_.select(key, F.lit("AMBIGUOUS").alias("status")))
+            applies = applies & value[n].isNotNull()
+        failing = failing | (applies & ~compiled.column(lambda n: value[n]))
+    ruled = correction_status(F.when(failing, "FAIL").otherwise("PASS"), F.col("first"))
+    unsettled = F.size(F.array_except("open", "settled")) > 0
+    return per_run.select(key, F.when(unsettled, "AMBIGUOUS").otherwise(ruled).alias("status"))
 
 
 def revisions(runs: DataFrame, corrected: DataFrame, key: str = "id") -> DataFrame:

@@ -28,3 +28,10 @@ def test_no_nested_loops_in_joins(spark):
     for name in ("map02_map_candidates", "map14_anchor_evidence", "coh06_evaluate_cohorts", "spc03_bind_specs", "run07_apply_corrections"):
         text = plan(queries[name](spark, SF_DIR))
         assert "NestedLoop" not in text and "Cartesian" not in text, name
+
+
+def test_exchanges_of_history_operators(spark):
+    queries = load()[0]
+    for name, most in (("run07_apply_corrections", 1), ("coh07_tag_vocabulary", 3), ("coh08_merge_vocabularies", 4)):
+        text = plan(queries[name](spark, SF_DIR))
+        assert text.count("Exchange hashpartitioning") <= most, (name, text.count("Exchange hashpartitioning"))
