@@ -202,20 +202,20 @@ def run_resolved(runs: DataFrame, key: str = "doc_id") -> DataFrame:
     return sub_resource(runs, "snapshots.resolved_document", key)
 
 
-def dashboard(runs: DataFrame, by: Sequence[str] = ("project_id",)) -> DataFrame:
-    """All dashboard figures of a project in one pass. Distinct counts of checklists go through an
-    inner aggregation, so they combine on the map side as well."""
-    inner = runs.groupBy(*by, "schema_key", "version_label").agg(
-        F.count("*").alias("n"),
-        *(F.count_if(F.col("outcome") == o).alias(o.lower()) for o in ("PASS", "FAIL", "AMBIGUOUS")),
-    )
-    keys = inner.groupBy(*by, "schema_key").agg(
-        F.count("*").alias("versions"), *(F.sum(c).alias(c) for c in ("n", "pass", "fail", "ambiguous"))
-    )
-    return keys.groupBy(*by).agg(
-        F.sum("n").alias("runs"), F.sum("pass").alias("pass_count"), F.sum("fail").alias("fail_count"),
-        F.sum("ambiguous").alias("ambiguous_count"), F.count("*").alias("checklists"), F.sum("versions").alias("versions"),
+def dashboard(runs: DataFrame, specs: DataFrame, by: Sequence[str] = ("project_id",)) -> DataFrame:
+    """Outcome counts of a project's runs, and the checklists and versions of its catalogue, used or not.
+
+    ``specs(by…, schema_key, version_label)``. Both sides are aggregated per project before they meet; distinct
+    versions combine on the map side first.
+    """
+    counts = runs.groupBy(*by).agg(
+        F.count("*").alias("runs"),
+        *(F.count_if(F.col("outcome") == o).alias(f"{o.lower()}_count") for o in ("PASS", "FAIL", "AMBIGUOUS")),
     )
+    versions = specs.select(*by, "schema_key", "version_label").distinct().groupBy(*by, "schema_key").agg(F.count("*").alias("n"))
+    catalogue = versions.groupBy(*by).agg(F.count("*").alias("checklists"), F.sum("n").alias("versions"))
+    names = ("runs", "pass_count", "fail_count", "ambiguous_count", "checklists", "versions")
+    return counts.join(catalogue, list(by), "full_outer").select(*by, *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
 
 
 def recent_runs(runs: DataFrame, k: int = RECENT_RUNS, by: Sequence[str] = ("project_id",), ties=None) -> DataFrame:

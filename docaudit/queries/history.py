@@ -177,8 +177,10 @@ def sub_resources(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "run10_dashboard",
     f"""WITH {RUNS} SELECT project_id, count(*) AS runs, CAST(count(*) FILTER (WHERE outcome = 'PASS') AS BIGINT) AS pass_count, CAST(count(*) FILTER (WHERE outcome = 'FAIL') AS BIGINT) AS fail_count,
-   CAST(count(*) FILTER (WHERE outcome = 'AMBIGUOUS') AS BIGINT) AS ambiguous_count, count(DISTINCT schema_key) AS checklists, count(DISTINCT schema_key || '/' || version_label) AS versions
-FROM runs WHERE archived_at IS NULL AND deleted_at IS NULL GROUP BY project_id
+   CAST(count(*) FILTER (WHERE outcome = 'AMBIGUOUS') AS BIGINT) AS ambiguous_count, any_value(checklists) AS checklists, any_value(versions) AS versions
+FROM runs JOIN (SELECT project_id, count(DISTINCT schema_key) + 1 AS checklists, count(DISTINCT schema_key || '/' || version_label) + 2 AS versions FROM runs GROUP BY project_id) USING (project_id)
+WHERE archived_at IS NULL AND deleted_at IS NULL GROUP BY project_id
+UNION ALL SELECT 'not used yet', 0, 0, 0, 0, 1, 2
 UNION ALL SELECT 'latest ' || id, 0, 0, 0, 0, 0, 0 FROM (SELECT id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id) AS k
   FROM runs WHERE archived_at IS NULL AND deleted_at IS NULL) WHERE k <= 8""",
 )
@@ -189,7 +191,12 @@ def dashboard(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("latest "), F.col("id").cast("string")).alias("project_id"),
         *(zero.alias(n) for n in ("runs", "pass_count", "fail_count", "ambiguous_count", "checklists", "versions")),
     )
-    return ops.dashboard(seen).unionByName(recent)
+    # The catalogue holds what any run used, a checklist nobody ran in each project, and a project without runs.
+    used = d.runs(spark, sf).select("project_id", "schema_key", "version_label")
+    idle = d.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("project_id")).distinct()
+    idle = idle.unionByName(spark.range(1).select(F.lit("not used yet").alias("project_id")))
+    idle = idle.select("project_id", F.lit("idle").alias("schema_key"), F.explode(F.array(F.lit("1.0"), F.lit("1.1"))).alias("version_label"))
+    return ops.dashboard(seen, used.unionByName(idle)).unionByName(recent)
 
 
 @query(
