@@ -11,9 +11,10 @@ from docaudit.plans import datasets as d
 from docaudit.plans.validation import validate_documents
 from docaudit.sources import blocks as b
 from docaudit.sources import delimited, replies, sinks, uploads
+from docaudit.streaming.validate import run_rows
 
 from .registry import query, scratch_folder
-from .sql import BLOCKS, REPORT_STATUS, RUNS
+from .sql import BLOCKS, REPORT_STATUS, RUN_ROWS, RUNS
 
 
 def _uploads(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,12 +235,22 @@ def model_replies(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "snk01_write_runs",
-    f"WITH {RUNS} SELECT project_id, outcome, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM runs GROUP BY project_id, outcome",
+    f"WITH {RUN_ROWS}",
 )
 def written_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole run rows, written by project and read back."""
     path = scratch_folder(spark)
-    sinks.write_runs(d.runs(spark, sf, with_tags=True), path)
-    return sinks.read_runs(spark, path).groupBy("project_id", "outcome").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    docs = d.order_texts(d.order_lines(spark, sf)).withColumn("project_id", F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")))
+    sinks.write_runs(run_rows(docs, d.ORDER_CHECKLIST), path)
+    return shown_runs(sinks.read_runs(spark, path))
+
+
+def shown_runs(stored: DataFrame) -> DataFrame:
+    """Comparable columns of stored run rows."""
+    return stored.select(
+        "doc_id", "project_id", "outcome", "schema_key", "version_label", "n_failed", F.size("snapshots.blocks").cast("long").alias("n_blocks"),
+        F.col("content_hash").rlike("^sha256:[0-9a-f]{64}$").alias("hashed"), "revision_number",
+    )
 
 
 @query(

@@ -47,6 +47,15 @@ verdict AS (
   FROM rep LEFT JOIN bad_rows ON l_orderkey = doc_id)"""
 )
 
+# Run rows of the rendered orders as a sink stores them.
+RUN_ROWS = (
+    REPORT_STATUS
+    + """
+SELECT doc_id, 'p' || (doc_id % 3) AS project_id, outcome, 'order_report' AS schema_key, '1.0' AS version_label,
+  CASE WHEN outcome = 'AMBIGUOUS' THEN 0 ELSE CAST(NOT has_total AS BIGINT) + CAST(has_total AND total > 300000 AS BIGINT) + CAST(has_total AND (n_items = 0 OR total / n_items > 200000) AS BIGINT) + CAST(n_items = 0 AS BIGINT) + n_bad END AS n_failed,
+  5 + CAST(has_total AS BIGINT) + CAST(has_second AS BIGINT) + n_items AS n_blocks, true AS hashed, 0 AS revision_number FROM verdict"""
+)
+
 # Order lines as positioned spans.
 SPANS = """spans AS (
   SELECT l_orderkey AS doc_id,
