@@ -110,11 +110,14 @@ def mix(
     """
     names = ("size", "source_size", "target", "copies", "taken")
     columns = [c for c in (keep or df.columns) if c.lower() not in names]
-    base = df.select(*[F.col(f"`{c}`") for c in columns], size.cast("long").alias("size"), source_key(source).alias("_source"), F.col(source).alias("_name"), unit_hash(key).alias("_hash"))
-    rows = written(base.select(F.col("_source").alias("key"), "_name", "size", F.col("_hash").alias("hash")), "mix-rows") if keep is None else None
-    if rows is None:
-        base = written(base, "mix-rows")
-        rows = base.select(F.col("_source").alias("key"), "_name", "size", F.col("_hash").alias("hash"))
+    base = df.select(
+        *[F.col(f"`{c}`") for c in columns], size.cast("long").alias("size"),
+        source_key(source).alias("_source"), F.col(source).alias("_name"), unit_hash(key).alias("_hash"),
+    )
+    # What the histograms read is written narrow; with few columns to keep, those rows serve for the result as well.
+    base = base if keep is None else written(base, "mix-rows")
+    rows = base.select(F.col("_source").alias("key"), "_name", "size", F.col("_hash").alias("hash"))
+    rows = written(rows, "mix-rows") if keep is None else rows
     sizes = rows.groupBy("key").agg(F.first("_name").alias("source"), F.sum("size").alias("source_size"))
     budgets = written(targets(sizes, weights, share, cap).drop("source"), "mix-budgets")
     plan = written(thresholds(rows.select("key", "size", "hash"), budgets), "mix-plan").withColumnRenamed("key", "_source")
@@ -125,5 +128,8 @@ def mix(
 
 def take(df: DataFrame, size: Column, **options) -> DataFrame:
     """The mix itself: every row of ``df`` as often as ``mix`` takes it, with the columns of ``df``."""
-    mixed = mix(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(options.get("key", "doc_id")).alias("_id"), F.col(options.get("source", "source")).alias("_from"), size.alias("_words")), F.col("_words"), **(options | {"key": "_id", "source": "_from"}))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    key, source = options.pop("key", "doc_id"), options.pop("source", "source")
+    inner = df.select(row, F.col(key).alias("_id"), F.col(source).alias("_from"), size.alias("_words"))
+    mixed = mix(inner, F.col("_words"), "_id", "_from", **options)
     return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
