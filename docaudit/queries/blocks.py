@@ -111,11 +111,11 @@ def index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "blk06_document_view",
-    f"""WITH {_INDEX} SELECT doc_id, concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10),
+    f"""WITH {_INDEX} SELECT doc_id, coalesce(nullif(concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10),
    CASE WHEN doc_id % 2 = 0 THEN '# Document (markdown)' || chr(10) || chr(10) || 'Source ' || source END,
    CASE WHEN doc_id % 3 = 0 THEN '# Embedded images (vision)' || chr(10) || chr(10) || 'image in ' || lang END,
-   CASE WHEN index_text <> '' THEN '# Evidence block index' || chr(10) || chr(10) || index_text END) AS view
-FROM documents LEFT JOIN idx USING (doc_id) WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR index_text <> ''""",
+   CASE WHEN index_text <> '' THEN '# Evidence block index' || chr(10) || chr(10) || index_text END), ''), '(no text blocks)') AS view
+FROM documents LEFT JOIN idx USING (doc_id)""",
 )
 def view(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id")
@@ -125,8 +125,7 @@ def view(spark: SparkSession, sf: str) -> DataFrame:
             "image_text": F.when(k % 3 == 0, F.concat(F.lit("image in "), "lang")).otherwise("  "),
         }
     )
-    seen = ops.document_view(docs).select("doc_id", "view", "markdown", "image_text")
-    return seen.filter(~F.col("view").startswith("[") & ~F.col("view").isin("(no text blocks)", "")).select("doc_id", "view")
+    return ops.document_view(docs).select("doc_id", "view")
 
 
 @query(
@@ -140,12 +139,13 @@ def head(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "blk08_section_blocks",
-    f"WITH {REPORTS} SELECT l_orderkey AS doc_id, status_ix + 3 + row_ix AS block_ix, text FROM items JOIN rep ON doc_id = l_orderkey",
+    f"""WITH {REPORTS} SELECT l_orderkey AS doc_id, status_ix + 3 + row_ix AS block_ix, text FROM items JOIN rep ON doc_id = l_orderkey
+UNION ALL SELECT doc_id, status_ix + 2, 'Order Items' FROM rep WHERE n_items = 0""",
 )
 def section_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A report without items has no body, so the header block itself stands in."""
     rows = ops.section_blocks(d.order_reports(spark, sf), ITEMS)
-    # A report without items has no body, so the header block itself stands in.
-    return rows.filter("text != 'Order Items'").select("doc_id", F.col("block_ix").cast("long").alias("block_ix"), "text")
+    return rows.select("doc_id", F.col("block_ix").cast("long").alias("block_ix"), "text")
 
 
 @query(

@@ -212,22 +212,22 @@ def missing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "map13_plan_contextual",
-    f"""WITH {REPORTS} SELECT doc_id, 'item_count,order_number' || CASE WHEN has_second OR NOT has_total THEN ',total_due' ELSE ',total_due' END AS wanted FROM rep""",
+    f"""WITH {REPORTS} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'item_count,order_number,status,total_due'
+   ELSE 'status' || CASE WHEN has_second OR NOT has_total THEN ',total_due' ELSE '' END END AS wanted FROM rep""",
 )
 def contextual_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Fields read twice in the raw candidates, missing ones and conflicts get a second look."""
-    spec = spec_column(d.ORDER_CHECKLIST)
-
-    def plan(b):
-        raw = let(spec["fields"], lambda fs: extraction.ensemble(b, fs, False))
-        return let(
-            raw,
-            lambda cs: let(
-                mapping.field_map(cs, spec["fields"]), lambda m: mapping.contextual_fields(m, cs, spec)
-            ),
-        )
-
-    return d.order_reports(spark, sf).select("doc_id", F.array_join(let(F.col("blocks"), plan), ",").alias("wanted"))
+    """Never, always, or where needed: missing and conflicting fields, not those that one pattern alone has read."""
+    modes = ("never", "always", "when_needed")
+    specs = [spec_column(Checklist.from_body(m, d.ORDER_CHECKLIST.body | {"extraction": {"context_pass": m}})) for m in modes]
+
+    def plan(spec):
+        return let(F.col("blocks"), lambda b: let(
+            let(spec["fields"], lambda fs: extraction.schema_regex(b, fs)),
+            lambda cs: let(mapping.field_map(cs, spec["fields"]), lambda m: mapping.contextual_fields(m, cs, spec)),
+        ))
+
+    by_mode = F.when(F.col("doc_id") % 3 == 0, plan(specs[0])).when(F.col("doc_id") % 3 == 1, plan(specs[1])).otherwise(plan(specs[2]))
+    return d.order_reports(spark, sf).select("doc_id", F.array_join(by_mode, ",").alias("wanted"))
 
 
 _QUOTES = f"""{BLOCKS}, picked AS (SELECT doc_id, arg_max(text, block_ix) AS last_text FROM blocks GROUP BY doc_id),

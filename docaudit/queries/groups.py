@@ -65,14 +65,19 @@ def pipe_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "grp03_cluster_baselines",
-    f"""WITH {SPANS}, gaps AS (SELECT *, CASE WHEN lag(page) OVER w = page AND y0 - lag(y0) OVER w <= 4 THEN 0 ELSE 1 END AS opens FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY page, y0, x0, block_ix)),
-numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY page, y0, x0, block_ix) - 1 AS row_ix FROM gaps)
-SELECT doc_id, CAST(row_ix AS BIGINT) AS row_ix, string_agg('s' || block_ix, ',' ORDER BY x0, block_ix) AS members FROM numbered GROUP BY doc_id, row_ix""",
+    f"""WITH RECURSIVE {SPANS}, near AS (SELECT doc_id, block_ix, page, x0, y0 / 8 AS y, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, x0, block_ix) AS k FROM spans),
+walk AS (SELECT doc_id, block_ix, page, x0, k, y AS anchor, 0 AS row_ix FROM near WHERE k = 1
+  UNION ALL SELECT n.doc_id, n.block_ix, n.page, n.x0, n.k, CASE WHEN n.page = w.page AND n.y - w.anchor <= 4 THEN w.anchor ELSE n.y END,
+    w.row_ix + CASE WHEN n.page = w.page AND n.y - w.anchor <= 4 THEN 0 ELSE 1 END
+  FROM walk w JOIN near n ON n.doc_id = w.doc_id AND n.k = w.k + 1)
+SELECT doc_id, CAST(row_ix AS BIGINT) AS row_ix, string_agg('s' || block_ix, ',' ORDER BY x0, block_ix) AS members FROM walk GROUP BY doc_id, row_ix""",
 )
 def clustered(spark: SparkSession, sf: str) -> DataFrame:
-    rows = let(F.col("blocks"), lambda b: ops.baselines(b, 4.0))
+    """Spans three points apart under a tolerance of four: each row ends by its first span, not by the last gap."""
+    near = F.transform("blocks", lambda b: b.withField("y0", b["y0"] / 8))
+    rows = let(near, lambda b: ops.baselines(b, 4.0))
     out = item_spans(spark, sf).select("doc_id", F.posexplode(rows).alias("row_ix", "r"))
-    return out.select("doc_id", F.col("row_ix").cast("long").alias("row_ix"), F.array_join(F.col("r")["block_id"], ",").alias("members"))
+    return out.select("doc_id", F.col("row_ix").cast("long").alias("row_ix"), F.array_join(F.array_sort(F.transform("r", lambda b: F.struct(b["x0"], b["block_ix"], b["block_id"])))["block_id"], ",").alias("members"))
 
 
 def item_cells(spark: SparkSession, sf: str) -> DataFrame:
