@@ -304,7 +304,7 @@ def test_binary_uploads(spark, tmp_path):
 
 def test_exports(spark, tmp_path):
     df = spark.sql("select 1 id, 'p' project_id, 'a,\"b\".pdf' document_filename, 'k' schema_key, '1.0' version_label, 'PASS' outcome, timestamp'2024-01-02 03:04:05' created_at")
-    assert sinks.csv_lines(sinks.history_table(df)).first().line == '"a,""b"".pdf",k,1.0,PASS,2024-01-02T03:04:05,1'
+    assert sinks.csv_lines(sinks.history_table(df)).first().line == '"a,""b"".pdf",k,1.0,PASS,2024-01-02T03:04:05.000000Z,1'
     sinks.export_runs_csv(df, str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()
     assert (back.document_filename, back.run_id) == ('a,"b".pdf', "1")
