@@ -27,13 +27,8 @@ from .components import components
 SHINGLE_WORDS = 5
 #: Retained hashes of a document.
 SKETCH = 64
-#: Links need 100 * intersection >= SIMILARITY * union.
+#: Links need 100 * intersection >= similarity * union; this similarity unless another is asked for.
 SIMILARITY = 85
-#: Shared values among the ``SKETCH`` smallest of a union below which a pair is dropped. For a pair at the limit of
-#: similarity they number 54.4 on average, with a deviation of 2.9: five deviations are given away.
-SHARED = 40
-#: Sets up to this size make unions of less than ``SKETCH`` with any set they can be linked to: sketches are whole sets.
-WHOLE = SKETCH * SIMILARITY // 100
 #: Inverted lists up to this length give pairs, longer ones blocks of this many sets and shingles.
 SHORT_LIST = 24
 BLOCK_SETS = 512
@@ -96,11 +91,26 @@ def full_sets(df: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc {dict(df.dtypes)[key]}, shingles array<long>")
 
 
-def linked(shared: Column, a: Column, b: Column) -> Column:
-    return shared * 100 >= (a + b - shared) * SIMILARITY
+def least_shared(similarity: int) -> int:
+    """Shared values among the ``SKETCH`` smallest of a union below which a pair is dropped.
+
+    For a pair at the limit of similarity 85 they number 54.4 on average, with a deviation of 2.9; five deviations are
+    given away (40 at 85, 35 at 80).
+    """
+    p = similarity / 100
+    return max(1, round(SKETCH * p - 5 * (SKETCH * p * (1 - p)) ** 0.5))
+
+
+def whole_size(similarity: int) -> int:
+    """Sets up to this size make unions of less than ``SKETCH`` with any set they can be linked to: sketches are whole sets."""
+    return SKETCH * similarity // 100
+
+
+def linked(shared: Column, a: Column, b: Column, similarity: int) -> Column:
+    return shared * 100 >= (a + b - shared) * similarity
 
 
-def rare_prefixes(reps: DataFrame) -> DataFrame:
+def rare_prefixes(reps: DataFrame, similarity: int) -> DataFrame:
     """``v``, ``doc``, ``n``: the retained values by which a document may meet similar ones.
 
     Two linked sets share at least ``need`` retained values, so the rarest shared one is among the ``kept - need + 1``
@@ -108,34 +118,34 @@ def rare_prefixes(reps: DataFrame) -> DataFrame:
     """
     values = reps.select("doc", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
     common = written(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "minhash-common")
-    need = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * SIMILARITY / 100)).otherwise(F.lit(SHARED))
+    need = F.when(F.col("n") <= whole_size(similarity), F.ceil(F.col("n") * similarity / 100)).otherwise(F.lit(least_shared(similarity)))
     found = values.join(common, "v").groupBy("doc", "n", "kept").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ranked"))
     length = (F.col("kept") - need + 1) - (F.col("kept") - F.size("ranked"))
     return found.select("doc", "n", F.explode(F.slice("ranked", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("r")).select("r.v", "doc", "n")
 
 
-def short_list_pairs(lists: DataFrame, reps: DataFrame) -> DataFrame:
+def short_list_pairs(lists: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     """Pairs ``a`` < ``b`` of lists of bounded length that pass the estimate from the union of their sketches."""
     a = lists.select("v", F.col("doc").alias("a"), F.col("n").alias("na"))
     b = lists.select("v", F.col("doc").alias("b"), F.col("n").alias("nb"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY) & (F.col("a") < F.col("b"))
+    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity) & (F.col("a") < F.col("b"))
     pairs = a.join(b, "v").filter(fits).select("a", "b").distinct()
     sketch = reps.select("doc", "sketch")
     both = pairs.join(sketch.select(F.col("doc").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("doc").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     # A union below SKETCH is the union of the whole sets, so the estimate is the similarity itself.
-    least = F.when(F.size(union) < SKETCH, F.ceil(F.size(union) * SIMILARITY / 100)).otherwise(SHARED)
+    least = F.when(F.size(union) < SKETCH, F.ceil(F.size(union) * similarity / 100)).otherwise(least_shared(similarity))
     return both.filter(shared >= least).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs whose full sets are linked."""
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.filter(linked(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b")
+    return both.filter(linked(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), similarity)).select("a", "b")
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], first: int) -> list[tuple]:
+def forest(ids: np.ndarray, sets: list[np.ndarray], first: int, similarity: int) -> list[tuple]:
     """Links between ``ids[:first]`` and all ``ids``, but for those that others already imply.
 
     Intersections of all sets are products of 0/1 matrices over slices of the shingles that two or more sets share.
@@ -158,7 +168,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], first: int) -> list[tuple]:
         shared += part[:first] @ part.T
     size = np.array([len(s) for s in sets])
     shared = shared.astype(np.int64)
-    hit = 100 * shared >= SIMILARITY * (size[:first, None] + size[None, :] - shared)
+    hit = 100 * shared >= similarity * (size[:first, None] + size[None, :] - shared)
     parent = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -177,7 +187,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], first: int) -> list[tuple]:
     return out
 
 
-def long_list_links(lists: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
+def long_list_links(lists: DataFrame, sets: DataFrame, kind: str, similarity: int) -> DataFrame:
     """Verified links within long lists. ``lists`` has ``v``, ``doc``, ``n``, ``docs`` and ``shingles`` of the list.
 
     A list of m sets makes about (m / block)^2 / 2 tasks' groups of two blocks each; every pair of the list meets.
@@ -193,7 +203,7 @@ def long_list_links(lists: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
         t = t.take(pa.array(order))
         own = t.column("own").to_numpy()
         sets = [s.values.to_numpy() for s in t.column("shingles")]
-        links = forest(t.column("doc").to_pylist(), sets, int(np.searchsorted(own, own[0], side="right")))
+        links = forest(t.column("doc").to_pylist(), sets, int(np.searchsorted(own, own[0], side="right")), similarity)
         a, b = zip(*links, strict=True) if links else ((), ())
         doc = t.schema.field("doc").type
         return pa.table({"a": pa.array(a, doc), "b": pa.array(b, doc)})
@@ -201,12 +211,12 @@ def long_list_links(lists: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
     return units.join(sets, "doc").groupBy("v", "i", "j").applyInArrow(run, schema).distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: int = SIMILARITY) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` and ``kept`` of every row.
 
     Words are runs of characters other than ASCII white space after lower-casing A-Z. Null, empty and white texts
     have no shingle and are linked with nothing; so are rows without a key, whose component is null and which stay.
-    A component is all documents reachable by links; its smallest key stays. Rows that repeat a key and its text
+    Documents are linked from a Jaccard similarity of ``similarity`` hundredths on. A component is all documents reachable by links; its smallest key stays. Rows that repeat a key and its text
     share its fate. Keys are taken to stand for one text. Candidates are complete but for a chance of about one in a
     million for a pair at the very limit of similarity; every link is verified on full sets.
     """
@@ -216,14 +226,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     classes = usable.groupBy("set").agg(F.min("doc").alias("doc"))
     classes = written(classes, "minhash-classes")
     reps = written(usable.join(classes, ["set", "doc"]).dropDuplicates(["doc", "set"]).select("doc", "n", "sketch"), "minhash-reps")
-    lists = written(rare_prefixes(reps), "minhash-lists")
+    lists = written(rare_prefixes(reps, similarity), "minhash-lists")
     lengths = written(lists.groupBy("v").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).filter("docs > 1"), "minhash-lengths")
     listed = lists.join(lengths, "v")
-    pairs = written(short_list_pairs(listed.filter(F.col("docs") <= SHORT_LIST), reps), "minhash-pairs")
+    pairs = written(short_list_pairs(listed.filter(F.col("docs") <= SHORT_LIST), reps, similarity), "minhash-pairs")
     long_lists = written(listed.filter(F.col("docs") > SHORT_LIST), "minhash-long")
     ids = written(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(long_lists.select("doc")).distinct(), "minhash-ids")
     sets = written(full_sets(df, ids, key, text).dropDuplicates(["doc"]), "minhash-sets")
-    links = written(verified(pairs, sets).unionByName(long_list_links(long_lists, sets, kind)), "minhash-links")
+    links = written(verified(pairs, sets, similarity).unionByName(long_list_links(long_lists, sets, kind, similarity)), "minhash-links")
     roots = components(links)
     fate = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("set", F.coalesce("root", "doc").alias("component"))
     fate = written(fate, "minhash-fate")

@@ -126,7 +126,7 @@ def top_k(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op7_minhash")
 def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+    return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"), similarity=85)
 
 
 @query("op6_line_dedup")
