@@ -199,16 +199,21 @@ class Model:
         return max(best, self._rate(spaced_words(low, self.costs)))
 
 
-def lower_rate(clean: int, toxic: int) -> float:
-    """Lower end of the Wilson interval of the rate of toxic documents."""
+def lower_rate(clean: int, toxic: int, weights: tuple[float, float] = (1.0, 1.0)) -> float:
+    """Lower end of the Wilson interval of the rate of toxic documents, from as many documents as were seen.
+
+    Documents of the sample count with the weight of their class in the rate. Clean ones that are not in the sample are
+    taken to hold the feature by the rule of succession: that none was seen does not mean that there is none.
+    """
     n, z = clean + toxic, DEVIATIONS**2
-    p = toxic / n
+    p = weights[1] * toxic / (weights[0] * clean + weights[0] - 1 + weights[1] * toxic)
     return (p + z / (2 * n) - DEVIATIONS * (p * (1 - p) / n + z / (4 * n * n)) ** 0.5) / (1 + z / n)
 
 
 def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on at most ``SAMPLE_DOCUMENTS`` labelled documents of each class, chosen by a hash of the key.
 
+    Each class weighs as much as all its labelled keys, so that the model is that of all rows at any size of the input.
     A document with several labels counts as toxic if one says so; rows without label or key teach nothing. Without
     a toxic document the model knows no feature and every score is 0.
     """
@@ -216,6 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, key: str = "do
     ship_package(spark)
     costs = letter_costs(counts)
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_toxic"))
+    total = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    weights = tuple(max(1.0, total.get(c, 0) / SAMPLE_DOCUMENTS) for c in (0, 1))
     ranked = known.withColumn("_rank", F.row_number().over(Window.partitionBy("_toxic").orderBy(F.xxhash64("_key"), "_key")))
     # Bounded by the sample: at most two classes of SAMPLE_DOCUMENTS keys.
     sample = F.broadcast(ranked.filter(F.col("_rank") <= SAMPLE_DOCUMENTS).select("_key", "_toxic"))
@@ -244,16 +251,16 @@ def train(docs: DataFrame, labels: DataFrame, counts: np.ndarray, key: str = "do
     wanted = {r["feature"] for r in common.select("feature").collect()}  # bounded by the sample
     table = {r["feature"]: (r["clean"], r["toxic"]) for r in rows.mapInArrow(count(wanted), schema).groupBy("feature").agg(*sums).collect()}
     clean, toxic = table.pop("", (0, 0)) if table else (0, 0)
-    prior = toxic / (clean + toxic) if toxic else 0.0
-    rates = {f: lower_rate(c, t) for f, (c, t) in table.items()}
+    prior = weights[1] * toxic / (weights[0] * clean + weights[1] * toxic) if toxic else 0.0
+    rates = {f: lower_rate(c, t, weights) for f, (c, t) in table.items()}
     model = Model(costs, {f: r for f, r in rates.items() if r > prior}, prior / 2)
     if toxic:
-        model.threshold = best_threshold(rows, model)
+        model.threshold = best_threshold(rows, model, weights)
     return model
 
 
-def best_threshold(rows: DataFrame, model: Model) -> float:
-    """The raw score, in steps of a ``STEPS``-th, at which fewest texts of the sample fall on the wrong side; the middle of equals."""
+def best_threshold(rows: DataFrame, model: Model, weights: tuple[float, float]) -> float:
+    """The raw score, in steps of a ``STEPS``-th, at which texts of least weight fall on the wrong side; the middle of equals."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +274,7 @@ def best_threshold(rows: DataFrame, model: Model) -> float:
     total = np.zeros((2, STEPS + 1), np.int64)
     for r in rows.mapInArrow(run, "toxic int, step int, n long").groupBy("toxic", "step").agg(F.sum("n").alias("n")).collect():
         total[r["toxic"], r["step"]] = r["n"]
-    wrong = total[0].sum() - np.concatenate([[0], np.cumsum(total[0])]) + np.concatenate([[0], np.cumsum(total[1])])
+    wrong = weights[0] * (total[0].sum() - np.concatenate([[0], np.cumsum(total[0])])) + weights[1] * np.concatenate([[0], np.cumsum(total[1])])
     best = np.flatnonzero(wrong[1:-1] == wrong[1:-1].min()) + 1
     return float((best[0] + best[-1]) / 2 / STEPS)
 
@@ -275,7 +282,7 @@ def best_threshold(rows: DataFrame, model: Model) -> float:
 def score(df: DataFrame, model: Model, text: str = "text", score_col: str = "score") -> DataFrame:
     """``df`` with the toxicity (0 to 1) of every whole text.
 
-    Null and empty texts, as all texts without a telling feature, get half the rate of toxic documents in the sample.
+    Null and empty texts, as all texts without a telling feature, get half the rate of toxic documents among the labelled ones.
     Rows, repeats and other columns stay; an old column of the name is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)

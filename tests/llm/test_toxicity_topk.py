@@ -116,3 +116,27 @@ def test_top_k_edges(spark):
     assert sorted(map(tuple, topk.top_k(few, few.filter("id = 0"), 5).collect())) == [(0, 1, 1, 3)]
     big = spark.createDataFrame([(0, [2**31, 1]), (1, [2**30, 1]), (2, [-(2**30), 7])], schema)
     assert [r["score"] for r in topk.top_k(big, big.filter("id = 0"), 2).orderBy("rank").collect()] == [2**61 + 1, -(2**61) + 7]
+
+
+def test_a_capped_class_keeps_its_weight(spark, monkeypatch):
+    """A word in a third of the clean and nine tenths of the toxic texts flags none, whether all rows are learnt or a sample."""
+    rng = random.Random(12)
+    data, labels = [], []
+    for i in range(900):
+        toxic = i % 9 == 0
+        words = sentence(rng, "en", 8).split()
+        if rng.random() < (0.9 if toxic else 0.33):
+            words.insert(3, "mildwordx")
+        if toxic and rng.random() < 0.9:
+            words.insert(2, "foulwordx")
+        data.append((i, " ".join(words), None, None, None))
+        labels.append((i, int(toxic)))
+    docs, known = documents(spark, data), spark.createDataFrame(labels, "doc_id long, toxic int")
+    counts = toxicity.trigram_counts(docs)
+    whole = toxicity.train(docs, known, counts)
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCUMENTS", 200)
+    capped = toxicity.train(docs, known, counts)
+    assert whole.base == pytest.approx(1 / 18) and capped.base == pytest.approx(whole.base)
+    assert abs(capped.threshold - whole.threshold) < 0.1
+    for model in (whole, capped):
+        assert model.score("the mildwordx") < 0.5 <= model.score("the foulwordx")
