@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docaudit.session import shared_folder
 
-from . import bpe, exact, language, lines, minhash, mixing, sharding, topk, toxicity, warc
+from . import bpe, exact, language, lines, minhash, mixing, resampling, sharding, topk, toxicity, urlrules, warc, whitening
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -141,3 +141,59 @@ def toxic_documents(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf, "labels").filter(~held_out), toxicity.trigram_counts(docs))
     found = toxicity.score(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op11_whitening")
+def whitened(spark: SparkSession, sf: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"), components=16)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query(
+    "op12_resampling",
+    r"""WITH RT AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+c AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM d) GROUP BY ALL),
+g AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM b) GROUP BY ALL),
+u AS (SELECT DISTINCT word FROM (SELECT word FROM c UNION ALL SELECT word FROM g)),
+h AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)),
+        lambda c, x: xor(c >> 8, list_extract(tab, (xor(c, x) & 255) + 1))), 4294967295) % 10000 AS bucket FROM u, RT),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM c JOIN h USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::BIGINT AS t FROM g JOIN h USING (word) GROUP BY bucket),
+k AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::BIGINT AS all_s, (SELECT coalesce(sum(t), 0) FROM t)::BIGINT AS all_t),
+v AS (SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), k),
+w AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM c JOIN h USING (word) JOIN v USING (bucket) GROUP BY doc_id),
+x AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, CASE WHEN n_features > 0 THEN floor(total / n_features)::BIGINT ELSE 0 END AS weight,
+             ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS r FROM d LEFT JOIN w USING (doc_id)),
+y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((r + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM x),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, (count(*) OVER () * 10) // 100 AS drawn FROM y WHERE n_features >= 20)
+SELECT y.*, CASE WHEN place <= drawn THEN place END AS rank FROM y LEFT JOIN z USING (doc_id)""",
+)
+def resampled(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return resampling.resample(docs, table(spark, sf, "benchmark").select("text"), most=1, buckets=10_000, least_words=20, percent=10, seed=2024)
+
+
+#: Rules of the url filter: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query(
+    "op13_url_rules",
+    r"""WITH r(rule_host, rule_path, says) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM u)
+SELECT page_id, host, path,
+       (SELECT arg_max(rule_host || rule_path, length(rule_host || rule_path)) FROM r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS rule,
+       coalesce((SELECT arg_max(says, length(rule_host || rule_path)) FROM r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)), 'allow') AS verdict FROM p""",
+)
+def url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(table(spark, sf, "pages").select("page_id", "url"), rules).drop("url")
