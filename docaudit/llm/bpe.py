@@ -2,7 +2,8 @@
 
 A pre-token becomes a doubly linked list of symbols. A priority queue holds the merges of neighbouring symbols by
 rank; an entry whose symbols have changed since it was pushed is stale and skipped. Decoding concatenates the
-strings of the vocabulary. Pre-tokens repeat, so each worker keeps the results of recent ones in a bounded cache.
+strings of the vocabulary. No pre-token reaches over a space, and what stands between spaces repeats, so each worker
+keeps the packed ids of recent such chunks, and of the pre-tokens in them, in bounded caches.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,9 @@ from pyspark.sql import types as T
 
 from .common import append_columns
 
-#: Pre-tokens that a worker remembers, in each of two generations.
+#: Chunks, and pre-tokens, that a worker remembers in each of two generations, and characters that they have at most.
 REMEMBERED = 100_000
+REMEMBERED_LENGTH = 64
 #: Texts of a batch that goes back to Spark.
 ROWS = 500
 
@@ -52,6 +54,26 @@ def tokenizer_spec(path: str) -> dict:
     }
 
 
+class Memory:
+    """Packed ids of recent strings: two generations, of which the older is forgotten when the younger is full."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, word: str, make: Callable[[str], bytes]) -> bytes:
+        found = self.young.get(word)
+        if found is None:
+            found = self.old.get(word)
+            if found is None:
+                found = make(word)
+            if len(word) <= REMEMBERED_LENGTH:
+                if len(self.young) >= REMEMBERED:
+                    self.old, self.young = self.young, {}
+                self.young[word] = found
+        return found
+
+
 class Tokenizer:
     """Encoder and decoder of one tokenizer file."""
 
@@ -68,10 +90,12 @@ class Tokenizer:
         self.letters = byte_letters()
         # \s in the pattern is Unicode white space, which Python's own \s exceeds by four control characters.
         self.split = regex.compile(spec["split"].replace(r"\s", r"\p{White_Space}"))
-        self.space = regex.compile(r"\p{White_Space}+")
+        # Runs of white space that are anything but one plain space.
+        self.space = regex.compile(r" \p{White_Space}+|[^\P{White_Space} ]\p{White_Space}*")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.chunks, self.words = Memory(), Memory()
+        #: The string of each id, by place where ids are dense.
+        self.table = [self.strings.get(i) for i in range(max(self.strings, default=-1) + 1)]
 
     def normalise(self, text: str) -> str:
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
@@ -107,39 +131,33 @@ class Tokenizer:
                 heapq.heappush(queue, (m[0], h, m[1]))
         return [s for s in symbol if s >= 0]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        found = self.old.get(word)
-        if found is None:
-            ids = self.merge(word)
-            found = (np.array(ids, "<u4").tobytes(), self.joined_by.join(self.strings[i] for i in ids))
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[word] = found
-        return found
+    def _merged(self, word: str) -> bytes:
+        return np.array(self.merge(word), "<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join([self.words(w, self._merged) for w in self.split.findall(chunk)])
 
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """Ids and vocabulary strings of each pre-token, in order. Strings of special tokens are those tokens."""
-        out = []
-        get, word = self.young.get, self._word
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, four bytes each."""
+        out: list[bytes] = []
         for i, piece in enumerate(self.special.split(text) if self.special else [text]):
             if i % 2:
-                out.append((np.array([self.added[piece]], "<u4").tobytes(), piece))
+                out.append(np.array([self.added[piece]], "<u4").tobytes())
             elif piece:
-                for w in self.split.findall(self.normalise(piece)):
-                    found = get(w)
-                    if found is None:
-                        found = word(w)
-                        get = self.young.get
-                    if found[0]:
-                        out.append(found)
-        return out
+                chunks = self.normalise(piece).split(" ")
+                young = self.chunks.young
+                found = list(map(young.get, chunks))
+                if None in found:
+                    found = [self.chunks(c, self._chunk) if f is None else f for c, f in zip(chunks, found, strict=True)]
+                out += found
+        return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(b"".join(p[0] for p in self.parts(text or "")), "<u4").tolist()
+        return np.frombuffer(self.packed(text or ""), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The vocabulary strings of ids, special tokens included; an id without a string is an error."""
-        return self.joined_by.join([self.strings[i] for i in ids])
+        return self.joined_by.join(map(self.table.__getitem__, ids))
 
 
 def _tokenizer(df: DataFrame, path: str):
@@ -165,7 +183,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
 
     def run(column: pa.Array) -> list[pa.Array]:
         t = tokenizer()
-        packed = [b"".join([p[0] for p in t.parts(x.as_py() or "")]) for x in column]
+        packed = [t.packed(x.as_py() or "") for x in column]
         return [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
 
     return append_columns(df, [text], [T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())], run, ROWS)

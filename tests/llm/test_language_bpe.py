@@ -81,6 +81,15 @@ def test_ids_and_texts_are_those_of_the_library(spark):
         assert r["decoded"] == theirs.decode(want, skip_special_tokens=False)
 
 
+def test_white_space_between_chunks():
+    tokenizers = pytest.importorskip("tokenizers")
+    theirs = tokenizers.Tokenizer.from_file(PATH)
+    mine = bpe.Tokenizer(bpe.tokenizer_spec(PATH))
+    for text in (" a  b", "a\u3000b\u00a0 c\n\n d\t", "a\x1cb", "it's 's s's", "\u2028x\u200by ", "a<|endoftext|> b", "  ", "ǅ İ ΑΣ"):
+        want = theirs.encode(text, add_special_tokens=False).ids
+        assert mine.encode(text) == mine.encode(text) == want and mine.decode(want) == theirs.decode(want, skip_special_tokens=False)
+
+
 def test_bpe_edges(spark):
     assert bpe.encode(empty(spark), PATH).count() == 0
     ids = spark.createDataFrame([(1, None)], "doc_id long, token_ids binary")
@@ -92,4 +101,5 @@ def test_bounded_memory_of_pretokens(monkeypatch):
     t = bpe.Tokenizer(bpe.tokenizer_spec(PATH))
     words = "one two three four five one two six seven one".split()
     assert t.encode(" ".join(words)) == [i for w in words for i in t.merge(w)]
-    assert len(t.young) <= 3 and len(t.old) <= 3
+    assert all(len(m.young) <= 3 and len(m.old) <= 3 for m in (t.chunks, t.words))
+    assert t.encode("x" * 500) == t.merge("x" * 500) and "x" * 500 not in t.chunks.young
