@@ -4,11 +4,15 @@ Fingerprints of arriving rows (digest of the normalised text, stable identifier,
 streaming aggregation over the log keeps one state row for each digest, without watermark and so without expiry: how
 many rows it has, and identifier and locator of the row that stays. The state lies in RocksDB and is saved to the
 shared folder with every batch, so a restarted query goes on where the last one ended. Rows that hit a state row of
-others are checked byte by byte against the content at the kept locator. Only DataFrame functions are used.
+others are checked byte by byte against the content at the kept locator, which is read again where it lies in a file of
+an earlier call. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,15 +77,20 @@ def latest(spark: SparkSession, out: str, key_type: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.max_by(F.struct("group_size", "kept"), "batch").alias("s")).select("digest", "s.group_size", "s.kept")
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+def deduplicate(
+    df: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None, read: Callable[[list[str]], DataFrame] | None = None
+) -> DataFrame:
     """``key``, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` of every row of a file-based ``df``.
 
     Texts are equal when they agree after lower-casing A-Z; null counts as empty. The row with the largest key
     stays; among rows that repeat its key the one that lies last in the files. Null keys are smallest. An empty
-    table gives no rows. ``folder`` keeps log and state between calls over new files; by default a new one.
-    Equal digests of different texts raise an error, found by comparing all bytes of every repeated text.
+    table gives no rows. ``folder`` keeps log and state between calls over new files, in any order of keys; by default
+    a new one. The result then has the rows of all calls. Files of earlier calls must still be there: ``read`` (Parquet
+    by default) opens those that hold the kept rows of repeated digests. Equal digests of different texts raise an
+    error, found by comparing all bytes of every repeated text.
     """
     spark = df.sparkSession
+    earlier = known(spark, folder, dict(df.dtypes)[key]) if folder else None
     folder = folder or shared_folder(spark, "exact")
     log = fingerprints(df, key, text)
     log.write.mode("append").parquet(f"{folder}/log")
@@ -91,26 +100,68 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", folder:
     kept = written(latest(spark, f"{folder}/kept", schema["key"].dataType.simpleString()), "exact-kept") if not seen.isEmpty() else None
     if kept is None:
         return seen.select(F.col("key").alias(key), F.col("key").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-    check_bytes(df, kept.filter("group_size > 1"), text)
+    repeated = kept.filter("group_size > 1")
+    if earlier is not None:
+        old = earlier.join(fingerprints(df, key, text).select("digest").distinct(), "digest", "left_semi")
+        check_earlier(df, written(old, "exact-earlier"), text, read or (lambda files: spark.read.parquet(*files)))
+    check_bytes(df, repeated, text, whole=earlier is None)
     rows = keyed_join(seen, kept, "digest", "inner")
     stays = F.col("kept.locator").eqNullSafe(F.col("locator"))
     return rows.select(F.col("key").alias(key), F.col("kept.key").alias("keep_id"), "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def check_bytes(df: DataFrame, repeated: DataFrame, text: str) -> None:
+def known(spark: SparkSession, folder: str, key_type: str) -> DataFrame | None:
+    """State of the earlier calls with this folder, written apart; None before the first."""
+    try:
+        return written(latest(spark, f"{folder}/kept", key_type), "exact-known")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def contents(df: DataFrame, text: str) -> DataFrame:
+    """``content``, ``at`` (file, row) and ``digest`` of every row of a file-based frame."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = df.select(normalised(text).alias("content"), place.alias("at"))
+    return rows.withColumn("digest", F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
+
+
+def compare(copies: DataFrame, originals: DataFrame) -> None:
+    """Raise an error unless every copy (``digest``, ``group_size``, ``content``, ``at``) has its ``original``'s bytes."""
+    same = spread_join(copies, originals, "digest", "group_size", F.col("at"))
+    found = same.filter(~F.col("content").eqNullSafe(F.col("original"))).select(F.col("original").isNull().alias("gone")).first()
+    if found is not None:
+        raise ValueError("the kept text of a digest is not at its locator" if found["gone"] else "two different texts share a SHA-256 digest")
+
+
+def check_earlier(df: DataFrame, old: DataFrame, text: str, read: Callable[[list[str]], DataFrame]) -> None:
+    """Compare the rows of ``df`` with the kept texts of earlier calls, read at their locators from their own files."""
+    files = [r[0] for r in old.select("kept.locator.file").distinct().collect()]
+    if not files:
+        return
+    places = old.select(F.col("kept.locator").alias("at"), "digest")
+    originals = contents(read(files), text).withColumnRenamed("content", "original").drop("digest").join(places, "at").select("digest", "original")
+    counted = contents(df, text).select("digest").groupBy("digest").agg(F.count("*").alias("group_size"))
+    sized = written(counted.join(places.select("digest"), "digest"), "exact-sizes")
+    copies = contents(df, text).join(sized, "digest").select("digest", "group_size", "content", "at")
+    compare(copies, sized.join(originals, "digest", "left").select("digest", "group_size", "original"))
+
+
+def check_bytes(df: DataFrame, repeated: DataFrame, text: str, whole: bool = True) -> None:
     """Compare all bytes of every repeated text with the text at the kept locator; differing bytes raise an error.
 
-    The kept text goes to more tasks the more copies it has, and each copy to one of them.
+    The kept text goes to more tasks the more copies it has, and each copy to one of them. Unless ``df`` is the
+    ``whole`` of the files, digests whose kept row lies elsewhere are left to ``check_earlier``.
     """
     digests = repeated.select("digest", "kept.locator", "group_size")
     if digests.count() <= FEW_DIGESTS:
         digests = F.broadcast(digests)
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    rows = df.select(normalised(text).alias("content"), place.alias("at")).withColumn("digest", F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
-    hits = rows.join(digests, "digest")
+    hits = contents(df, text).join(digests, "digest")
     stays = F.col("at").eqNullSafe(F.col("locator"))
     originals = hits.filter(stays).select("digest", "group_size", F.col("content").alias("original"))
-    # Without an original, or with another content, the pair is a collision.
-    same = spread_join(hits.filter(~stays).select("digest", "group_size", "content", "at"), originals, "digest", "group_size", F.col("at"))
-    if not same.filter(~F.col("content").eqNullSafe(F.col("original"))).isEmpty():
-        raise ValueError("two different texts share a SHA-256 digest")
+    copies = hits.filter(~stays).select("digest", "group_size", "content", "at")
+    if not whole:
+        originals = written(originals, "exact-originals")
+        copies = copies.join(originals.select("digest"), "digest", "left_semi")
+    compare(copies, originals)

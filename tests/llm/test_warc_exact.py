@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,29 @@ def test_state_goes_on_with_new_files(spark):
     assert got == brute(data)
 
 
+def test_state_in_any_order_of_keys_and_calls(spark):
+    data = rows()
+    random.Random(3).shuffle(data)
+    for parts in ([data[50:], data[20:50], data[:20]], [sorted(data, key=lambda r: -r[0])[:30], [], sorted(data, key=lambda r: -r[0])[30:]]):
+        folder = shared_folder(spark, "test-exact-order")
+        seen = []
+        for part in parts:
+            seen += part
+            got = {r["doc_id"]: tuple(r)[1:] for r in exact.deduplicate(saved(spark, part), folder=folder).collect()}
+            assert got == brute(seen)
+
+
+@pytest.mark.parametrize("later", [1, 3])
+def test_collisions_with_earlier_files_are_found(spark, monkeypatch, later):
+    real = F.sha2
+    folder = shared_folder(spark, "test-exact-collision")
+    monkeypatch.setattr(exact.F, "sha2", lambda c, n: real(F.lit("same").cast("binary"), n))
+    exact.deduplicate(saved(spark, [(2, "a", None, None, None)]), folder=folder)
+    exact.deduplicate(saved(spark, [(later + 10, "A", None, None, None)]), folder=folder)
+    with pytest.raises(ValueError, match="two different texts"):
+        exact.deduplicate(saved(spark, [(later, "b", None, None, None)]), folder=folder)
+
+
 def test_exact_edges(spark):
     assert exact.deduplicate(saved(spark, [])).count() == 0
     twice = [(1, "a", None, None, None), (1, "A", None, None, None), (None, "a", None, None, None)]
