@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import os
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,13 +46,45 @@ def append_columns(df: DataFrame, inputs: Sequence[str], fields: list[T.StructFi
     return base.mapInArrow(run, schema)
 
 
+#: Paths of the tables written within the innermost ``scratch``.
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and read again by whatever executor is left."""
     path = shared_folder(df.sparkSession, name)
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables written inside are deleted at the end, but for those that the given function writes: they replace the others.
+
+    Nothing read after the block may hang on a deleted table.
+    """
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        outer = _SCRATCH.set(None)
+        try:
+            return written(df, name)
+        finally:
+            _SCRATCH.reset(outer)
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        for path in paths:
+            files, inner = pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
+            if files.get_file_info(inner).type != pafs.FileType.NotFound:
+                files.delete_dir(inner)
+
+
 def spread_join(rows: DataFrame, lookup: DataFrame, on: str, size: str, spread: Column, how: str = "left") -> DataFrame:
     """Join to ``lookup`` (one row a key) where both sides know the ``size`` of each key's group of rows.
 
