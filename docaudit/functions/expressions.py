@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -144,6 +144,77 @@ def _admit(tree: ast.expr) -> None:
             raise RuleSyntaxError("unsupported construct")
 
 
+_SYMBOL = {
+    ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/", ast.Eq: "==", ast.NotEq: "!=", ast.Lt: "<", ast.LtE: "<=",
+    ast.Gt: ">", ast.GtE: ">=", ast.And: "and", ast.Or: "or", ast.Not: "not", ast.USub: "neg",
+}
+
+
+def _steps(node: ast.expr, wanted: str) -> list[dict]:
+    """Operands before their operator. Kinds are checked as for Columns."""
+    if isinstance(node, ast.Constant):
+        kind, out = "number", [{"op": "number", "num": float(node.value)}]
+    elif isinstance(node, ast.Name):
+        kind, out = "number", [{"op": "field", "name": node.id[len(_PREFIX) :]}]
+    elif isinstance(node, ast.UnaryOp):
+        kind = "bool" if isinstance(node.op, ast.Not) else "number"
+        out = _steps(node.operand, kind) + ([] if isinstance(node.op, ast.UAdd) else [{"op": _SYMBOL[type(node.op)]}])
+    elif isinstance(node, ast.BinOp):
+        kind = "number"
+        out = _steps(node.left, kind) + _steps(node.right, kind) + [{"op": _SYMBOL[type(node.op)]}]
+    elif isinstance(node, ast.Compare):
+        kind = "bool"
+        out = _steps(node.left, "number") + _steps(node.comparators[0], "number") + [{"op": _SYMBOL[type(node.ops[0])]}]
+    else:
+        assert isinstance(node, ast.BoolOp)
+        kind, out = "bool", _steps(node.values[0], "bool")
+        for v in node.values[1:]:
+            out += _steps(v, "bool") + [{"op": _SYMBOL[type(node.op)]}]
+    if kind != wanted:
+        raise _Misuse
+    return out
+
+
+def rule_program(text: str) -> tuple[tuple[str, ...], list[dict]]:
+    """Names and steps of a rule as data; see ``run_program``. A rule that misuses booleans always fails."""
+    tree = _tree(text)
+    _admit(tree)
+    try:
+        return _names(tree), _steps(tree, "bool")
+    except _Misuse:
+        return _names(tree), [{"op": "number", "num": 0.0}]
+
+
+PROGRAM_TYPE = "array<struct<op:string,num:double,name:string>>"
+_STATE = "struct<stack:array<double>,sound:boolean>"
+
+
+def run_program(steps: Column, value_of: Callable[[Column], Column]) -> Column:
+    """Fold the steps of a rule over a stack; TRUE when it holds, FALSE when it fails or errs. Booleans are 0 and 1.
+
+    The rule is a value of the row, so one plan serves rules of any number and form.
+    """
+
+    def step(state: Column, x: Column) -> Column:
+        stack, op = state["stack"], x["op"]
+        a, b = F.try_element_at(stack, F.lit(-2)), F.try_element_at(stack, F.lit(-1))
+        truth = lambda c: F.when(c, 1.0).otherwise(0.0)
+        value = F.when(op == "number", x["num"]).when(op == "field", value_of(x["name"])).when(op == "neg", -b).when(op == "not", 1.0 - b)
+        for kind, fn in _ARITHMETIC.items():
+            value = value.when(op == _SYMBOL[kind], fn(a, b))
+        for kind, fn in _COMPARE.items():
+            value = value.when(op == _SYMBOL[kind], truth(fn(a, b)))
+        value = value.when(op == "and", F.least(a, b)).when(op == "or", F.greatest(a, b))
+        taken = F.when(op.isin("number", "field"), 0).when(op.isin("neg", "not"), 1).otherwise(2)
+        below = F.slice(stack, F.lit(1), F.size(stack) - taken)
+        # A zero divisor is an error even where a boolean operator would have hidden it.
+        sound = state["sound"] & ~((op == "/") & (b == 0.0))
+        return F.struct(F.concat(below, F.array(F.coalesce(value, F.lit(0.0)))).alias("stack"), sound.alias("sound")).cast(_STATE)
+
+    start = F.struct(F.array().cast("array<double>").alias("stack"), F.lit(True).alias("sound")).cast(_STATE)
+    return F.aggregate(steps, start, step, lambda s: s["sound"] & F.coalesce(F.try_element_at(s["stack"], F.lit(-1)) == 1.0, F.lit(False)))
+
+
 def compile_rule(text: str) -> Rule:
     """Parse ``text``; raises :class:`RuleSyntaxError` when it is malformed."""
     tree = _tree(text)
@@ -193,5 +264,24 @@ def interpolate(template: str, lookup: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
+TEMPLATE_TYPE = "array<struct<text:string,name:string>>"
+
+
+def template_parts(template: str, known: Sequence[str]) -> list[dict]:
+    """A message as data: texts, and names of fields to be filled in. Unknown marks stay texts."""
+    parts, pos = [], 0
+    for m in _PLACEHOLDER.finditer(template):
+        parts.append({"text": template[pos : m.start()]})
+        parts.append({"name": m.group(1)} if m.group(1) in known else {"text": m.group(0)})
+        pos = m.end()
+    return [p for p in [*parts, {"text": template[pos:]}] if p.get("text") or p.get("name")]
+
+
+def filled(parts: Column, value_of: Callable[[Column], Column]) -> Column:
+    """A message with its fields' values; NULL if one of them has none, as with ``interpolate``."""
+    texts = F.transform(parts, lambda p: F.when(p["name"].isNotNull(), value_of(p["name"])).otherwise(p["text"]))
+    return F.when(F.forall(texts, lambda t: t.isNotNull()), F.array_join(texts, ""))
+
+
 def interpolate_numbers(template: str, lookup: dict[str, Column]) -> Column:
     return interpolate(template, {k: number_text(v.cast("double")) for k, v in lookup.items()})

@@ -234,23 +234,28 @@ def reading_order(blocks: Column) -> Column:
     return F.transform(F.sort_array(keyed)["at"], lambda i: F.get(blocks, i))
 
 
-def _opens(block: Column, hint: str) -> Column:
+def _hint(hint: str | Column) -> Column:
+    """Section hint as it is looked for; a text is a constant, a column differs by row."""
+    return F.lit(hint.strip().lower()) if isinstance(hint, str) else F.lower(strip(hint))
+
+
+def _opens(block: Column, hint: Column) -> Column:
     return let(
         F.lower(first_line(block["text"])),
-        lambda line: line.contains(hint) & (F.length(line) <= len(hint) + HEADER_SLACK),
+        lambda line: line.contains(hint) & (F.length(line) <= F.length(hint) + HEADER_SLACK),
     )
 
 
-def _mentions(block: Column, hint: str) -> Column:
+def _mentions(block: Column, hint: Column) -> Column:
     return F.lower(F.coalesce(block["section_label"], F.lit(""))).contains(hint) | F.lower(block["text"]).contains(hint)
 
 
-def section_body(blocks: Column, hint: str) -> Column:
+def section_body(blocks: Column, hint: str | Column) -> Column:
     """Blocks below the section header to the end of the document, header lines left out.
 
     Without a header the blocks that mention the section stand in.
     """
-    hint = hint.strip().lower()
+    hint = _hint(hint)
 
     def body(ordered: Column) -> Column:
         marks = F.transform(ordered, lambda b: _opens(b, hint))
@@ -264,9 +269,9 @@ def section_body(blocks: Column, hint: str) -> Column:
     return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(blocks, lambda b: _mentions(b, hint))))
 
 
-def section_blob(blocks: Column, hint: str) -> Column:
+def section_blob(blocks: Column, hint: str | Column) -> Column:
     """Text of the section with its header lines."""
-    hint = hint.strip().lower()
+    hint = _hint(hint)
 
     def tail(ordered: Column) -> Column:
         start = F.array_position(F.transform(ordered, lambda b: _opens(b, hint)), True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,9 +97,57 @@ def bind_specs(docs: DataFrame, timeline: DataFrame) -> DataFrame:
     )
 
 
+def bind_as_of(
+    docs: DataFrame, timeline: DataFrame, at: str = "uploaded_at", by: Sequence[str] = ("project_id", "schema_key"), bucket: Callable[[Column], Column] | None = None, salts: int = 16
+) -> DataFrame:
+    """``docs`` with the ``spec_id`` of the version that was active when each arrived, and the ``reason`` if none was.
+
+    Versions and documents of a checklist are merged by time and the last version is carried on; no document meets all
+    versions. A version published at the very instant of a document counts. Time is cut into buckets (days by default):
+    each bucket hands its last version to those after it, so a checklist's history is no single task, and the documents
+    of a bucket are dealt to ``salts`` shares that all hold its few versions. Documents with a null key or time are
+    ``unknown_checklist``, like those before the first version; after the end of a version and before the next they
+    are ``inactive_checklist``.
+    """
+    bucket = bucket or (lambda t: F.date_trunc("day", t))
+    end = F.least("archived_at", "deleted_at")
+    version = F.struct(F.col("active_from").alias("since"), F.col("id").alias("spec_id"), end.alias("until"))
+    versions = timeline.filter("active_from IS NOT NULL").select(*by, F.col("active_from").alias("_at"), version.alias("_version"), bucket(F.col("active_from")).alias("_bucket"))
+    # The version that each bucket starts with: the last one of the buckets before.
+    lasts = versions.groupBy(*by, "_bucket").agg(F.max("_version").alias("_last"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    share = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    arriving = docs.select(*by, F.col(at).alias("_at"), row.alias("_row"), bucket(F.col(at)).alias("_bucket"), share.alias("_share"))
+    used = arriving.select(*by, "_bucket").distinct()
+    steps = lasts.select(*by, "_bucket", "_last").unionByName(used.withColumn("_last", F.lit(None).cast(lasts.schema["_last"].dataType)))
+    steps = steps.groupBy(*by, "_bucket").agg(F.max("_last").alias("_last"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start = steps.select(*by, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_version")).filter("_version IS NOT NULL")
+    known = versions.select(*by, "_at", "_version", "_bucket").unionByName(start.select(*by, F.col("_bucket").alias("_at"), "_version", "_bucket"))
+    known = known.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_row", F.lit(None).cast(arriving.schema["_row"].dataType))
+    both = known.unionByName(arriving.withColumn("_version", F.lit(None).cast(versions.schema["_version"].dataType)))
+    # A version handed over is older than any of the bucket; at one instant versions come before documents.
+    order = Window.partitionBy(*by, "_bucket", "_share").orderBy("_at", F.col("_row").isNotNull(), F.col("_version")["since"])
+    carried = both.withColumn("_version", F.last("_version", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("_row IS NOT NULL")
+    found = F.when(F.col("_at").isNotNull(), F.col("_version"))
+    reason = F.when(found.isNull(), "unknown_checklist").when(F.coalesce(found["until"] <= F.col("_at"), F.lit(False)), "inactive_checklist")
+    out = carried.select("_row", F.when(reason.isNull(), found["spec_id"]).alias("spec_id"), reason.alias("reason"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("spec_id", "reason")], "spec_id", "reason")
+
+
 def list_versions(specs: DataFrame) -> DataFrame:
-    """Live versions, oldest first: a range-partitioned sort, which also spreads a hot key."""
-    return specs.filter("deleted_at is null").orderBy("project_id", "schema_key", "created_at", "id")
+    """Live versions with their ``place`` in the catalogue's order within the checklist, oldest first; rows are not sorted.
+
+    Places run per month of publication, and each month starts where the months before it end.
+    """
+    live = specs.filter("deleted_at is null").withColumn("_month", F.date_trunc("month", "created_at"))
+    by = ["project_id", "schema_key"]
+    sizes = live.groupBy(*by, "_month").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "_month", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_month").orderBy("created_at", "id"))
+    placed = live.withColumn("_inside", inside).join(sizes, [*by, "_month"])
+    return placed.withColumn("place", F.col("_before") + F.col("_inside")).drop("_month", "_inside", "_before")
 
 
 def grouped_versions(specs: DataFrame) -> DataFrame:
@@ -128,8 +176,9 @@ def catalog_violations(specs: DataFrame) -> DataFrame:
 
 
 def dedupe_by_name(df: DataFrame, name: str = "name", order: str = "ix") -> DataFrame:
+    """The last entry of each name; rows are not sorted."""
     rest = [c for c in df.columns if c != name]
-    return df.groupBy(name).agg(F.max_by(F.struct(*rest), order).alias("r")).select(name, "r.*").orderBy(name)
+    return df.groupBy(name).agg(F.max_by(F.struct(*rest), order).alias("r")).select(name, "r.*")
 
 
 def seed_defaults(projects: DataFrame, specs: DataFrame, key: str = "wine_quality", label: str = "1.0") -> DataFrame:

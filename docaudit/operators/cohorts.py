@@ -129,32 +129,70 @@ def evaluate_cohort(runs: DataFrame, cohort: Cohort) -> tuple[DataFrame, DataFra
     return aggregate_outcomes(matching, cohort.threshold), matching
 
 
+#: Counts of one tag of a project that one task meets with the cohorts filed under it; shares of an entry at most.
+ENTRY_COUNTS, MOST_SHARES = 4_096, 1_000
+_ENTRY = "struct<key:string,any:boolean,value:string>"
+
+
+def _entry(key: Column, value: Column) -> Column:
+    """A tag with a value, or any value where that is null."""
+    return F.struct(key.alias("key"), value.isNull().alias("any"), F.coalesce(value, F.lit("")).alias("value")).cast(_ENTRY)
+
+
+def _no_entry() -> Column:
+    return _entry(F.lit(""), F.lit(None).cast("string"))
+
+
+def _either(value: Column) -> Column:
+    """The value and the wildcard."""
+    return F.array_distinct(F.filter(F.array(value, F.lit("")), lambda v: v.isNotNull()))
+
+
 def evaluate_cohorts(runs: DataFrame, cohorts: DataFrame) -> DataFrame:
     """All saved cohorts in one job; cohorts nothing matches stay with zeros.
 
     ``cohorts(id, project_id, schema_key, version_label, outcomes, tags, threshold)``. Runs are first
     counted per project, checklist, version, outcome and values of those tags that some cohort of the project asks
-    for; a tag that differs for every run and is asked for by none makes no counts of its own. Only the counts meet
-    the cohorts, so neither the number of runs nor a project that owns a third of them shapes the join.
+    for; a tag that differs for every run and is asked for by none makes no counts of its own.
+
+    An index files each cohort under the tag that it requires and the fewest counts have, with its checklist and
+    version, which may be wildcards. A count looks under each of its tags that is in the index, with its own checklist
+    and version and with the wildcards in their place, so it meets only cohorts that ask for that very combination.
+    Entries that many counts have are dealt to shares, and their cohorts repeated for each.
     """
     asked = cohorts.select("project_id", F.explode("tags").alias("t")).groupBy("project_id").agg(F.collect_set(strip("t.key")).alias("asked"))
     runs = runs.join(asked, "project_id", "left")
     entries = F.map_entries(F.coalesce("attributes", F.create_map().cast("map<string,string>")))
     tags = F.sort_array(F.filter(entries, lambda e: F.coalesce(F.array_contains("asked", e["key"]), F.lit(False))))
     counted = runs.groupBy(
-        F.col("project_id").alias("run_project"), F.col("schema_key").alias("run_key"),
+        F.col("project_id").alias("project"), F.col("schema_key").alias("run_key"),
         F.col("version_label").alias("run_version"), F.col("outcome").alias("run_outcome"), tags.alias("run_tags"),
     ).agg(F.count("*").alias("n"))
-    c = cohorts.withColumnRenamed("id", "cohort_id")
-    key, version = strip(F.coalesce("schema_key", F.lit(""))), strip(F.coalesce("version_label", F.lit("")))
-    matches = (
-        (F.col("run_project") == F.col("project_id"))
-        & ((key == "") | (F.col("run_key") == key))
-        & ((version == "") | (F.col("run_version") == version))
-        & ((F.size("outcomes") == 0) | F.array_contains("outcomes", F.col("run_outcome")))
-        & tags_match(F.map_from_entries("run_tags"), F.col("tags"))
+    with_values = F.filter("run_tags", lambda e: e["value"].isNotNull())
+    own = F.concat(
+        F.array(_no_entry()),
+        F.transform("run_tags", lambda e: _entry(e["key"], F.lit(None).cast("string"))),
+        F.transform(with_values, lambda e: _entry(e["key"], e["value"])),
     )
-    sums = counted.join(c, matches).groupBy("cohort_id").agg(
+    listed = counted.withColumn("entry", F.explode(own))
+    sizes = listed.groupBy("project", "entry").agg(F.count("*").alias("size"))
+
+    key, version = strip(F.coalesce("schema_key", F.lit(""))), strip(F.coalesce("version_label", F.lit("")))
+    c = cohorts.select(F.col("id").alias("cohort_id"), F.col("project_id").alias("project"), key.alias("key"), version.alias("version"), "outcomes", "tags", "threshold")
+    required = F.filter("tags", lambda t: strip(F.coalesce(t["key"], F.lit(""))) != "")
+    wanted = F.when(F.size(required) > 0, F.transform(required, lambda t: _entry(strip(t["key"]), strip(t["value"])))).otherwise(F.array(_no_entry()))
+    options = c.select("cohort_id", "project", F.explode(wanted).alias("entry")).join(sizes, ["project", "entry"], "left")
+    rarest = options.groupBy("cohort_id").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "entry")).alias("r"))
+    shares = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARES), F.ceil(F.col("r.size") / ENTRY_COUNTS))).cast("int")
+    filed = c.join(rarest.select("cohort_id", "r.entry", shares.alias("shares")), "cohort_id")
+
+    index = filed.select("project", "entry", "shares").distinct()
+    met = listed.join(index, ["project", "entry"])
+    met = met.withColumn("share", F.pmod(F.xxhash64("run_key", "run_version", "run_outcome", "run_tags"), F.col("shares")).cast("int")).drop("shares")
+    met = met.withColumn("key", F.explode(_either(F.col("run_key")))).withColumn("version", F.explode(_either(F.col("run_version"))))
+    copies = filed.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    rest = ((F.size("outcomes") == 0) | F.array_contains("outcomes", F.col("run_outcome"))) & tags_match(F.map_from_entries("run_tags"), F.col("tags"))
+    sums = met.join(copies, ["project", "entry", "key", "version", "share"]).filter(rest).groupBy("cohort_id").agg(
         F.sum("n").alias("total"),
         *(
             F.sum(F.when(F.col("run_outcome") == o, F.col("n")).otherwise(0)).alias(f"{o.lower()}_count")

@@ -35,7 +35,7 @@ def _not_comment(ls: Column) -> Column:
     return F.filter(ls, lambda t: ~t.startswith("#"))
 
 
-def line_tokens(line: Column, width: int, pipes: bool) -> Column:
+def line_tokens(line: Column, width: int | Column, pipes: bool) -> Column:
     """Tokens of a line with exactly ``width`` cells, NULL otherwise."""
     blanks = let(words(line), lambda p: F.when(F.size(p) == width, p))
     if not pipes:
@@ -47,34 +47,32 @@ def line_tokens(line: Column, width: int, pipes: bool) -> Column:
     return F.coalesce(F.when(line.contains("|"), cells), blanks)
 
 
-def tokens_of_lines(ls: Column, width: int, pipes: bool) -> Column:
+def tokens_of_lines(ls: Column, width: int | Column, pipes: bool) -> Column:
     return F.filter(F.transform(_not_comment(ls), lambda t: line_tokens(t, width, pipes)), lambda t: t.isNotNull())
 
 
-def glued_lines(blob: Column, hint: str, width: int) -> Column:
+def glued_lines(blob: Column, hint: str | Column, width: int | Column) -> Column:
     """Rows recovered from one long line behind the section hint."""
-    if width < 2:
-        return F.array().cast("array<string>")
-    pattern = r"(?U)\S+\s+" + r"\s+".join([r"[\d.]+"] * (width - 1))
+    hint, width = (F.lit(x) if not isinstance(x, Column) else x for x in (hint, width))
+    pattern = F.concat(F.lit(r"(?U)\S+"), F.repeat(F.lit(r"\s+[\d.]+"), width - 1))
 
     def recover(tail: Column) -> Column:
-        rows = F.transform(F.regexp_extract_all(tail, F.lit(pattern), F.lit(0)), strip)
-        return F.when(tail.contains("\n"), _kept_lines(tail)).otherwise(rows)
+        rows = F.transform(F.regexp_extract_all(tail, pattern, F.lit(0)), strip)
+        return F.when(width < 2, F.array().cast("array<string>")).when(tail.contains("\n"), _kept_lines(tail)).otherwise(rows)
 
     at = F.instr(F.lower(blob), hint)
-    tail = F.when(at > 0, strip(F.substring(blob, at + len(hint), F.length(blob)))).otherwise("")
+    tail = F.when(at > 0, strip(F.substring(blob, at + F.length(hint), F.length(blob)))).otherwise("")
     return let(tail, recover)
 
 
-def list_tokens(blob: Column, group: GroupSpec) -> Column:
+def list_tokens(blob: Column, hint: str | Column, n: int | Column) -> Column:
     """White-space rows; when no line has the right width, rows glued into one line."""
-    n = len(group.row_fields)
 
     def read(pairs: Column) -> Column:
         fitting = F.filter(pairs, lambda p: p["tokens"].isNotNull())
         rows = F.filter(fitting, lambda p: ~p["line"].startswith("#"))["tokens"]
         return F.when(F.size(fitting) > 0, rows).otherwise(
-            tokens_of_lines(glued_lines(blob, group.section_hint, n), n, False)
+            tokens_of_lines(glued_lines(blob, hint, n), n, False)
         )
 
     split_up = F.transform(
@@ -83,11 +81,15 @@ def list_tokens(blob: Column, group: GroupSpec) -> Column:
     return let(split_up, read)
 
 
-def table_tokens(blob: Column, group: GroupSpec) -> Column:
-    return tokens_of_lines(_kept_lines(blob), len(group.row_fields), True)
+def table_tokens(blob: Column, width: int | Column) -> Column:
+    return tokens_of_lines(_kept_lines(blob), width, True)
 
 
-def baselines(blocks: Column, tol: float) -> Column:
+def plain_tokens(blob: Column, width: int | Column) -> Column:
+    return tokens_of_lines(_kept_lines(blob), width, False)
+
+
+def baselines(blocks: Column, tol: float | Column) -> Column:
     """Blocks in reading order cut into text rows: a block joins while it is within ``tol`` of the
     first block of the row. A new page always opens a row.
 
@@ -136,7 +138,7 @@ def baselines(blocks: Column, tol: float) -> Column:
     return let(ordered, cut)
 
 
-def cells(row: Column, gap: float) -> Column:
+def cells(row: Column, gap: float | Column) -> Column:
     """Texts of a row joined into cells; a horizontal gap wider than ``gap`` opens the next cell."""
     spans = F.filter(
         F.sort_array(
@@ -179,20 +181,17 @@ def cells(row: Column, gap: float) -> Column:
     )
 
 
-def box_tokens(blocks: Column, group: GroupSpec) -> Column:
+def box_tokens(blocks: Column, hint: str | Column, n: int | Column, gap: float | Column, tol: float | Column) -> Column:
     """Rows from the geometry of the section's blocks."""
-    n = len(group.row_fields)
     rows = let(
-        let(blocks, lambda b: section_body(b, group.section_hint)),
-        lambda body: baselines(body, group.row_y_tolerance_pt),
+        let(blocks, lambda b: section_body(b, hint)),
+        lambda body: baselines(body, tol),
     )
-    return F.filter(F.transform(rows, lambda r: cells(r, group.column_gap_pt)), lambda t: F.size(t) == n)
+    return F.filter(F.transform(rows, lambda r: cells(r, gap)), lambda t: F.size(t) == n)
 
 
-def section_tokens(blob: Column, group: GroupSpec) -> Column:
+def section_tokens(blob: Column, slugs: Column) -> Column:
     """One row per paragraph of ``label: value`` (or ``label value``) lines that names every field."""
-    names = [n for n, _ in group.row_fields]
-    slugs = F.array(*(F.lit(re.sub(r"[^a-z0-9]+", "_", n.strip().lower()).strip("_")) for n in names))
 
     def pair(line: Column) -> Column:
         colon = line.contains(":")
@@ -220,14 +219,13 @@ def group_tokens(blocks: Column, group: GroupSpec) -> Column:
     """Token rows by the declared structure. Tables try the geometry first, then the text."""
     if not group.section_hint or not group.row_fields:
         return _no_tokens()
-    blob = let(blocks, lambda b: section_blob(b, group.section_hint))
+    blob, n = let(blocks, lambda b: section_blob(b, group.section_hint)), len(group.row_fields)
     if group.structure_hint == "sections":
-        return let(blob, lambda s: section_tokens(s, group))
+        names = F.array(*(F.lit(re.sub(r"[^a-z0-9]+", "_", name.strip().lower()).strip("_")) for name, _ in group.row_fields))
+        return let(blob, lambda s: section_tokens(s, names))
     if group.structure_hint == "list":
-        return let(blob, lambda s: list_tokens(s, group))
-    if group.structure_hint != "table":
-        return let(blob, lambda s: tokens_of_lines(_kept_lines(s), len(group.row_fields), False))
-    return let(blob, lambda s: table_tokens(s, group))
+        return let(blob, lambda s: list_tokens(s, group.section_hint, n))
+    return let(blob, lambda s: (table_tokens if group.structure_hint == "table" else plain_tokens)(s, n))
 
 
 def typed(tokens: Column, group: GroupSpec) -> Column:
@@ -261,7 +259,8 @@ def group_rows(blocks: Column, group: GroupSpec) -> Column:
     text_rows = typed(group_tokens(blocks, group), group)
     if group.structure_hint != "table" or not group.section_hint or not group.row_fields:
         return text_rows
-    return let(typed(box_tokens(blocks, group), group), lambda r: F.when(F.size(r) > 0, r).otherwise(text_rows))
+    boxes = box_tokens(blocks, group.section_hint, len(group.row_fields), group.column_gap_pt, group.row_y_tolerance_pt)
+    return let(typed(boxes, group), lambda r: F.when(F.size(r) > 0, r).otherwise(text_rows))
 
 
 def row_text(row: Column) -> Column:

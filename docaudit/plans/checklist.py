@@ -1,8 +1,8 @@
 """Checklists: the user-declared body of fields, rules and groups, ready for Spark.
 
 A checklist is small (a person wrote it), so it is prepared on the driver once and then travels as
-data: :func:`spec_column` gives it to the plan as one constant struct, and :func:`spec_table` as a
-table when documents of one job follow different checklists.
+data: :func:`spec_column` gives it to the plan as one constant struct. A catalogue of many is compiled in Spark, see
+``plans.catalogue``.
 """
 
 from __future__ import annotations
@@ -384,12 +384,6 @@ def spec_column(checklist: Checklist) -> Column:
     return F.from_json(F.lit(json.dumps(checklist.as_row())), SPEC_TYPE)
 
 
-def spec_table(spark: SparkSession, checklists: Sequence[Checklist]) -> DataFrame:
-    """``(spec_id, spec)`` for jobs over several checklists; joined on ``spec_id``."""
-    rows = [{"spec_id": c.spec_id, "spec": c.as_row()} for c in checklists]
-    return literal_table(spark, rows, f"spec_id string, spec {SPEC_TYPE}")
-
-
 def literal_table(spark: SparkSession, rows: Sequence[dict], schema: str) -> DataFrame:
     """A few rows as part of the plan. Unlike a parallelised list their size is known when the query is
     planned, so a join with them is broadcast by size.

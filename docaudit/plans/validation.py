@@ -9,39 +9,53 @@ projections together, the earlier stage is still evaluated once per row, never o
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions.text import compact, exploding, let
-from docaudit.operators import extraction, mapping, verdicts
+from docaudit.operators import extraction, mapping, programs, verdicts
 from docaudit.operators.blocks import sparse_text
 from docaudit.operators.evidence import tightened
-from docaudit.plans.checklist import Checklist, spec_column, spec_table
+from docaudit.plans.catalogue import spec_programs
+from docaudit.plans.checklist import Checklist, spec_column
 from docaudit.plans.normalise import normalised_body
 
 RESULTS = ("candidates", "field_map", "resolved", "outcomes", "status")
 UNKNOWN_CHECKLIST = "UNKNOWN_CHECKLIST"
 
 
-def _chosen(
-    spec: Column, checklists: Sequence[Checklist], build: Callable[[Checklist], Column], empty: Column
-) -> Column:
-    """``build(checklist)`` of the document's own checklist."""
-    if len(checklists) == 1:
-        return build(checklists[0])
-    out = None
-    for c in checklists:
-        cond = spec["spec_id"] == c.spec_id
-        out = F.when(cond, build(c)) if out is None else out.when(cond, build(c))
-    return out.otherwise(empty)
+@dataclass(frozen=True)
+class _Rules:
+    """Cross-field rules and groups: built into the plan for one checklist, values of the row for a catalogue."""
+
+    own: Checklist | None
+
+    @property
+    def has_cross(self) -> bool:
+        return self.own is None or bool(self.own.active_cross_rules())
+
+    @property
+    def has_groups(self) -> bool:
+        return self.own is None or (self.own.extended and bool(self.own.groups))
+
+    def cross(self, resolved: Column) -> Column:
+        if self.own is None:
+            return programs.cross_outcomes(resolved, F.col("programs.cross"))
+        return verdicts.cross_field_outcomes(resolved, self.own)
+
+    def groups(self, blocks: Column) -> Column:
+        if self.own is None:
+            return programs.group_outcomes(blocks, F.col("programs.groups"))
+        return verdicts.group_outcomes(blocks, self.own)
 
 
 class _Stages:
     """Adds the stages of one pass. ``gate`` limits a pass to the rows that need it."""
 
-    def __init__(self, spec: Column, checklists: Sequence[Checklist], options: dict, suffix: str = "", gate: Column | None = None):
-        self.spec, self.checklists, self.options, self.suffix, self.gate = spec, checklists, options, suffix, gate
+    def __init__(self, spec: Column, rules: _Rules, options: dict, suffix: str = "", gate: Column | None = None):
+        self.spec, self.rules, self.options, self.suffix, self.gate = spec, rules, options, suffix, gate
 
     def name(self, column: str) -> str:
         return column + self.suffix
@@ -101,17 +115,11 @@ class _Stages:
         basic = self._with("_aligned", lambda r, fs: verdicts.field_outcomes(r, fs, self.spec["rules"]))
         parts = [basic]
         empty = F.array().cast(verdicts.OUTCOMES_TYPE)
-        if any(c.active_cross_rules() for c in self.checklists):
-            parts.append(
-                let(self.col("_aligned"), lambda r: _chosen(
-                    self.spec, self.checklists, lambda c: verdicts.cross_field_outcomes(r, c), empty))
-            )
-        if any(c.extended and c.groups for c in self.checklists):
-            group_blocks = F.col(self.options["group_blocks"] or "blocks")
-            parts.append(
-                let(group_blocks, lambda b: _chosen(
-                    self.spec, self.checklists, lambda c: verdicts.group_outcomes(b, c), empty))
-            )
+        group_blocks = F.col(self.options["group_blocks"] or "blocks")
+        if self.rules.has_cross:
+            parts.append(let(self.col("_aligned"), self.rules.cross))
+        if self.rules.has_groups:
+            parts.append(let(group_blocks, self.rules.groups))
         df = self.add(df, "outcomes", F.when(ambiguous, empty).otherwise(F.concat(*parts)))
         df = self.add(df, "outcomes", let(self.col("outcomes"), verdicts.sorted_ledger))
         df = self.add(df, "resolved", compact(self.col("_aligned")))
@@ -121,7 +129,7 @@ class _Stages:
 
 def validate_documents(
     docs: DataFrame,
-    checklists: Checklist | Sequence[Checklist],
+    checklists: Checklist | Sequence[Checklist] | DataFrame,
     *,
     measurements: bool = True,
     spans: str | None = None,
@@ -138,8 +146,9 @@ def validate_documents(
 ) -> DataFrame:
     """Validate ``docs(…, blocks[, spec_id])``; returns ``keep`` + blocks + result columns, one row per document.
 
-    With several checklists, a document whose ``spec_id`` is NULL or names none of them has the status
-    ``UNKNOWN_CHECKLIST`` and no results.
+    Several checklists may be given as objects or as a catalogue compiled by ``catalogue.compiled``; their fields, rules
+    and groups are then values that are joined to the documents, and the plan is the same for any number. A document
+    whose ``spec_id`` is NULL or names none of them has the status ``UNKNOWN_CHECKLIST`` and no results.
 
     Replies are optional columns of the document row: ``gap_replies MAP<STRING,STRING>``,
     ``context_replies MAP<STRING,STRUCT<value,block_id,evidence_text>>``,
@@ -149,18 +158,19 @@ def validate_documents(
     normalised from their bodies first, unless told otherwise.
     """
     several = not isinstance(checklists, Checklist)
-    specs = list(checklists) if several else [checklists]
-    if normalise:
-        specs = [Checklist.from_body(c.spec_id, normalised_body(c.body)) if c.body else c for c in specs]
     if several:
-        df = docs.join(spec_table(docs.sparkSession, specs), "spec_id", "left")
-        spec = F.col("spec")
+        if not isinstance(checklists, DataFrame):
+            specs = [Checklist.from_body(c.spec_id, normalised_body(c.body)) if normalise and c.body else c for c in checklists]
+            checklists = spec_programs(docs.sparkSession, specs)
+        df = docs.join(checklists.select("spec_id", "spec", "programs"), "spec_id", "left")
+        spec, rules = F.col("spec"), _Rules(None)
     else:
-        df, spec = docs, spec_column(specs[0])
+        own = Checklist.from_body(checklists.spec_id, normalised_body(checklists.body)) if normalise and checklists.body else checklists
+        df, spec, rules = docs, spec_column(own), _Rules(own)
     options = {
         "context_replies": context_replies, "judge_verdicts": judge_verdicts, "spans": spans, "group_blocks": group_blocks,
     }
-    stages = _Stages(spec, specs, options)
+    stages = _Stages(spec, rules, options)
     found = let(
         F.col("blocks"), lambda b: let(spec["fields"], lambda fs: extraction.ensemble(b, fs, measurements))
     )
@@ -181,7 +191,7 @@ def validate_documents(
     df = df.withColumn("candidates", let(F.col("candidates"), mapping.deduped))
     df = stages.settle(df)
     if page_replies is not None:
-        df = _second_pass(df, spec, specs, options, page_replies)
+        df = _second_pass(df, spec, rules, options, page_replies)
     if several:
         df = df.withColumn("status", F.when(spec.isNull(), UNKNOWN_CHECKLIST).otherwise(F.col("status")))
         df = df.withColumns({c: F.when(spec.isNotNull(), F.col(c)) for c in RESULTS if c != "status"})
@@ -207,14 +217,14 @@ def _first_page_pass(df: DataFrame, stages: _Stages, replies: str, image_pages:
     return df.withColumn("candidates", F.concat("candidates", "_page")).withColumn("_page_used", F.size("_page") > 0).drop("_page")
 
 
-def _second_pass(df: DataFrame, spec: Column, specs: Sequence[Checklist], options: dict, replies: str) -> DataFrame:
+def _second_pass(df: DataFrame, spec: Column, rules: _Rules, options: dict, replies: str) -> DataFrame:
     """Read documents again that fail for want of a value, now with the page replies."""
     lacking = let(
         F.col("field_map"), lambda m: let(spec["fields"], lambda fs: mapping.missing_required_fields(m, fs))
     )
     failed_required = F.exists("outcomes", lambda o: (o["rule"] == "required") & ~o["passed"])
     df = df.withColumn("_retry", (F.col("status") == "FAIL") & ~F.col("_page_used") & ((F.size(lacking) > 0) | failed_required))
-    again = _Stages(spec, specs, options, "_2", F.col("_retry"))
+    again = _Stages(spec, rules, options, "_2", F.col("_retry"))
     more = _page_candidates(spec, replies)
     df = again.add(df, "candidates", let(F.concat("candidates", more), mapping.deduped))
     df = again.settle(df)

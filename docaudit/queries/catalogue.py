@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from docaudit.operators import checklists as ops
 from docaudit.plans import datasets as d
+from docaudit.plans.catalogue import compiled
+from docaudit.plans.validation import validate_documents
+from docaudit.sources.blocks import text_blocks
 
 from .registry import query
 
@@ -74,16 +77,95 @@ def bound(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce("spec_id", F.lit(-1).cast("long")).alias("spec_id"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+@query(
+    "spc03b_bind_as_of",
+    f"""WITH {VERSIONS}, arrived AS (SELECT l_orderkey AS doc_id, l_linenumber AS copy, p_brand AS project_id, CASE WHEN l_orderkey % 11 = 0 THEN 'NONE' ELSE p_type END AS schema_key,
+   1577836800 + (l_orderkey * 7 + l_linenumber * 131) % 30000 * 30 AS arrival FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT doc_id, copy, CASE WHEN v.id IS NULL OR least(archived, deleted) <= arrival THEN -1 ELSE v.id END AS spec_id,
+   CASE WHEN v.id IS NULL THEN 'unknown_checklist' WHEN least(archived, deleted) <= arrival THEN 'inactive_checklist' ELSE '' END AS reason
+FROM arrived a ASOF LEFT JOIN versions v ON a.project_id = v.project_id AND a.schema_key = v.schema_key AND a.arrival >= v.created""",
+)
+def bound_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as documents that arrive over ten days while parts publish versions: ties, gaps and early birds included."""
+    k = F.col("l_orderkey")
+    part = d.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("project_id"), "p_type")
+    docs = d.table(spark, sf, "lineitem").join(part, "l_partkey").select(
+        k.alias("doc_id"), F.col("l_linenumber").alias("copy"), "project_id", F.when(k % 11 == 0, "NONE").otherwise(F.col("p_type")).alias("schema_key"),
+        F.timestamp_seconds(F.lit(1577836800) + (k * 7 + F.col("l_linenumber") * 131) % 30000 * 30).alias("uploaded_at"),
+    )
+    rows = ops.bind_as_of(docs, ops.version_timeline(versions(spark, sf).drop("status"), bucket=F.date_trunc("hour", "created_at")))
+    return rows.select("doc_id", "copy", F.coalesce("spec_id", F.lit(-1).cast("long")).alias("spec_id"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+CATALOGUE_STATUS = """(SELECT doc_id, spec_id, price, size, has_size,
+   CAST(NOT has_size AND v % 2 = 0 AS BIGINT) + CAST(price < 900 + v % 50 * 10 AS BIGINT) + CAST(has_size AND size > 10 + v % 41 AS BIGINT)
+   + CAST(has_size AND NOT (price / size >= 20 + v % 60 AND size <> v % 50) AS BIGINT)
+   + CASE WHEN v % 3 = 0 THEN CAST(doc_id % 7 < v % 9 AS BIGINT) + CAST(doc_id % 10 < v % 9 AS BIGINT) ELSE 0 END AS failed
+FROM (SELECT b.doc_id, b.spec_id, b.spec_id AS v, p_retailprice AS price, p_size AS size, p_partkey % 6 <> 0 AS has_size FROM bound b JOIN part ON p_partkey = b.doc_id))"""
+
+
+def catalogue_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON body for every version: bounds, rules and groups differ from one to the next."""
+    v = F.col("p_partkey")
+    group = F.when(v % 3 == 0, F.format_string(
+        ', "groups": {"stock": {"section_hint": "Stock Rows", "structure_hint": "list", "row_fields": {"line": {"type": "number"}, "qty": {"type": "number"}}, '
+        '"row_rules": [{"id": "enough", "expression": "qty >= %d", "error_message": "line {line}: {qty}"}]}}', v % 9)).otherwise("")
+    body = F.format_string(
+        '{"version": "2", "fields": {"price": {"type": "number", "required": true, "min": %d, "aliases": ["Price"]}, "size": {"type": "number", "required": %s, "max": %d}}, '
+        '"cross_field_rules": [{"id": "per_size", "expression": "price / size >= %d AND NOT size == %d", "fields": ["price", "size"], "error_message": "{price} for {size}"}]%s}',
+        F.lit(900) + v % 50 * 10, F.when(v % 2 == 0, "true").otherwise("false"), F.lit(10) + v % 41, F.lit(20) + v % 60, v % 50, group)
+    return d.table(spark, sf, "part").select(v.alias("spec_id"), body.alias("body"))
+
+
+@query(
+    "rul14g_validate_catalogue",
+    f"""WITH {VERSIONS}, live AS (SELECT * FROM stated WHERE state <> 'deleted'),
+named AS (SELECT project_id, schema_key, version_label, arg_min(id, CASE state WHEN 'active' THEN 0 ELSE 1000000000 END + id) AS spec_id,
+   bool_or(state = 'active') AS usable FROM live GROUP BY ALL),
+current AS (SELECT project_id, schema_key, id AS spec_id FROM live WHERE state = 'active'),
+wanted AS (SELECT p_partkey AS doc_id, p_brand AS project_id, CASE WHEN p_partkey % 8 = 0 THEN 'NONE' ELSE p_type END AS schema_key,
+   CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '1.' || (p_partkey % 50) END AS label FROM part),
+bound AS (SELECT doc_id, CASE WHEN label = '' THEN c.spec_id WHEN n.usable THEN n.spec_id END AS spec_id
+FROM wanted w LEFT JOIN named n ON w.project_id = n.project_id AND w.schema_key = n.schema_key AND w.label = n.version_label
+LEFT JOIN current c ON w.project_id = c.project_id AND w.schema_key = c.schema_key)
+SELECT doc_id, coalesce(spec_id, -1) AS spec_id, CASE WHEN spec_id IS NULL THEN 'UNKNOWN_CHECKLIST' WHEN failed = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
+   CASE WHEN spec_id IS NULL THEN 0 ELSE failed END AS n_failed,
+   CASE WHEN spec_id IS NOT NULL AND has_size AND NOT (price / size >= 20 + spec_id % 60 AND size <> spec_id % 50)
+     THEN CASE WHEN price = round(price) THEN CAST(CAST(round(price) AS BIGINT) AS VARCHAR) ELSE CAST(price AS VARCHAR) END || ' for ' || size ELSE '' END AS message
+FROM {CATALOGUE_STATUS}""",
+)
+def validated(spark: SparkSession, sf: str) -> DataFrame:
+    """Part sheets bound to a version of their checklist and validated by it: catalogue, bodies and documents are tables."""
+    k = F.col("p_partkey")
+    text = F.concat_ws(
+        "\n", F.lit("PART SHEET"), F.format_string("Price: %.2f", "p_retailprice"), F.when(k % 6 != 0, F.format_string("Size: %d", "p_size")),
+        F.lit("Stock Rows"), F.format_string("1 %d", k % 7), F.format_string("2 %d", k % 10),
+    )
+    docs = d.table(spark, sf, "part").select(
+        k.alias("doc_id"), F.col("p_brand").alias("project_id"), F.when(k % 8 == 0, "NONE").otherwise(F.col("p_type")).alias("schema_key"),
+        F.when(k % 2 != 0, F.concat(F.lit("1."), (k % 50).cast("string"))).alias("version_label"), text_blocks(text).alias("blocks"),
+    )
+    timeline = ops.version_timeline(versions(spark, sf).drop("status"), bucket=F.date_trunc("hour", "created_at"))
+    bound = ops.bind_specs(docs, timeline).select("doc_id", "blocks", F.col("spec_id").cast("string").alias("spec_id"))
+    found = validate_documents(bound, compiled(catalogue_bodies(spark, sf)), measurements=False, keep=["doc_id", "spec_id"])
+    failed = F.filter("outcomes", lambda o: ~o["passed"])
+    message = F.get(F.filter("outcomes", lambda o: (o["rule"] == "per_size") & ~o["passed"])["expected"], F.lit(0))
+    return found.select(
+        "doc_id", F.coalesce(F.col("spec_id").cast("long"), F.lit(-1).cast("long")).alias("spec_id"), "status",
+        F.greatest(F.coalesce(F.size(failed), F.lit(0)), F.lit(0)).cast("long").alias("n_failed"), F.coalesce(message, F.lit("")).alias("message"),
+    )
+
+
 @query(
     "spc04_list_versions",
     f"""WITH {VERSIONS} SELECT project_id, schema_key, count(*) AS versions, arg_min(version_label, id) AS first_label, arg_max(version_label, id) AS latest_label
 FROM versions WHERE deleted IS NULL GROUP BY ALL
-UNION ALL SELECT project_id, schema_key, id, version_label, '' FROM versions WHERE deleted IS NULL""",
+UNION ALL SELECT project_id, schema_key, id, version_label, CAST(row_number() OVER (PARTITION BY project_id, schema_key ORDER BY created, id) AS VARCHAR) FROM versions WHERE deleted IS NULL""",
 )
 def listed(spark: SparkSession, sf: str) -> DataFrame:
     """Grouped list and flat list."""
     flat = ops.list_versions(versions(spark, sf)).select(
-        "project_id", "schema_key", F.col("id").alias("versions"), F.col("version_label").alias("first_label"), F.lit("").alias("latest_label")
+        "project_id", "schema_key", F.col("id").alias("versions"), F.col("version_label").alias("first_label"), F.col("place").cast("string").alias("latest_label")
     )
     return ops.grouped_versions(versions(spark, sf)).unionByName(flat)
 

@@ -298,6 +298,32 @@ def all_cohorts(spark: SparkSession, sf: str) -> DataFrame:
     return c.evaluate_cohorts(ops.visible(d.runs(spark, sf, with_tags=True)), saved)
 
 
+@query(
+    "coh06b_evaluate_many_cohorts",
+    f"""WITH {RUNS}, held AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'BIG' ELSE project_id END AS project FROM runs WHERE archived_at IS NULL AND deleted_at IS NULL),
+saved AS (SELECT n_nationkey || '-' || s.c_mktsegment || '-' || i AS cohort_id, n_nationkey AS nation, CASE WHEN i % 2 = 0 THEN 'BIG' ELSE s.c_mktsegment END AS project,
+    CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN '1-URGENT' ELSE '3-MEDIUM' END AS k, CASE WHEN i % 4 < 2 THEN '' ELSE '1.' || (i % 4) END AS ver, i FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s CROSS JOIN range(8) t(i)),
+hit AS (SELECT cohort_id, outcome FROM saved s JOIN held r ON r.project = s.project AND (k = '' OR schema_key = k) AND (ver = '' OR version_label = ver) AND (i = 7 OR r.nation = s.nation) AND (i % 5 <> 3 OR id % 5 = 0) AND (i % 2 = 0 OR outcome <> 'FAIL')),
+agg AS (SELECT cohort_id, count(*) AS total, count(*) FILTER (WHERE outcome = 'PASS') AS p, count(*) FILTER (WHERE outcome = 'FAIL') AS f, count(*) FILTER (WHERE outcome = 'AMBIGUOUS') AS a FROM hit GROUP BY cohort_id)
+SELECT cohort_id, coalesce(total, 0) AS total, CAST(coalesce(p, 0) AS BIGINT) AS pass_count, CAST(coalesce(f, 0) AS BIGINT) AS fail_count, CAST(coalesce(a, 0) AS BIGINT) AS ambiguous_count FROM saved LEFT JOIN agg USING (cohort_id)""",
+)
+def many_cohorts(spark: SparkSession, sf: str) -> DataFrame:
+    """A thousand cohorts; one project holds half of all runs. Some ask for a checklist, a version, two tags, or none."""
+    runs = ops.visible(d.runs(spark, sf, with_tags=True)).withColumn("project_id", F.when(F.col("id") % 2 == 0, "BIG").otherwise(F.col("project_id")))
+    segments = d.table(spark, sf, "customer").select("c_mktsegment").distinct()
+    i, nation = F.col("i"), F.col("n_nationkey").cast("string")
+    tag = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    audit = F.when(i % 5 == 3, F.array(tag(" audit ", F.lit(None)))).otherwise(F.array().cast(c.TAG_REQUIREMENTS))
+    where = F.when(i != 7, F.array(tag("nation", nation))).otherwise(F.array().cast(c.TAG_REQUIREMENTS))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
+    saved = segments.withColumn("n_nationkey", each(24)).withColumn("i", each(7)).select(
+        F.concat_ws("-", nation, "c_mktsegment", i.cast("string")).alias("id"), F.when(i % 2 == 0, "BIG").otherwise(F.col("c_mktsegment")).alias("project_id"),
+        F.when(i % 3 == 1, "1-URGENT").when(i % 3 == 2, " 3-MEDIUM").alias("schema_key"), F.when(i % 4 >= 2, F.concat(F.lit("1."), (i % 4).cast("string"))).otherwise(" ").alias("version_label"),
+        F.when(i % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("PASS"), F.lit("AMBIGUOUS"))).alias("outcomes"), F.concat(where, audit).alias("tags"), F.lit(50.0).alias("threshold"),
+    )
+    return c.evaluate_cohorts(runs, saved).select("cohort_id", "total", "pass_count", "fail_count", "ambiguous_count")
+
+
 _VOCAB = """seen AS (SELECT * FROM runs WHERE archived_at IS NULL AND deleted_at IS NULL),
 vocab AS (SELECT DISTINCT project_id, 'segment' AS tag_key, project_id AS tag_value FROM seen
   UNION SELECT project_id, 'nation', CAST(nation AS VARCHAR) FROM seen UNION SELECT project_id, 'audit', '' FROM seen WHERE id % 5 = 0)"""
