@@ -1,7 +1,8 @@
 """Evidence: where in the document a value stands.
 
 Needles are compared with blocks of the same document only, inside the document row, so there is
-never a join of needles with blocks.
+never a join of needles with blocks. Texts of blocks are normalised once a document and joined to one haystack, which a
+needle searches as a whole; no needle visits the blocks one by one.
 """
 
 from __future__ import annotations
@@ -23,6 +24,21 @@ def needle(text: Column) -> Column:
     return squeeze(F.lower(F.coalesce(text, F.lit(""))))
 
 
+def haystack(blocks: Column) -> Column:
+    """Normalised texts of all blocks, one a line. Needles hold no line feed, so a hit lies within one block."""
+    return F.array_join(F.transform(blocks, lambda b: needle(b["text"])), "\n")
+
+
+def block_with(hay: Column, n: Column) -> Column:
+    """Number of the first block that holds a needle, NULL if none does: one search through the document's text."""
+
+    def line(at: Column) -> Column:
+        before = F.left(hay, at)
+        return F.when(at > 0, F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))))
+
+    return let(F.instr(hay, n), line)
+
+
 def anchor_block(blocks: Column, cited: Column, quote: Column, val: Column) -> Column:
     """The cited block if a needle occurs in it, else the block with the longest needle, else the cited one."""
 
@@ -38,20 +54,11 @@ def anchor_block(blocks: Column, cited: Column, quote: Column, val: Column) -> C
             named = first(F.filter(blocks, lambda b: (b["block_id"] == cited) & (cited != "")))
             confirmed = F.exists(ns, lambda n: needle(named["text"]).contains(n))
 
-            def score(b: Column, i: Column) -> Column:
-                return let(
-                    needle(b["text"]),
-                    lambda hay: F.struct(
-                        (-F.coalesce(
-                            F.array_max(F.transform(ns, lambda n: F.when(hay.contains(n), F.length(n)).otherwise(0))),
-                            F.lit(0),
-                        )).alias("score"),
-                        i.alias("i"),
-                    ),
-                )
-
-            best = F.array_min(F.transform(blocks, score))
-            found = let(best, lambda s: F.when(s["score"] < 0, F.get(blocks, s["i"])))
+            def longest(hay: Column) -> Column:
+                hits = F.transform(ns, lambda n: F.struct((-F.length(n)).alias("size"), block_with(hay, n).alias("i")))
+                return F.get(blocks, F.array_min(F.filter(hits, lambda h: h["i"].isNotNull()))["i"])
+
+            found = F.when(F.size(ns) > 0, let(haystack(blocks), longest))
             return F.when(named.isNotNull() & confirmed, named).otherwise(F.coalesce(found, named))
 
         return let(needles, search)
@@ -142,12 +149,12 @@ def evidence_snippets(df: DataFrame, quote: str = "quote", key: str = "doc_id")
 
 def realigned(cands: Column, blocks: Column) -> Column:
     """Move a large box to the first block that holds the evidence (or the value), if that one is smaller."""
+    return let(haystack(blocks), lambda hay: _realigned(cands, blocks, hay))
 
+
+def _realigned(cands: Column, blocks: Column, hay: Column) -> Column:
     def find(text: Column) -> Column:
-        return let(
-            needle(text),
-            lambda n: F.when(F.length(n) >= VALUE_CHARS, first(F.filter(blocks, lambda b: needle(b["text"]).contains(n)))),
-        )
+        return let(needle(text), lambda n: F.when(F.length(n) >= VALUE_CHARS, F.get(blocks, block_with(hay, n))))
 
     def one(c: Column) -> Column:
         boxed = valid_box(c)

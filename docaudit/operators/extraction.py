@@ -152,8 +152,16 @@ def text_lines(blocks: Column) -> Column:
     )
 
 
-def label_candidate(ls: Column, blocks: Column, f: Column) -> Column:
-    """``Label: value`` or ``Label value``: first label with any usable hit, then first line, then form."""
+def label_candidate(ls: Column, blocks: Column, f: Column, places: Column | None = None) -> Column:
+    """``Label: value`` or ``Label value``: first label with any usable hit, then first line, then form.
+
+    ``places`` (see ``labels.label_places``) names the lines that hold each label; without it every label is searched.
+    """
+
+    def lines_with(label: Column) -> Column:
+        if places is None:
+            return F.filter(ls, lambda x: x["low"].contains(label["label"]))
+        return F.transform(F.coalesce(F.try_element_at(places, label["label"]), F.array().cast("array<int>")), lambda i: F.get(ls, i))
 
     def usable(text: Column) -> Column:
         def test(raw: Column) -> Column:
@@ -184,7 +192,7 @@ def label_candidate(ls: Column, blocks: Column, f: Column) -> Column:
     per_label = F.transform(
         f["labels"],
         lambda label: first(
-            compact(F.transform(F.filter(ls, lambda x: x["low"].contains(label["label"])), lambda x: hit(x, label)))
+            compact(F.transform(lines_with(label), lambda x: hit(x, label)))
         ),
     )
     return F.slice(compact(per_label), 1, 1)
@@ -229,12 +237,12 @@ def schema_regex(blocks: Column, fields: Column) -> Column:
     )
 
 
-def schema_labels(blocks: Column, fields: Column) -> Column:
+def schema_labels(blocks: Column, fields: Column, places: Column | None = None) -> Column:
     def of_field(f: Column, ls: Column) -> Column:
         return (
             F.when(f["skip_labels"], no_candidates())
             .when(f["is_email"], email_candidate(blocks, f))
-            .otherwise(label_candidate(ls, blocks, f))
+            .otherwise(label_candidate(ls, blocks, f, places))
         )
 
     return let(text_lines(blocks), lambda ls: F.flatten(F.transform(fields, lambda f: of_field(f, ls))))
@@ -346,9 +354,9 @@ def measurement_lines(blocks: Column) -> Column:
     return F.flatten(F.transform(blocks, of_block))
 
 
-def ensemble(blocks: Column, fields: Column, measurements: bool = True) -> Column:
+def ensemble(blocks: Column, fields: Column, measurements: bool = True, places: Column | None = None) -> Column:
     """All extractors in their fixed order."""
-    parts = [schema_regex(blocks, fields), schema_labels(blocks, fields)]
+    parts = [schema_regex(blocks, fields), schema_labels(blocks, fields, places)]
     if measurements:
         parts += [measurement_regex(blocks), measurement_lines(blocks)]
     return F.concat(*parts)
@@ -487,8 +495,11 @@ def extract_spanish_dates(df: DataFrame, checklist: Checklist, key: str = "doc_i
     )
 
 
-def extract_labels(df: DataFrame, checklist: Checklist, key: str = "doc_id") -> DataFrame:
-    return _table(df, checklist, schema_labels, key)
+def extract_labels(df: DataFrame, checklist: Checklist, key: str = "doc_id", places: str | None = None) -> DataFrame:
+    """Candidates by label; ``places`` is the column that ``labels.label_places`` adds for checklists of many labels."""
+    if places is None:
+        return _table(df, checklist, schema_labels, key)
+    return _table(df, checklist, lambda b, fs: let(F.col(places), lambda p: schema_labels(b, fs, p)), key)
 
 
 def extract_measurements(df: DataFrame, key: str = "doc_id") -> DataFrame:

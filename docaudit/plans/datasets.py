@@ -149,7 +149,13 @@ def order_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_texts(order_lines(spark, sf_dir)).withColumn("blocks", text_blocks(F.col("text")))
 
 
-def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, lang, source, blocks)`` of the prose documents."""
+def document_blocks(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    """``(doc_id, lang, source, blocks)`` of the prose documents.
+
+    ``deal`` deals them out by key first, for work on each document that takes longer than its shuffle: files of few row
+    groups give few tasks.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    if deal:
+        docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     return docs.select("doc_id", "lang", "source", text_blocks(F.col("text")).alias("blocks"))

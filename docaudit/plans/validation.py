@@ -141,6 +141,7 @@ def validate_documents(
     judge_verdicts: str | None = None,
     evaluations: str | None = None,
     image_pages: str | None = None,
+    label_places: str | None = None,
     normalise: bool = True,
     keep: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
@@ -154,7 +155,7 @@ def validate_documents(
     ``context_replies MAP<STRING,STRUCT<value,block_id,evidence_text>>``,
     ``page_replies MAP<STRING,STRING>`` (used where a document has hardly any text, ``image_pages`` being its pages
     with images, or lacks a required value, and in a second pass by documents that fail for want of a value and have
-    not used theirs), ``judge_verdicts MAP<STRING,BOOLEAN>`` and ``evaluations ARRAY<STRING>``. Checklists are
+    not used theirs), ``label_places`` (see ``labels.label_places``, for catalogues of many labels), ``judge_verdicts MAP<STRING,BOOLEAN>`` and ``evaluations ARRAY<STRING>``. Checklists are
     normalised from their bodies first, unless told otherwise.
     """
     several = not isinstance(checklists, Checklist)
@@ -171,9 +172,10 @@ def validate_documents(
         "context_replies": context_replies, "judge_verdicts": judge_verdicts, "spans": spans, "group_blocks": group_blocks,
     }
     stages = _Stages(spec, rules, options)
-    found = let(
-        F.col("blocks"), lambda b: let(spec["fields"], lambda fs: extraction.ensemble(b, fs, measurements))
-    )
+    if label_places is None:
+        found = let(F.col("blocks"), lambda b: let(spec["fields"], lambda fs: extraction.ensemble(b, fs, measurements)))
+    else:
+        found = let(F.col("blocks"), lambda b: let(spec["fields"], lambda fs: let(F.col(label_places), lambda p: extraction.ensemble(b, fs, measurements, p))))
     df = df.withColumn("candidates", found)
     if gap_replies is not None:
         targets = stages._with(

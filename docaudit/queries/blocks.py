@@ -19,7 +19,7 @@ ITEMS = GroupSpec("items", "order items", (("line", "number"), ("qty", "number")
 
 def fonted(spark: SparkSession, sf: str) -> DataFrame:
     """Prose blocks where every fifth line is set in a larger font."""
-    return d.document_blocks(spark, sf).withColumn(
+    return d.document_blocks(spark, sf, deal=True).withColumn(
         "blocks",
         F.transform("blocks", lambda b: b.withField("font_size_max", F.when(b["block_ix"] % 5 == 0, 14.0).otherwise(10.0))),
     )

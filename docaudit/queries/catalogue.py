@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.operators import checklists as ops
+from docaudit.operators.labels import catalogue_labels, label_places
 from docaudit.plans import datasets as d
 from docaudit.plans.catalogue import compiled
 from docaudit.plans.validation import validate_documents
@@ -147,7 +148,9 @@ def validated(spark: SparkSession, sf: str) -> DataFrame:
     )
     timeline = ops.version_timeline(versions(spark, sf).drop("status"), bucket=F.date_trunc("hour", "created_at"))
     bound = ops.bind_specs(docs, timeline).select("doc_id", "blocks", F.col("spec_id").cast("string").alias("spec_id"))
-    found = validate_documents(bound, compiled(catalogue_bodies(spark, sf)), measurements=False, keep=["doc_id", "spec_id"])
+    catalogue = compiled(catalogue_bodies(spark, sf))
+    placed = label_places(bound, catalogue_labels(catalogue) or [])
+    found = validate_documents(placed, catalogue, measurements=False, label_places="label_places", keep=["doc_id", "spec_id"])
     failed = F.filter("outcomes", lambda o: ~o["passed"])
     message = F.get(F.filter("outcomes", lambda o: (o["rule"] == "per_size") & ~o["passed"])["expected"], F.lit(0))
     return found.select(

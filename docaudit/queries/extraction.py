@@ -9,6 +9,7 @@ from docaudit.functions.text import let
 from docaudit.functions.values import coerce
 from docaudit.operators import extraction as ops
 from docaudit.operators import mapping
+from docaudit.operators.labels import label_places
 from docaudit.plans import datasets as d
 from docaudit.plans.checklist import Checklist, spec_column
 from docaudit.sources.blocks import text_blocks
@@ -165,6 +166,23 @@ def by_label(spark: SparkSession, sf: str) -> DataFrame:
     return shown(ops.extract_labels(d.order_reports(spark, sf), d.ORDER_CHECKLIST))
 
 
+@query(
+    "ext06b_extract_many_labels",
+    """WITH t AS (SELECT p_partkey AS doc_id, p_partkey % 500 AS a, p_partkey * 7 % 500 AS b, p_retailprice AS x, CAST(p_size AS DOUBLE) AS y, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS late FROM part)
+SELECT doc_id, printf('lot %03d', a) AS field, x AS value_num, 1 + late AS block_ix, printf('Lot %03d: %.2f', a, x) AS evidence_text FROM t
+UNION ALL SELECT doc_id, printf('lot %03d', b), y, 2 + late, printf('(lot %03d) %d', b, CAST(y AS BIGINT)) FROM t WHERE a <> b""",
+)
+def by_many_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """A checklist of five hundred fields with a thousand labels; a document holds two of them."""
+    spec = Checklist.from_body("lots", {"fields": {f"f{i:03d}": {"type": "number", "aliases": [f"Lot {i:03d}"]} for i in range(500)}})
+    k = F.col("p_partkey")
+    text = F.concat_ws("\n", F.lit("LOT SHEET"), F.when(k % 3 == 0, "Lots of the warehouse"), F.format_string("Lot %03d: %.2f", k % 500, "p_retailprice"), F.format_string("(lot %03d) %d", k * 7 % 500, "p_size"))
+    docs = d.table(spark, sf, "part").select(k.alias("doc_id"), text_blocks(text).alias("blocks"))
+    placed = label_places(docs, [lb["label"] for f in spec.fields for lb in f.as_row()["labels"]])
+    rows = shown(ops.extract_labels(placed, spec, places="label_places"))
+    return rows.select("doc_id", F.concat(F.lit("lot "), F.substring("field", 2, 3)).alias("field"), "value_num", "block_ix", "evidence_text")
+
+
 @query(
     "ext07_extract_emails",
     rf"""WITH {BLOCKS}, hits AS (
@@ -173,7 +191,7 @@ SELECT doc_id, arg_min(m, length(m) * 1000000 + block_ix) AS value_str, arg_min(
 FROM hits WHERE m <> '' GROUP BY doc_id""",
 )
 def emails(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ops.extract_labels(d.document_blocks(spark, sf), EMAIL_CHECKLIST)
+    rows = ops.extract_labels(d.document_blocks(spark, sf, deal=True), EMAIL_CHECKLIST)
     return rows.select("doc_id", "value_str", F.col("block_ix").cast("long").alias("block_ix"))
 
 

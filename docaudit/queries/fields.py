@@ -242,7 +242,7 @@ hay AS (SELECT doc_id, block_ix, regexp_replace(lower(text), '\\s+', ' ', 'g') A
 FROM hay JOIN needle USING (doc_id) GROUP BY doc_id""",
 )
 def anchored(spark: SparkSession, sf: str) -> DataFrame:
-    docs = d.document_blocks(spark, sf).filter(F.size("blocks") > 0).withColumns(
+    docs = d.document_blocks(spark, sf, deal=True).filter(F.size("blocks") > 0).withColumns(
         {"cited": F.lit("b0"), "quote": F.left(F.element_at("blocks", -1)["text"], F.lit(30)), "value_text": F.lit("")}
     )
     return evidence.anchor_evidence(docs).select("doc_id", "block_id")
