@@ -110,8 +110,9 @@ def mix(
     """
     names = ("size", "source_size", "target", "copies", "taken")
     columns = [c for c in (keep or df.columns) if c.lower() not in names]
+    # The row travels as one value, so that no column of it can clash with those of the mix.
     base = df.select(
-        *[F.col(f"`{c}`") for c in columns], size.cast("long").alias("size"),
+        F.struct(*[F.col(f"`{c}`") for c in columns] or [F.lit(0)]).alias("row"), size.cast("long").alias("size"),
         source_key(source).alias("_source"), F.col(source).alias("_name"), unit_hash(key).alias("_hash"),
     )
     # What the histograms read is written narrow; with few columns to keep, those rows serve for the result as well.
@@ -123,13 +124,17 @@ def mix(
     plan = written(thresholds(rows.select("key", "size", "hash"), budgets), "mix-plan").withColumnRenamed("key", "_source")
     copies = F.col("whole") + F.when((F.col("_hash") < F.col("below")) & (F.col("target") > F.col("whole") * F.col("source_size")), 1).otherwise(0)
     out = base.join(plan, "_source").withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[F.col(f"`{c}`") for c in columns], *names)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in columns], *names)
 
 
 def take(df: DataFrame, size: Column, **options) -> DataFrame:
-    """The mix itself: every row of ``df`` as often as ``mix`` takes it, with the columns of ``df``."""
+    """The mix itself: every row of ``df`` as often as ``mix`` takes it, with the columns of ``df``.
+
+    Rows without words are taken as often as the rest of their source below the threshold; an empty table stays empty.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
     key, source = options.pop("key", "doc_id"), options.pop("source", "source")
     inner = df.select(row, F.col(key).alias("_id"), F.col(source).alias("_from"), size.alias("_words"))
     mixed = mix(inner, F.col("_words"), "_id", "_from", **options)
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    each = mixed.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    return each.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
