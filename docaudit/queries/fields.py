@@ -192,10 +192,12 @@ def resolved(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "map11_evidence",
     f"""WITH {REPORT_STATUS} SELECT doc_id, 'total_due' AS field, printf('Total due: %.2f', total) AS text, 'b2' AS block_id, 24.0::DOUBLE AS y0 FROM verdict WHERE has_total AND NOT has_second
-UNION ALL SELECT doc_id, 'status', 'Status: ' || status, 'b' || status_ix, status_ix * 12.0::DOUBLE FROM verdict WHERE NOT has_second""",
+UNION ALL SELECT doc_id, 'status', 'Status: ' || status, 'b' || status_ix, status_ix * 12.0::DOUBLE FROM verdict WHERE NOT has_second
+UNION ALL SELECT doc_id, 'order_number', 'Order number: ' || doc_id, 'b1', 12.0::DOUBLE FROM verdict WHERE NOT has_second
+UNION ALL SELECT doc_id, 'item_count', 'Items: ' || n_items, 'b' || (status_ix + 1), (status_ix + 1) * 12.0::DOUBLE FROM verdict WHERE NOT has_second""",
 )
 def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = settled(spark, sf).select("doc_id", F.inline(exploding(F.col("resolved")))).filter("field in ('total_due', 'status')")
+    rows = settled(spark, sf).select("doc_id", F.inline(exploding(F.col("resolved"))))
     return rows.select("doc_id", "field", "evidence.text", "evidence.block_id", "evidence.y0")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.functions.text import exploding
+from docaudit.functions.text import exploding, number_text
 from docaudit.operators import views
 from docaudit.plans import datasets as d
 from docaudit.plans.validation import validate_documents
@@ -14,7 +14,7 @@ from docaudit.sources import delimited, replies, sinks, uploads
 from docaudit.streaming.validate import run_rows
 
 from .registry import query, scratch_folder
-from .sql import BLOCKS, REPORT_STATUS, RUN_ROWS, RUNS
+from .sql import BLOCKS, REPORT_CONTENTS, REPORT_STATUS, RUN_ROWS, RUNS
 
 
 def _uploads(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,27 +245,43 @@ def written_runs(spark: SparkSession, sf: str) -> DataFrame:
     return shown_runs(sinks.read_runs(spark, path))
 
 
+def block_texts() -> Column:
+    return F.array_join(F.col("snapshots.blocks")["text"], "\n")
+
+
+def resolved_texts() -> Column:
+    """``field=value`` of the stored resolved values."""
+    return F.array_join(F.transform("snapshots.resolved_document", lambda r: F.concat(r["field"], F.lit("="), F.coalesce(r["value"]["str"], number_text(r["value"]["num"])))), ",")
+
+
+def conflict_texts() -> Column:
+    return F.array_join(F.transform("snapshots.inconsistency_report.ambiguous_fields", lambda a: F.concat(a["field"], F.lit(":"), a["count"].cast("string"))), ",")
+
+
 def shown_runs(stored: DataFrame) -> DataFrame:
-    """Comparable columns of stored run rows."""
+    """Contents of stored run rows: text, values, conflicts and hash as they are, failures counted from the report."""
     return stored.select(
-        "doc_id", "project_id", "outcome", "schema_key", "version_label", "n_failed", F.size("snapshots.blocks").cast("long").alias("n_blocks"),
-        F.col("content_hash").rlike("^sha256:[0-9a-f]{64}$").alias("hashed"), "revision_number",
+        "doc_id", "project_id", "outcome", "schema_key", "version_label", F.size(F.filter("report", lambda o: ~o["passed"])).cast("long").alias("n_failed"),
+        block_texts().alias("text"), resolved_texts().alias("resolved"), "content_hash", F.element_at("snapshots.blocks", -1)["block_id"].alias("last_block"),
+        conflict_texts().alias("conflicts"), F.size("attributes").alias("n_tags"), F.col("created_at").isNotNull().alias("dated"), "revision_number",
     )
 
 
 @query(
     "snk02_build_snapshots",
-    f"""WITH {REPORT_STATUS} SELECT doc_id, 4 + CAST(has_total AS BIGINT) + CAST(has_second AS BIGINT) + 1 + n_items AS n_blocks,
-   has_second AS has_ambiguity, CASE WHEN has_second THEN 'total_due' ELSE '' END AS ambiguous_fields,
-   'item_count,order_number,status,total_due' AS fields FROM verdict""",
+    f"""WITH {REPORT_CONTENTS} SELECT doc_id, text, resolved, CASE WHEN has_second THEN 'total_due:2' ELSE '' END AS conflicts,
+   'item_count:found,order_number:found,status:found,total_due:' || CASE WHEN has_second THEN 'ambiguous' WHEN has_total THEN 'found' ELSE 'missing' END AS fields,
+   'order_number=' || doc_id || CASE WHEN has_total THEN '|total_due=' || printf('Total due: %.2f', total) ELSE '' END || CASE WHEN has_second THEN '|total_due=' || printf('Total due: %.2f', total + 100) ELSE '' END
+     || '|item_count=Items: ' || n_items || '|status=Status: ' || status AS candidates
+FROM verdict JOIN contents USING (doc_id)""",
 )
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     snaps = sinks.build_snapshots(validate_documents(d.order_reports(spark, sf), d.ORDER_CHECKLIST, measurements=False))
-    return snaps.select("doc_id", "snapshots").select(
-        "doc_id", F.size("snapshots.blocks").cast("long").alias("n_blocks"),
-        F.col("snapshots.inconsistency_report.has_ambiguity").alias("has_ambiguity"),
-        F.array_join(F.col("snapshots.inconsistency_report.ambiguous_fields")["field"], ",").alias("ambiguous_fields"),
-        F.array_join(F.col("snapshots.field_candidate_map")["field"], ",").alias("fields"),
+    entry = F.transform("snapshots.field_candidate_map", lambda e: F.concat(e["field"], F.lit(":"), e["status"]))
+    shown = F.transform("snapshots.candidates", lambda c: F.concat(c["field"], F.lit("="), F.when(c["field"] == "order_number", number_text(c["value"]["num"])).otherwise(c["evidence_text"])))
+    return snaps.select(
+        "doc_id", block_texts().alias("text"), resolved_texts().alias("resolved"), conflict_texts().alias("conflicts"),
+        F.array_join(entry, ",").alias("fields"), F.array_join(shown, "|").alias("candidates"),
     )
 
 
@@ -323,7 +339,38 @@ def order_field_rows(spark: SparkSession, sf: str) -> DataFrame:
    CASE status WHEN 'resolved' THEN 'Resolved' WHEN 'ambiguous' THEN 'Ambiguous' WHEN 'failed' THEN 'Rule failed' END AS status FROM field_rows""",
 )
 def field_export(spark: SparkSession, sf: str) -> DataFrame:
-    return sinks.field_export(order_field_rows(spark, sf))
+    """The written files, read back."""
+    path = scratch_folder(spark)
+    sinks.export_field_rows(order_field_rows(spark, sf), path)
+    return spark.read.schema("run_id long, field string, expected string, extracted string, status string").option("header", True).option("escape", '"').csv(path)
+
+
+@query(
+    "snk05b_export_run_json",
+    f"""WITH {REPORT_CONTENTS} SELECT doc_id AS run_id, 'p' || (doc_id % 3) AS project_id, outcome, resolved,
+   CASE WHEN has_second THEN 'total_due:' || printf('Total due: %.2f', total) || '@b2,' || printf('Total due: %.2f', total + 100) || '@b3' ELSE '' END AS conflicts,
+   CASE WHEN has_second THEN '' ELSE 'b1' || CASE WHEN has_total THEN ',b2' ELSE '' END || ',b' || status_ix || ',b' || (status_ix + 1) END AS evidence,
+   CASE WHEN outcome = 'AMBIGUOUS' THEN 0 ELSE CAST(NOT has_total AS BIGINT) + CAST(has_total AND total > 300000 AS BIGINT) + CAST(has_total AND (n_items = 0 OR total / n_items > 200000) AS BIGINT) + CAST(n_items = 0 AS BIGINT) + n_bad END AS n_failed,
+   'item_count,order_number,status,total_due' AS fields
+FROM verdict JOIN contents USING (doc_id)""",
+)
+def run_json_export(spark: SparkSession, sf: str) -> DataFrame:
+    """One JSON object a run, written and read back."""
+    docs = d.order_reports(spark, sf).withColumn("project_id", F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")))
+    results = validate_documents(docs, d.ORDER_CHECKLIST, measurements=False, keep=("doc_id", "project_id"))
+    path = scratch_folder(spark)
+    sinks.export_run_json(sinks.run_json(results, views.field_rows(results, d.ORDER_CHECKLIST), meta=("project_id",)), path)
+    body = (
+        "run_id long, project_id string, outcome string, resolved_values array<struct<field:string,value:string,evidence:struct<block_id:string>>>, "
+        "ambiguous_fields array<struct<field:string,candidates:array<struct<value:string,evidence:string,block_id:string>>>>, "
+        "field_rule_outcomes array<struct<passed:boolean>>, fields array<struct<field:string,status:string>>"
+    )
+    conflict = F.transform("ambiguous_fields", lambda a: F.concat(a["field"], F.lit(":"), F.array_join(F.transform(a["candidates"], lambda c: F.concat(c["evidence"], F.lit("@"), c["block_id"])), ",")))
+    return spark.read.schema(body).json(path).select(
+        "run_id", "project_id", "outcome", F.array_join(F.transform("resolved_values", lambda r: F.concat(r["field"], F.lit("="), r["value"])), ",").alias("resolved"),
+        F.array_join(conflict, ";").alias("conflicts"), F.array_join(F.col("resolved_values")["evidence"]["block_id"], ",").alias("evidence"),
+        F.size(F.filter("field_rule_outcomes", lambda o: ~o["passed"])).cast("long").alias("n_failed"), F.array_join(F.col("fields")["field"], ",").alias("fields"),
+    )
 
 
 @query(

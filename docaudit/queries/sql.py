@@ -47,13 +47,28 @@ verdict AS (
   FROM rep LEFT JOIN bad_rows ON l_orderkey = doc_id)"""
 )
 
+# Whole text and resolved values of every report.
+REPORT_CONTENTS = (
+    REPORT_STATUS
+    + """,
+rows_text AS (SELECT l_orderkey, string_agg(text, chr(10) ORDER BY row_ix) AS rows FROM items GROUP BY l_orderkey),
+contents AS (
+  SELECT doc_id, 'ORDER REPORT' || chr(10) || 'Order number: ' || doc_id || CASE WHEN has_total THEN chr(10) || printf('Total due: %.2f', total) ELSE '' END
+      || CASE WHEN has_second THEN chr(10) || printf('Total due: %.2f', total + 100) ELSE '' END || chr(10) || 'Status: ' || status || chr(10) || 'Items: ' || n_items
+      || chr(10) || 'Order Items' || coalesce(chr(10) || rows, '') AS text,
+    CASE WHEN has_second THEN '' ELSE 'order_number=' || doc_id || CASE WHEN has_total THEN ',total_due=' || CASE WHEN total = floor(total) THEN CAST(CAST(total AS BIGINT) AS VARCHAR) ELSE CAST(total AS VARCHAR) END ELSE '' END
+      || ',status=' || status || ',item_count=' || n_items END AS resolved
+  FROM verdict LEFT JOIN rows_text ON l_orderkey = doc_id)"""
+)
+
 # Run rows of the rendered orders as a sink stores them.
 RUN_ROWS = (
-    REPORT_STATUS
+    REPORT_CONTENTS
     + """
 SELECT doc_id, 'p' || (doc_id % 3) AS project_id, outcome, 'order_report' AS schema_key, '1.0' AS version_label,
   CASE WHEN outcome = 'AMBIGUOUS' THEN 0 ELSE CAST(NOT has_total AS BIGINT) + CAST(has_total AND total > 300000 AS BIGINT) + CAST(has_total AND (n_items = 0 OR total / n_items > 200000) AS BIGINT) + CAST(n_items = 0 AS BIGINT) + n_bad END AS n_failed,
-  5 + CAST(has_total AS BIGINT) + CAST(has_second AS BIGINT) + n_items AS n_blocks, true AS hashed, 0 AS revision_number FROM verdict"""
+  text, resolved, 'sha256:' || sha256(text) AS content_hash, 'b' || (5 + CAST(has_total AS BIGINT) + CAST(has_second AS BIGINT) + n_items - 1) AS last_block,
+  CASE WHEN has_second THEN 'total_due:2' ELSE '' END AS conflicts, 0 AS n_tags, true AS dated, 0 AS revision_number FROM verdict JOIN contents USING (doc_id)"""
 )
 
 # Order lines as positioned spans.
