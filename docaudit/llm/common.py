@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import gc
 import os
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -59,6 +60,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that a written table has replaced.
+
+    It deletes them once the driver's JVM has collected the frames, which a driver with little to do may never do.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables written inside are deleted at the end, but for those that the given function writes: they replace the others.
