@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docaudit.functions.text import number_text
 from docaudit.operators import cohorts as c
 from docaudit.operators import runs as ops
 from docaudit.plans import datasets as d
@@ -13,7 +14,7 @@ from docaudit.sources import sinks
 
 from .fields import settled
 from .registry import query, scratch_folder
-from .sql import REPORTS, RUNS
+from .sql import REPORT_CONTENTS, RUNS
 
 
 @query("run01_visible", f"WITH {RUNS} SELECT id, outcome FROM runs WHERE archived_at IS NULL AND deleted_at IS NULL")
@@ -159,19 +160,32 @@ def revised(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "run09_sub_resources",
-    f"""WITH {REPORTS} SELECT doc_id, 'block' AS part, n_items + 5 + CAST(has_total AS BIGINT) + CAST(has_second AS BIGINT) AS n FROM rep
-UNION ALL SELECT doc_id, 'resolved', CASE WHEN has_second THEN 1 ELSE 3 + CAST(has_total AS BIGINT) END FROM rep""",
+    f"""WITH {REPORT_CONTENTS}, blocks AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ix FROM contents),
+values AS (SELECT doc_id, unnest(string_split(resolved, ',')) AS text, generate_subscripts(string_split(resolved, ','), 1) - 1 AS ix FROM contents)
+SELECT doc_id, 'block' AS part, ix, 'b' || ix AS name, text FROM blocks
+UNION ALL SELECT doc_id, 'resolved', ix, coalesce(nullif(split_part(text, '=', 1), ''), '-'), split_part(text, '=', 2) FROM values
+UNION ALL SELECT doc_id, 'candidate', 0, 'order_number', 'Order number: ' || doc_id FROM verdict
+UNION ALL SELECT doc_id, 'candidate', 1, 'total_due', printf('Total due: %.2f', total) FROM verdict WHERE has_total
+UNION ALL SELECT doc_id, 'candidate', 2, 'total_due', printf('Total due: %.2f', total + 100) FROM verdict WHERE has_second
+UNION ALL SELECT doc_id, 'candidate', status_ix - 1, 'item_count', 'Items: ' || n_items FROM verdict
+UNION ALL SELECT doc_id, 'candidate', status_ix, 'status', 'Status: ' || status FROM verdict""",
 )
 def sub_resources(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored snapshots read back part by part; an empty part still gives its run one row."""
+    """Stored snapshots read back part by part, with their contents; an empty part still gives its run one row."""
     path = scratch_folder(spark)
     sinks.build_snapshots(settled(spark, sf)).select("doc_id", "snapshots").write.parquet(path)
     stored_runs = spark.read.parquet(path)
 
-    def size(df: DataFrame, part: str) -> DataFrame:
-        return df.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(part).alias("part"), "n")
+    def rows(df: DataFrame, part: str, name: Column, text: Column) -> DataFrame:
+        return df.select("doc_id", F.lit(part).alias("part"), F.coalesce("ix", F.lit(0)).cast("long").alias("ix"), F.coalesce(name, F.lit("-")).alias("name"), F.coalesce(text, F.lit("")).alias("text"))
 
-    return size(ops.run_blocks(stored_runs), "block").unionByName(size(ops.run_resolved(stored_runs), "resolved"))
+    item, num = F.col("item"), F.col("item.value.num")
+    shown = F.when(item["field"] == "order_number", F.concat(F.lit("Order number: "), number_text(num))).otherwise(item["evidence_text"])
+    return (
+        rows(ops.run_blocks(stored_runs), "block", item["block_id"], item["text"])
+        .unionByName(rows(ops.run_candidates(stored_runs), "candidate", item["field"], shown))
+        .unionByName(rows(ops.run_resolved(stored_runs), "resolved", item["field"], F.coalesce(item["value"]["str"], number_text(num))))
+    )
 
 
 @query(
