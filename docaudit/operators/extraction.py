@@ -125,7 +125,7 @@ def regex_candidates(blocks: Column, f: Column) -> Column:
 
 
 def spanish_date_candidates(blocks: Column, f: Column) -> Column:
-    """``9 de agosto de 2025`` in blocks that carry one of the field's labels; every match counts."""
+    """``17 de marzo de 2031`` in blocks that carry one of the field's labels; every match counts."""
 
     def hits(b: Column) -> Column:
         low = F.lower(b["text"])

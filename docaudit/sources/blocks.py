@@ -70,12 +70,6 @@ def explode_blocks(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.select(key, F.inline(exploding(F.col("blocks"))))
 
 
-def nest_blocks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Back from the flat table: one shuffle on the document key."""
-    names = [f.split(":")[0] for f in BLOCK_TYPE[len("struct<") : -1].split(",")]
-    return blocks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("blocks"))
-
-
 # ---- layout JSON -----------------------------------------------------------------------------
 
 _PROV = "array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double>>>"
