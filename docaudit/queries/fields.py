@@ -11,6 +11,7 @@ from docaudit.operators import evidence, extraction, mapping
 from docaudit.plans import datasets as d
 from docaudit.plans.checklist import Checklist, literal_table, spec_column
 from docaudit.plans.validation import field_rows_of, validate_documents
+from docaudit.sources.blocks import text_blocks
 
 from .blocks import item_spans
 from .registry import query
@@ -152,6 +153,30 @@ def reconciled(spark: SparkSession, sf: str) -> DataFrame:
     return field_rows_of(settled(spark, sf))
 
 
+@query(
+    "map08b_reconcile_spellings",
+    """WITH p AS (SELECT p_partkey AS doc_id, p_partkey % 27 + 1 AS day, p_partkey % 3 = 0 AS twice, p_partkey % 4 = 0 AS other FROM part)
+SELECT doc_id, CASE WHEN other THEN 'ambiguous' ELSE 'found' END AS status, CASE WHEN other THEN 2 + CAST(twice AS BIGINT) ELSE 1 END AS n_candidates,
+   lower(day || ' de marzo de 2031') AS first_value, twice FROM p""",
+)
+def reconciled_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    """One date in two spellings is one value; another date is a conflict."""
+    spec = Checklist.from_body("dated", {"fields": {"issue_date": {"type": "date", "required": True}}})
+    k = F.col("p_partkey")
+    day = (k % 27 + 1).cast("int")
+    text = F.concat_ws(
+        "\n", F.format_string("Issue date: %d de marzo de 2031", day), F.when(k % 3 == 0, F.format_string("ISSUE DATE %d de  Marzo de  2031.", day)),
+        F.when(k % 4 == 0, F.format_string("Issue date %d de abril de 2031", day)),
+    )
+    docs = d.table(spark, sf, "part").select(k.alias("doc_id"), text_blocks(text).alias("blocks"), (k % 3 == 0).alias("twice"))
+    found = validate_documents(docs, spec, measurements=False, keep=("doc_id", "twice"))
+    entry = F.get("field_map", F.lit(0))
+    return found.select(
+        "doc_id", entry["status"].alias("status"), F.size(entry["candidates"]).cast("long").alias("n_candidates"),
+        F.lower(F.get(entry["candidates"], F.lit(0))["value"]["str"]).alias("first_value"), "twice",
+    )
+
+
 @query(
     "map09_apply_policies",
     f"""WITH {REPORTS} SELECT doc_id, CASE WHEN has_second THEN second ELSE total END AS last_total, total AS first_total FROM rep WHERE has_total""",
