@@ -39,13 +39,15 @@ def bucket(feature: Column, buckets: int) -> Column:
 
 def runs_of(all_words: Column, most: int, buckets: int, wanted=None) -> Column:
     """Buckets of the runs of 1 to ``most`` words, or of those for whose place and size ``wanted`` holds."""
-    out = [F.transform(all_words, lambda w: bucket(w, buckets))] if wanted is None else []
-    for size in range(2, most + 1):
+
+    def of_size(size: int) -> Column:
         places = F.when(F.size(all_words) >= size, F.sequence(F.lit(1), F.size(all_words) - (size - 1))).otherwise(F.array().cast("array<int>"))
         if wanted is not None:
-            places = F.filter(places, lambda i, size=size: wanted(i, size))
-        out.append(F.transform(places, lambda i, size=size: bucket(F.array_join(F.slice(all_words, i, size), " "), buckets)))
-    return F.concat(*out)
+            places = F.filter(places, lambda i: wanted(i, size))
+        return F.transform(places, lambda i: bucket(F.array_join(F.slice(all_words, i, size), " "), buckets))
+
+    single = [F.transform(all_words, lambda w: bucket(w, buckets))] if wanted is None else []
+    return F.concat(*single, *map(of_size, range(2, most + 1)))
 
 
 def crossing_features(lines: Column, most: int, buckets: int) -> Column:
