@@ -253,7 +253,11 @@ def schema_labels(blocks: Column, fields: Column, places: Column | None = None)
             .otherwise(label_candidate(ls, blocks, f, places))
         )
 
-    return let(text_lines(blocks), lambda ls: F.flatten(F.transform(fields, lambda f: of_field(f, ls))))
+    def present(held: Column) -> Column:
+        return F.filter(fields, lambda f: f["is_email"] | F.arrays_overlap(f["labels"]["label"], held))
+
+    wanted = fields if places is None else let(F.map_keys(places), present)
+    return let(text_lines(blocks), lambda ls: F.flatten(F.transform(wanted, lambda f: of_field(f, ls))))
 
 
 # ---- measurement patterns --------------------------------------------------------------------

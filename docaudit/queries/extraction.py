@@ -173,11 +173,16 @@ SELECT doc_id, printf('lot %03d', a) AS field, x AS value_num, 1 + late AS block
 UNION ALL SELECT doc_id, printf('lot %03d', b), y, 2 + late, printf('(lot %03d) %d', b, CAST(y AS BIGINT)) FROM t WHERE a <> b""",
 )
 def by_many_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """A checklist of five hundred fields with a thousand labels; a document holds two of them."""
+    """A checklist of five hundred fields with a thousand labels; a document holds two of them.
+
+    The documents are dealt out first: a small file of few row groups gives few tasks for costly work.
+    """
     spec = Checklist.from_body("lots", {"fields": {f"f{i:03d}": {"type": "number", "aliases": [f"Lot {i:03d}"]} for i in range(500)}})
     k = F.col("p_partkey")
     text = F.concat_ws("\n", F.lit("LOT SHEET"), F.when(k % 3 == 0, "Lots of the warehouse"), F.format_string("Lot %03d: %.2f", k % 500, "p_retailprice"), F.format_string("(lot %03d) %d", k * 7 % 500, "p_size"))
-    docs = d.table(spark, sf, "part").select(k.alias("doc_id"), text_blocks(text).alias("blocks"))
+    parts = d.table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    docs = parts.select(k.alias("doc_id"), text_blocks(text).alias("blocks"))
     placed = label_places(docs, [lb["label"] for f in spec.fields for lb in f.as_row()["labels"]])
     rows = shown(ops.extract_labels(placed, spec, places="label_places"))
     return rows.select("doc_id", F.concat(F.lit("lot "), F.substring("field", 2, 3)).alias("field"), "value_num", "block_ix", "evidence_text")
