@@ -200,8 +200,9 @@ def policies(spark: SparkSession, sf: str) -> DataFrame:
             ),
         )
 
-    rows = d.order_reports(spark, sf).select("doc_id", let(F.col("blocks"), both).alias("t"))
-    return rows.select("doc_id", "t.*").filter("first_total is not null")
+    # A filter above the projection would be pushed below it and compute everything a second time.
+    stated = let(let(F.col("blocks"), both), lambda t: F.when(t["first_total"].isNotNull(), F.array(t)))
+    return d.order_reports(spark, sf).select("doc_id", F.inline(exploding(stated)))
 
 
 @query(
