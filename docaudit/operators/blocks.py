@@ -109,7 +109,8 @@ def with_column_band(df: DataFrame) -> DataFrame:
 
 
 def text_chars(blocks: Column) -> Column:
-    return F.aggregate(blocks, F.lit(0), lambda acc, b: acc + F.length(strip(b["text"])))
+    """Characters of all blocks; none where there are no blocks."""
+    return F.coalesce(F.aggregate(blocks, F.lit(0), lambda acc, b: acc + F.coalesce(F.length(strip(b["text"])), F.lit(0))), F.lit(0))
 
 
 def sparse_text(blocks: Column, image_pages: Column) -> Column:

@@ -40,7 +40,7 @@ def block(
 
 
 def text_blocks(text: Column, sep: str = "\n", prefix: str = "b") -> Column:
-    """Split text into blocks; blank pieces vanish before numbering; form feeds turn pages."""
+    """Split text into blocks; blank pieces vanish before numbering; form feeds turn pages. A text that is NULL has no blocks."""
     pieces = F.flatten(
         F.transform(
             F.split(text, "\f"),
@@ -57,7 +57,8 @@ def text_blocks(text: Column, sep: str = "\n", prefix: str = "b") -> Column:
         box = (F.lit(0.0), top, widest, top + LINE_HEIGHT)
         return block(ix, piece["page"], box, piece["text"], font=F.lit(FONT_SIZE), prefix=prefix)
 
-    return F.transform(F.filter(pieces, lambda p: p["text"] != ""), place)
+    placed = F.transform(F.filter(pieces, lambda p: p["text"] != ""), place)
+    return F.coalesce(placed, F.array().cast(BLOCKS_TYPE))
 
 
 def blocks_from_text(df: DataFrame, text: str = "text", sep: str = "\n") -> DataFrame:
